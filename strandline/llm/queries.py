@@ -6,10 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import op1_exact_dedup, op9_mixing
+from . import op1_exact_dedup, op2_toxicity, op7_minhash, op8_packing, op9_mixing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup.op1_exact_dedup,
+    "op2_toxicity": op2_toxicity.op2_toxicity,
+    "op7_minhash": op7_minhash.op7_minhash,
+    "op8_packing": op8_packing.op8_packing,
     "op9_mixing": op9_mixing.op9_mixing,
 }
 ORACLES: dict[str, str] = {"op1_exact_dedup": op1_exact_dedup.ORACLE, "op9_mixing": op9_mixing.ORACLE}
