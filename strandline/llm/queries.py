@@ -6,13 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import op1_exact_dedup, op2_toxicity, op7_minhash, op8_packing, op9_mixing
+from . import op1_exact_dedup, op2_toxicity, op3_embeddings, op4_language, op5_quality, op6_substrings, op7_minhash, op8_packing, op9_mixing, op10_licenses
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup.op1_exact_dedup,
     "op2_toxicity": op2_toxicity.op2_toxicity,
+    "op3_embeddings": op3_embeddings.op3_embeddings,
+    "op4_language": op4_language.op4_language,
+    "op5_quality": op5_quality.op5_quality,
+    "op6_substrings": op6_substrings.op6_substrings,
     "op7_minhash": op7_minhash.op7_minhash,
     "op8_packing": op8_packing.op8_packing,
     "op9_mixing": op9_mixing.op9_mixing,
+    "op10_licenses": op10_licenses.op10_licenses,
 }
 ORACLES: dict[str, str] = {"op1_exact_dedup": op1_exact_dedup.ORACLE, "op9_mixing": op9_mixing.ORACLE}
