@@ -21,25 +21,24 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b", max_round
     edges = cut(edges)
     if edges.isEmpty():
         return edges.select(F.col("v").alias("node"), F.col("u").alias("component"))
-    state = None
     for _ in range(max_rounds):
+        if _is_stars(edges):
+            break
         both = edges.unionByName(edges.select(F.col("u").alias("v"), F.col("v").alias("u")))
         low = both.groupBy("v").agg(F.least(F.min("u"), F.first("v")).alias("m"))
         # large star: larger neighbours u > v are linked to the least of v's neighbourhood
-        edges = both.where("u > v").join(low, "v").select(F.col("u").alias("v"), F.col("m").alias("u")).where("u <> v").distinct()
-        edges = cut(edges)
+        large = both.where("u > v").join(low, "v").select(F.col("u").alias("v"), F.col("m").alias("u")).where("u <> v")
         # small star: v and its smaller neighbours are linked to the least of these
-        low = edges.groupBy("v").agg(F.min("u").alias("m"))
-        near = edges.join(low, "v")
-        edges = near.select(F.col("u").alias("v"), F.col("m").alias("u")).where("u <> v").unionByName(low.select("v", F.col("m").alias("u"))).distinct()
-        edges = cut(edges)
-        now = edges.agg(F.count("*").alias("n"), F.sum(F.hash("v", "u").cast("long")).alias("h"), F.countDistinct("v").alias("d")).first()
-        # done when every node has one link and no node that is pointed at points elsewhere
-        if now["n"] == now["d"] and (now["n"], now["h"]) == state:
-            break
-        if now["n"] == now["d"] and edges.select(F.col("u").alias("v")).join(edges.select("v"), "v", "left_semi").isEmpty():
-            break
-        state = (now["n"], now["h"])
+        low = large.groupBy("v").agg(F.min("u").alias("m"))
+        near = large.join(low, "v")
+        edges = cut(near.select(F.col("u").alias("v"), F.col("m").alias("u")).where("u <> v").unionByName(low.select("v", F.col("m").alias("u"))).distinct())
     else:
         raise RuntimeError(f"components did not converge in {max_rounds} rounds")
-    return cut(edges.select(F.col("v").alias("node"), F.col("u").alias("component")).unionByName(edges.select(F.col("u").alias("node"), F.col("u").alias("component")).distinct()))
+    return edges.select(F.col("v").alias("node"), F.col("u").alias("component")).unionByName(edges.select(F.col("u").alias("node"), F.col("u").alias("component")).distinct())
+
+
+def _is_stars(edges: DataFrame) -> bool:
+    """Whether every node has one link and none is linked to a node that has one."""
+    each = edges.groupBy("v").agg(F.count("*").alias("n"), F.min("u").alias("u"))
+    inner = each.select(F.col("v").alias("w"))
+    return each.join(inner, F.col("u") == F.col("w"), "left").where("n > 1 or w is not null").isEmpty()

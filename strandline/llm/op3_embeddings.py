@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .op7_minhash import _forest
+from .op7_minhash import stars
 from .shared import cut
 
 THRESHOLD = 0.9
@@ -166,7 +166,7 @@ def near_vectors(rows: DataFrame, threshold: float = THRESHOLD, target: float =
     multi-sequence traversal, as many as give the target recall to probes compared with all rows,
     and what it meets there is verified by cosine in double precision. A pair that only one of both
     finds counts for both. Cells are compared in blocks of bounded size; blocks give counts and a
-    spanning forest of their links, never all pairs.
+    stars that join what their links join, never all pairs.
 
     Vectors that are null, zero, of one component or less, or hold null or non-finite components
     link with nothing, as do those of another length than most. A null id has a null component and
@@ -226,7 +226,7 @@ def near_vectors(rows: DataFrame, threshold: float = THRESHOLD, target: float =
                 count_m[unseen] += ma[rows_] @ hit[rows_][:, unseen]
         ids = np.concatenate([qa, mb])
         i, j = np.nonzero(hit & (qa[:, None] != mb[None]))
-        tree = _forest(np.stack([i, j + len(qa)], axis=1), len(ids)) if len(i) else []
+        tree = stars(np.stack([i, j + len(qa)], axis=1), len(ids)) if len(i) else []
         edges = [(int(ids[p]), int(ids[q]), 0) for p, q in tree]
         counts = [(int(k), None, int(n)) for k, n in zip(ids, np.concatenate([count_q, count_m]), strict=True) if n]
         return pd.DataFrame(edges + counts, columns=["a", "b", "n"]).astype({"a": "int64", "b": "Int64", "n": "int64"})

@@ -57,8 +57,8 @@ def signatures(docs: DataFrame, words: int, bands: int, id_column: str, text: st
     return docs.select(F.col(id_column).cast("long").alias("id"), F.col(text)).mapInArrow(run, "id long, n_shingles long, key binary, bands array<long>")
 
 
-def _forest(links: np.ndarray, n: int) -> list[tuple[int, int]]:
-    """A spanning forest of the links between n rows, given as an array of pairs."""
+def stars(links: np.ndarray, n: int) -> list[tuple[int, int]]:
+    """Stars that join the same rows as the links between n rows, given as an array of pairs."""
     root = list(range(n))
 
     def find(x: int) -> int:
@@ -67,13 +67,11 @@ def _forest(links: np.ndarray, n: int) -> list[tuple[int, int]]:
             x = root[x]
         return x
 
-    out = []
     for a, b in links.tolist():
         x, y = find(a), find(b)
         if x != y:
             root[max(x, y)] = min(x, y)
-            out.append((a, b))
-    return out
+    return [(find(x), x) for x in range(n) if find(x) != x]
 
 
 def verified_links(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, per_hundred: int) -> np.ndarray:
@@ -109,7 +107,7 @@ def verified_links(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray,
 
 
 def compare(texts: DataFrame, groups: DataFrame, words: int, per_hundred: int) -> DataFrame:
-    """Links ``(a, b)`` within groups: a spanning forest of those that hold between side 1 and side 2, or among all of side 0.
+    """Links ``(a, b)`` within groups: stars that join what those join that hold between side 1 and side 2, or among all of side 0.
 
     ``texts`` is ``(id, text)`` and ``groups`` ``(id, g, side)``. Groups are small and share calls.
     """
@@ -123,56 +121,53 @@ def compare(texts: DataFrame, groups: DataFrame, words: int, per_hundred: int) -
         for at in pdf.groupby("g", sort=False).indices.values():
             ids, side = every[at], sides[at]
             found = verified_links([sets[k] for k in at], np.flatnonzero(side != 2), np.flatnonzero(side != 1), per_hundred)
-            out.update((int(ids[a]), int(ids[b])) for a, b in _forest(found, len(ids)))
+            out.update((int(ids[a]), int(ids[b])) for a, b in stars(found, len(ids)))
         return pd.DataFrame(sorted(out), columns=["a", "b"], dtype="int64")
 
     rows = groups.join(texts, "id").withColumn("part", F.pmod(F.xxhash64("g"), F.lit(32 * partitions(texts.sparkSession))))
     return rows.groupBy("part").applyInPandas(run, "a long, b long")
 
 
-def near_links(texts: DataFrame, banded: DataFrame, words: int, per_hundred: int, block: int = BLOCK) -> DataFrame:
-    """Links ``(a, b)`` that join the same ids as all links between candidates do.
+def near_components(texts: DataFrame, banded: DataFrame, words: int, per_hundred: int, block: int = BLOCK) -> DataFrame:
+    """``(node, component)`` of the verified links between candidates; ids without candidates are left out.
 
-    ``banded`` is ``(id, bucket)``; ids that share a bucket are candidates. Chains of candidates of at
-    most ``block`` ids are compared in full, each text read once. In longer chains a bucket is dealt at
-    random into blocks, each compared in full with up to four of the bucket's members besides, so that
-    rows stay in proportion to members. Where a bucket is then in one component, as a group of copies
-    is, nothing more can join; otherwise the members outside its largest component are compared with
-    all members, in pairs of blocks. So no link between candidates is lost for what components need.
+    ``banded`` is ``(id, bucket)``; ids that share a bucket are candidates. A chain of candidates of at
+    most ``block`` ids is compared in full, each text read once. A longer chain is dealt at random into
+    blocks, each compared in full with up to four of the chain's members besides, so rows stay in
+    proportion to members. Where a bucket is then in one component, as a group of copies is, nothing
+    more can join; otherwise its members outside its largest component are compared with all its
+    members, in pairs of blocks. So no link between candidates is lost for what components need.
     """
     low = banded.groupBy("bucket").agg(F.min("id").alias("low"), F.count("*").alias("n")).where("n > 1")
-    shared = cut(banded.join(low, "bucket").select("id", "bucket", "low", "n"))
+    shared = cut(banded.join(low, "bucket").select("id", "bucket", "low"))
     chains = connected_components(shared.where("id <> low").select(F.col("id").alias("a"), F.col("low").alias("b")))
-    sizes = chains.groupBy("component").agg(F.count("*").alias("size"))
-    chains = cut(chains.join(sizes, "component"))
-    small = chains.where(F.col("size") <= block).select(F.col("node").alias("id"), F.col("component").alias("g"), F.lit(0).alias("side"))
-    links = compare(texts, small, words, per_hundred)
-    large = shared.join(chains.where(F.col("size") > block).select(F.col("node").alias("id")), "id", "left_semi")
-    if large.isEmpty():
-        return cut(links)
-    large = cut(large.withColumn("blocks", F.ceil(F.col("n") / F.lit(block)).cast("int")))
-    leads = large.groupBy("bucket", "blocks").agg(F.array(*[F.min(F.struct(F.xxhash64("id", F.lit(k)).alias("h"), "id"))["id"] for k in range(4)]).alias("leads"))
-    leads = leads.select("bucket", F.explode(F.array_distinct("leads")).alias("id"), "blocks").withColumn("own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    own = large.withColumn("own", F.pmod(F.xxhash64("id", F.lit(9)), F.col("blocks")).cast("int"))
-    # buckets of the same members are compared once
-    first = large.groupBy("bucket", "n").agg(F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("members")).groupBy("n", "members").agg(F.min("bucket").alias("bucket")).select("bucket")
-    rows = own.select("bucket", "id", "own").unionByName(leads.select("bucket", "id", "own")).join(first, "bucket", "left_semi")
-    links = cut(links.unionByName(compare(texts, rows.select("id", F.xxhash64("bucket", "own").alias("g"), F.lit(0).alias("side")).distinct(), words, per_hundred)))
+    sizes = chains.groupBy("component").agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias("blocks"))
+    chains = cut(chains.join(sizes, "component").select(F.col("node").alias("id"), F.col("component").alias("chain"), "blocks"))
+    own = chains.withColumn("own", F.pmod(F.xxhash64("id", F.lit(9)), F.col("blocks")).cast("int"))
+    leads = chains.where("blocks > 1").groupBy("chain", "blocks").agg(F.array(*[F.min(F.struct(F.xxhash64("id", F.lit(k)).alias("h"), "id"))["id"] for k in range(4)]).alias("leads"))
+    leads = leads.select(F.explode(F.array_distinct("leads")).alias("id"), "chain", "blocks").withColumn("own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = own.select("id", "chain", "own").unionByName(leads.select("id", "chain", "own")).distinct()
+    links = cut(compare(texts, rows.select("id", F.xxhash64("chain", "own").alias("g"), F.lit(0).alias("side")), words, per_hundred))
     parts = connected_components(links)
-    labelled = own.join(first, "bucket", "left_semi").join(parts, F.col("id") == F.col("node"), "left").withColumn("component", F.coalesce("component", "id"))
+    large = chains.where("blocks > 1").select("id")
+    if large.isEmpty():
+        return parts
+    large = shared.join(large, "id", "left_semi").select("id", "bucket")
+    labelled = large.join(parts, F.col("id") == F.col("node"), "left").select("id", "bucket", F.coalesce("component", "id").alias("component"))
     counts = labelled.groupBy("bucket", "component").agg(F.count("*").alias("c"))
     main = counts.groupBy("bucket").agg(F.max_by("component", F.struct("c", "component")).alias("main"), F.count("*").alias("kinds"), F.sum("c").alias("n"), F.max("c").alias("most")).where("kinds > 1")
-    open_ = labelled.drop("n", "blocks", "own", "node").join(main.withColumn("other", F.ceil((F.col("n") - F.col("most")) / F.lit(block)).cast("int")).withColumn("blocks", F.ceil(F.col("most") / F.lit(block)).cast("int")), "bucket")
-    open_ = cut(open_.withColumn("inside", F.col("component") == F.col("main")).withColumn("own", F.pmod(F.xxhash64("id", F.lit(11)), F.when(F.col("inside"), F.col("blocks")).otherwise(F.col("other"))).cast("int")))
+    main = main.select("bucket", "main", F.ceil((F.col("n") - F.col("most")) / F.lit(block)).cast("int").alias("other"), F.ceil(F.col("most") / F.lit(block)).cast("int").alias("blocks"))
+    open_ = labelled.join(main, "bucket").withColumn("inside", F.col("component") == F.col("main"))
+    open_ = cut(open_.withColumn("own", F.pmod(F.xxhash64("id", F.lit(11)), F.when(F.col("inside"), F.col("blocks")).otherwise(F.col("other"))).cast("int")))
     if open_.isEmpty():
-        return links
+        return parts
     against = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     beside = F.explode(F.sequence(F.lit(0), F.col("other") - 1))
     outer = open_.where("not inside")
     pairs = outer.withColumn("w", against).select("id", F.xxhash64("bucket", F.lit(0), "own", "w").alias("g"), F.lit(1).alias("side"))
     pairs = pairs.unionByName(open_.where("inside").withColumn("w", beside).select("id", F.xxhash64("bucket", F.lit(0), "w", "own").alias("g"), F.lit(2).alias("side")))
     pairs = pairs.unionByName(outer.withColumn("w", beside).select("id", F.xxhash64("bucket", F.lit(1), F.least("own", "w"), F.greatest("own", "w")).alias("g"), F.lit(0).alias("side")))
-    return cut(links.unionByName(compare(texts, pairs.distinct(), words, per_hundred)))
+    return connected_components(links.unionByName(compare(texts, pairs.distinct(), words, per_hundred)))
 
 
 def near_dedup(docs: DataFrame, words: int = 5, per_hundred: int = 80, bands: int = BANDS, id_column: str = "doc_id", text: str = "text") -> DataFrame:
@@ -190,7 +185,7 @@ def near_dedup(docs: DataFrame, words: int = 5, per_hundred: int = 80, bands: in
     classes = cut(signed.where("id is not null and n_shingles > 0").groupBy("key").agg(F.min("id").alias("class"), F.first("bands").alias("bands")))
     banded = classes.select(F.col("class").alias("id"), F.explode("bands").alias("bucket")).distinct()
     texts = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text).alias("text")).where("id is not null and text is not null")
-    components = connected_components(near_links(texts, banded, words, per_hundred)).select(F.col("node").alias("class"), "component")
+    components = near_components(texts, banded, words, per_hundred).select(F.col("node").alias("class"), "component")
     named = classes.select("key", "class").join(components, "class", "left").select("key", F.coalesce("component", "class").alias("component_id"))
     out = signed.select("id", "n_shingles", "key").join(named, "key", "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id"))
