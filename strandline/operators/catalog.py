@@ -62,3 +62,23 @@ def exclude(runs: DataFrame, banned: DataFrame, keys: list[str]) -> DataFrame:
 def dense_index(df: DataFrame, keys: list[str], order: list[str], name: str = "node_id") -> DataFrame:
     """Positions from 1 in an order."""
     return df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+
+
+def comparisons(systems: DataFrame, first_structure: str, first_variant: str) -> DataFrame:
+    """Pairs of systems ``(a, b)`` to compare: within a variant the first structure with each other one, within a structure the first variant with each other one.
+
+    ``systems`` is a catalogue of ``structure, variant``, so the pairs are few.
+    """
+    a = systems.select(F.col("structure").alias("s1"), F.col("variant").alias("v1")).distinct()
+    b = systems.select(F.col("structure").alias("s2"), F.col("variant").alias("v2")).distinct()
+    by_structure = a.where(F.col("s1") == first_structure).join(b.where(F.col("s2") != first_structure), F.col("v1") == F.col("v2"))
+    by_variant = a.where(F.col("v1") == first_variant).join(b.where(F.col("v2") != first_variant), F.col("s1") == F.col("s2"))
+    name = lambda s, v: F.concat_ws("_", s, v)
+    return by_structure.unionByName(by_variant).select(name("s1", "v1").alias("a"), name("s2", "v2").alias("b"))
+
+
+def reorder(df: DataFrame, axis: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """``df`` with the axis' positions, of groups that the axis covers wholly; others keep null positions."""
+    joined = df.join(axis, keys, "left")
+    whole = F.count(order).over(Window.partitionBy(F.lit(1))) == F.count(F.lit(1)).over(Window.partitionBy(F.lit(1)))
+    return joined.withColumn(order, F.when(whole, F.col(order)))

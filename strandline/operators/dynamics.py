@@ -153,3 +153,9 @@ def ensemble_check(frames: DataFrame, system: list[str], replica: str, frame: st
     each = frames.groupBy(*system, replica, frame).agg(F.count("*").alias("atoms"))
     reps = each.groupBy(*system, replica).agg(F.count("*").alias("frames"), F.min("atoms").alias("low"), F.max("atoms").alias("high"))
     return reps.groupBy(*system).agg(F.count("*").alias("replicas"), (F.min("low") == F.max("high")).alias("atoms_agree"), (F.min("frames") == F.max("frames")).alias("frames_agree"))
+
+
+def pair_similarity(points: DataFrame, keys: list[str], atom: str = "atom", sigma: float = 8.0) -> DataFrame:
+    """``(i, j, similarity)`` in both orders without the diagonal: distance decayed by ``sigma``."""
+    d = pair_distances(points, keys, atom).select(*keys, "i", "j", F.exp(-F.col("d") / F.lit(sigma)).alias("similarity"))
+    return d.unionByName(d.select(*keys, F.col("j").alias("i"), F.col("i").alias("j"), "similarity"))

@@ -172,3 +172,10 @@ def bfactor_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 def residue_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = select.by_element(pdb.atoms(_lines(spark, sf_dir)), elements=["CA"]).select("chain", "resno", F.col("serial").cast("long").alias("serial"))
     return catalog.dense_index(a, ["chain"], ["resno", "serial"]).withColumn("label", labels.make_label("chain", "resno"))
+
+
+@_query(f"""WITH {_RUNS}, s AS (SELECT DISTINCT split_part(file, '_', 1) AS s, split_part(file, '_', 2) AS v FROM runs)
+  SELECT a.s || '_' || a.v AS a, b.s || '_' || b.v AS b FROM s a JOIN s b ON (a.s = '7LP9' AND b.s <> '7LP9' AND a.v = b.v) OR (a.v = 'WT' AND b.v <> 'WT' AND a.s = b.s)""")
+def comparison_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = catalog.run_name(F.col("file"))
+    return catalog.comparisons(_runs(spark, sf_dir).select(n["structure"].alias("structure"), n["variant"].alias("variant")), "7LP9", "WT")

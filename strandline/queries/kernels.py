@@ -85,3 +85,19 @@ def strand_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = build3d.backbones(build3d.guides(_structures(spark, sf_dir), ["system"], "atom"), "system", ["atom", "step"])
     letters = build3d.as_chains(b.select("system").distinct().withColumn("one", F.lit(1)), ["one"], "system").select("system", "chain")
     return pdb.strand_lines(b.join(letters, "system").withColumn("model", F.lit("all")), "model")
+
+
+@_query()
+def deformation_by_residue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean over chains, three residues each, of the atoms' deformation, and whether it is of use."""
+    from ..operators.series import quality_flag
+
+    d = modes.deformation(_modes(spark, sf_dir), _structures(spark, sf_dir), "system", [2, 3, 4, 5, 6]).withColumn("resno", F.col("atom") % 7)
+    flags = quality_flag(d, ["system"], "deformation")
+    return rounded(d.groupBy("system", "resno").agg(F.avg("deformation").alias("deformation")).join(flags, "system"), 4)
+
+
+@_query()
+def mean_fluctuation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean over systems, as replicas, of each atom's fluctuation."""
+    return rounded(modes.fluctuations(_modes(spark, sf_dir), "system").groupBy("atom").agg(F.avg("fluctuation").alias("fluctuation"), F.count("*").alias("n")), 4)

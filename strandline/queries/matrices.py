@@ -163,3 +163,13 @@ def delta_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = _fields(spark, sf_dir)
     d = matrix.field_delta(f.where("system = 'A'").drop("system"), f.where("system = 'N' and resno > 4").drop("system"), ["resno"])
     return rounded(d.select("resno", scale_symmetric(F.col("delta"), F.max(F.abs("delta")).over(Window.partitionBy(F.lit(1)))).alias("b")), 4)
+
+
+@_query(f"""WITH {_sparse(CUT)}, d AS ({_delta_sql('A', 'N')}), e AS (SELECT variant, i, j, CASE {_STATUS} WHEN 'keep' THEN vb - va WHEN 'appear' THEN 999.0::DOUBLE WHEN 'vanish' THEN -999.0::DOUBLE END AS v FROM d),
+  f AS (SELECT coalesce(a.i, b.i) AS i, coalesce(a.j, b.j) AS j, coalesce(a.v, 0) AS va, coalesce(b.v, 0) AS vb, 0.0005::DOUBLE * max(greatest(a.v, b.v)) OVER () AS t FROM (SELECT * FROM e WHERE variant = 'BUILDING') a FULL JOIN (SELECT * FROM e WHERE variant = 'MACHINERY') b ON a.i = b.i AND a.j = b.j)
+  SELECT i, j, CASE WHEN va >= t AND va > 0 AND vb >= t AND vb > 0 THEN 'keep' WHEN vb >= t AND vb > 0 THEN 'appear' WHEN va >= t AND va > 0 THEN 'vanish' END AS status FROM f""")
+def delta_of_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sentinel delta of two sentinel deltas, as a compatible form: marks count as values and what fell as absent."""
+    d = _delta(spark, sf_dir, "A", "N").select("variant", "i", "j", F.col("delta").alias("value"))
+    pick = lambda v: d.where(F.col("variant") == v).drop("variant")
+    return matrix.sentinel_delta(pick("BUILDING"), pick("MACHINERY"), []).select("i", "j", "status")

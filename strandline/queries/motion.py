@@ -267,3 +267,10 @@ def superpose_rmsd(spark: SparkSession, sf_dir: str) -> DataFrame:
     after = dynamics.rmsd(moved, fixed, ["system", "frame"]).withColumnRenamed("rmsd", "after")
     return rounded(dynamics.rmsd(f, fixed, ["system", "frame"]).withColumnRenamed("rmsd", "before").join(after, ["system", "frame"]), 5)
 
+
+
+@_query(f"""WITH {FRAMES_SQL}, m AS (SELECT system, atom, avg(x) * 20 AS x, avg(y) * 20 AS y, avg(z) * 20 AS z FROM frames GROUP BY 1, 2)
+  SELECT a.system, a.atom AS i, b.atom AS j, round(exp(-{_D} / 8.0::DOUBLE), 6) AS similarity FROM m a JOIN m b ON a.system = b.system AND a.atom <> b.atom""")
+def pair_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = dynamics.mean_structure(frames(spark, sf_dir), ["system"], []).select("system", "atom", *[(F.col(c) * 20).alias(c) for c in "xyz"])
+    return rounded(dynamics.pair_similarity(m, ["system"]))

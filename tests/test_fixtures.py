@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from strandline.functions import geometry, labels
 from strandline.operators import build3d, catalog, cluster, dynamics, markov, matrix, network, paths, registry, select, seqalign, series, stats
-from strandline.sources import dcd, pdb, tables
+from strandline.sources import dcd, pdb, sinks, tables
 from strandline.streaming import windows
 
 
@@ -262,3 +262,17 @@ def test_partitions_don_t_matter(spark, parts):
     d = x - x.mean(axis=0)
     p = np.einsum("fic,fjc->ij", d, d)
     assert got == {(i, j): round(p[i, j] / math.sqrt(p[i, i] * p[j, j]), 9) for i in range(6) for j in range(i, 6)}
+
+
+def test_written_once(spark, tmp_path):
+    df = spark.createDataFrame([("a", 1), ("b", 2)], "g string, v int")
+    path = f"{tmp_path}/t"
+    assert sinks.read_or_make(spark, path, lambda: df, ["g"]).count() == 2
+    assert sinks.read_or_make(spark, path, lambda: df.limit(0), ["g"]).count() == 2
+    sinks.write_table(df, f"{tmp_path}/c", policy="overwrite", kind="csv")
+    assert spark.read.csv(f"{tmp_path}/c", header=True).count() == 2
+
+
+def test_comparisons(spark):
+    s = spark.createDataFrame([(a, b) for a in ("P", "Q", "R") for b in ("WT", "X", "Y", "Z")], "structure string, variant string")
+    assert catalog.comparisons(s, "P", "WT").count() == 17
