@@ -18,6 +18,8 @@ from .shared import blocks, cut, mix, packed, partitions, powers, prefix_sums, s
 LENGTH = 50
 #: A window opens a phrase if its hash is a multiple of this, so phrases have about as many bytes besides the overlap.
 TRIGGER = 256
+#: Bytes of text that a dictionary is made of.
+CHUNK = 32 << 20
 #: Bytes of the seed that says where a window is compared.
 SEED = 12
 
@@ -65,18 +67,17 @@ def parse(batch: pa.RecordBatch, buckets: int, length: int = LENGTH) -> Iterator
     seeds and meet in the seed's bucket; pieces that recur in the batch are kept once as well. Rows
     of bucket -1 hold ``(uid, start, end)`` of the windows known to be repeated.
     """
-    ids = np.asarray(batch.column(1).fill_null(0))
+    ids = np.asarray(batch.column(1))
     order = np.argsort(ids, kind="stable")
     batch = batch.take(pa.array(order))
-    ids = ids[order]
-    uids = np.asarray(batch.column(0).fill_null(0))
+    ids, uids = ids[order], np.asarray(batch.column(0))
     data, offsets = packed(batch.column(2))
     phrases: dict[bytes, int] = {}
-    pieces: dict[int, tuple[int, bytes]] = {}
-    known: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    known: list[tuple[np.ndarray, ...]] = []
     parts: list[tuple[np.ndarray, ...]] = []
     for i, j in blocks(offsets):
-        part, off = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
+        base = offsets[i]
+        part, off = data[base : offsets[j]], offsets[i : j + 1] - base
         if len(part) < length:
             continue
         sums = prefix_sums(part)
@@ -92,7 +93,7 @@ def parse(batch: pa.RecordBatch, buckets: int, length: int = LENGTH) -> Iterator
             continue
         row = np.searchsorted(off, opened, side="right") - 1
         last = np.minimum(np.append(opened[1:], len(hashes)), off[row + 1] - length + 1)
-        raw = part.tobytes()
+        raw = memoryview(part)
         fresh = np.ones(len(opened), bool)
         for k, (a, b, doc) in enumerate(zip(opened.tolist(), (last + length - 1).tolist(), ids[i + row].tolist(), strict=True)):
             if phrases.setdefault(xxhash.xxh3_128_digest(raw[a:b]), doc) < doc:
@@ -100,10 +101,10 @@ def parse(batch: pa.RecordBatch, buckets: int, length: int = LENGTH) -> Iterator
         old = ~fresh
         known.append((uids[i + row[old]], (opened - off[row])[old], (last - off[row])[old]))
         place = seed_places(sums, length)
-        new = np.zeros(len(hashes) + 1, np.int64)
-        np.add.at(new, opened[fresh], 1)
-        np.add.at(new, last[fresh], -1)
-        live = np.cumsum(new[:-1]) > 0
+        depth = np.zeros(len(hashes) + 1, np.int64)
+        np.add.at(depth, opened[fresh], 1)
+        np.add.at(depth, last[fresh], -1)
+        live = np.cumsum(depth[:-1]) > 0
         turn = live.copy()
         turn[1:] &= ~live[:-1] | first[1:] | (place[1:] != place[:-1])
         begin = np.flatnonzero(turn)
@@ -113,41 +114,39 @@ def parse(batch: pa.RecordBatch, buckets: int, length: int = LENGTH) -> Iterator
         stop[:-1] |= live[:-1] & turn[1:]
         end = np.flatnonzero(stop) + 1
         row = np.searchsorted(off, begin, side="right") - 1
+        seed = span_hashes(sums, place[begin], place[begin] + SEED) % np.uint64(buckets)
+        parts.append((begin + base, end - begin + length - 1, i + row, span_hashes(sums, begin, end + length - 1), seed.astype(np.int32)))
+    if parts:
+        begin, size, row, content, bucket = (np.concatenate(x) for x in zip(*parts, strict=True))
+        parts.clear()
+        doc = ids[row]
+        # only pieces whose hash recurs are compared byte by byte, with the one of the smallest id
+        order = np.lexsort((doc, content))
+        head = np.concatenate([[True], content[order][1:] != content[order][:-1]])
+        lead = order[np.maximum.accumulate(np.where(head, np.arange(len(order)), 0))]
         keep = np.ones(len(begin), bool)
-        doc = ids[i + row]
-        content = span_hashes(sums, begin, end + length - 1)
-        # only pieces whose hash recurs need a look at their bytes
-        for k, (h, a, b, d) in enumerate(zip(content.tolist(), begin.tolist(), (end + length - 1).tolist(), doc.tolist(), strict=True)):
-            seen = pieces.get(h)
-            if seen is None:
-                pieces[h] = (d, raw[a:b])
-            elif seen[0] < d and seen[1] == raw[a:b]:
+        raw = memoryview(data)
+        for k, m in zip(order[~head].tolist(), lead[~head].tolist(), strict=True):
+            if doc[m] < doc[k] and size[m] == size[k] and raw[begin[m] : begin[m] + size[m]] == raw[begin[k] : begin[k] + size[k]]:
                 keep[k] = False
+        start = begin - offsets[row]
         old = ~keep
-        known.append((uids[i + row[old]], (begin - off[row])[old], (end - off[row])[old]))
-        begin, end, row, doc = begin[keep], end[keep], row[keep], doc[keep]
-        seed = span_hashes(sums, place[begin], place[begin] + SEED)
-        size = end - begin + length - 1
-        at = np.repeat(begin - np.cumsum(size) + size, size) + np.arange(size.sum())
-        parts.append(((seed % np.uint64(buckets)).astype(np.int64), uids[i + row], doc, begin - off[row], size, part[at]))
+        known.append((uids[row[old]], start[old], (start + size - length + 1)[old]))
+        kept = np.flatnonzero(keep)
+        kept = kept[np.argsort(bucket[kept], kind="stable")]
+        edges = np.concatenate([[0], np.flatnonzero(np.diff(bucket[kept])) + 1, [len(kept)]])
+        squeeze = zstandard.ZstdCompressor(level=3)
+        for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+            own = kept[a:b]
+            if len(own):
+                n = size[own]
+                at = np.repeat(begin[own] - np.cumsum(n) + n, n) + np.arange(n.sum())
+                meta = np.stack([uids[row[own]], doc[own], start[own], n]).astype("<i8").tobytes()
+                yield int(bucket[own[0]]), squeeze.compress(meta), squeeze.compress(data[at].tobytes())
     if known:
         uid, start, end = (np.concatenate(x) for x in zip(*known, strict=True))
         if len(uid):
             yield -1, _spans(uid, start, end), b""
-    if not parts:
-        return
-    bucket, uid, doc, start, size = (np.concatenate([p[c] for p in parts]) for c in range(5))
-    body = np.concatenate([p[5] for p in parts])
-    where = np.cumsum(size) - size
-    order = np.argsort(bucket, kind="stable")
-    edges = np.concatenate([[0], np.flatnonzero(np.diff(bucket[order])) + 1, [len(order)]])
-    squeeze = zstandard.ZstdCompressor(level=3)
-    for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-        own = order[a:b]
-        n = size[own]
-        at = np.repeat(where[own] - np.cumsum(n) + n, n) + np.arange(n.sum())
-        meta = np.stack([uid[own], doc[own], start[own], n]).astype("<i8").tobytes()
-        yield int(bucket[own[0]]), squeeze.compress(meta), squeeze.compress(body[at].tobytes())
 
 
 def suffix_classes(body: np.ndarray, at: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
@@ -207,10 +206,12 @@ def repeated_spans(docs: DataFrame, id_column: str, text: str, length: int = LEN
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            turn = 0
-            for bucket, meta, body in parse(b, many, length):
-                turn += 1
-                yield pa.RecordBatch.from_arrays([pa.array([bucket if bucket >= 0 else -1 - int(b.column(0)[0].as_py() or 0) % many], pa.int64()), pa.array([meta], pa.binary()), pa.array([body], pa.binary())], names=["bucket", "meta", "body"])
+            _, offsets = packed(b.column(2))
+            for i, j in blocks(offsets, CHUNK):
+                chunk = b.slice(i, j - i)
+                for bucket, meta, body in parse(chunk, many, length):
+                    named = bucket if bucket >= 0 else -1 - int(chunk.column(0)[0].as_py()) % many
+                    yield pa.RecordBatch.from_arrays([pa.array([named], pa.int64()), pa.array([meta], pa.binary()), pa.array([body], pa.binary())], names=["bucket", "meta", "body"])
 
     def match(pdf: pd.DataFrame) -> pd.DataFrame:
         if int(pdf["bucket"].iloc[0]) < 0:
