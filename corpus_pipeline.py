@@ -1,4 +1,9 @@
-"""The corpus pipeline: toxicity, exact dedup, near dedup, mixing, packing, each stage written and read again."""
+"""The corpus pipeline: toxicity, exact dedup, near dedup, mixing, packing, each stage written and read again.
+
+Rows with null or empty text, null ids or null sources pass all stages like others. Rows that share an
+id stay or go together, as dedup decides by id. Extra columns are carried along. Empty tables give
+empty results.
+"""
 
 from __future__ import annotations
 

@@ -7,6 +7,8 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from strandline.llm import op1_exact_dedup, op2_toxicity, op3_embeddings, op4_language, op5_quality, op6_substrings, op7_minhash, op8_packing, op9_mixing, op10_licenses
@@ -302,6 +304,13 @@ def test_packing(spark):
     assert len({(p.doc_id) for p in op8_packing.pack(awkward(spark), path).collect()}) == 13
 
 
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.sampled_from(["word", " ", "  ", "Été", "naïve,", "x.", "!", "don't", "\n", "\t", "12", "a1", "漢字", "ß:", "\u00a0", "<|endoftext|>", "…", "I'll", "?!", "ǅ", "ª"]), max_size=14))
+def test_tokens_are_the_library_s(parts):
+    store, text = op8_packing.tokens(op8_packing.public_path()), "".join(parts)
+    assert store(text) == np.array(store.whole.encode(text, add_special_tokens=False).ids if text else [], "<u4").tobytes()
+
+
 def test_mixing(spark):
     rng = np.random.default_rng(10)
     rows = [(k, "w " * int(rng.integers(1, 60)), ["a", "b", "c", None][int(rng.integers(0, 4) ** 2 // 3)]) for k in range(2000)] + [(5000, None, "a"), (5001, "", "empty"), (5001, "", "empty")]
