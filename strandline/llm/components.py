@@ -13,8 +13,8 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b", max_round
 
     Each round points every larger neighbour of a node at the smallest one (large star), then does the
     same on the smaller side (small star); the number of rounds grows with the logarithm of a chain's
-    length. A hub's minimum is a partial aggregate, and the join that hands it out has an inner side
-    that Spark splits where it is skewed. Every round is cut with a written table. Links with a null
+    length. A hub's minimum is a partial aggregate; it is written before the join that hands it out, so
+    that Spark can split the hub's links there. Every round is cut with a written table. Links with a null
     end and self-links are left out; without links the result is empty.
     """
     edges = links.select(F.greatest(a, b).alias("v"), F.least(a, b).alias("u")).where("u is not null and v is not null and u <> v").distinct()
@@ -25,7 +25,7 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b", max_round
         if _is_stars(edges):
             break
         both = edges.unionByName(edges.select(F.col("u").alias("v"), F.col("v").alias("u")))
-        low = both.groupBy("v").agg(F.least(F.min("u"), F.first("v")).alias("m"))
+        low = cut(both.groupBy("v").agg(F.least(F.min("u"), F.first("v")).alias("m")))
         # large star: larger neighbours u > v are linked to the least of v's neighbourhood
         large = both.where("u > v").join(low, "v").select(F.col("u").alias("v"), F.col("m").alias("u")).where("u <> v")
         # small star: v and its smaller neighbours are linked to the least of these
