@@ -178,7 +178,7 @@ def consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _MEDOID = """d AS (SELECT a.s_suppkey AS i, b.s_suppkey AS j, round(abs(a.s_acctbal - b.s_acctbal) * 100) AS distance FROM supplier a JOIN supplier b ON a.s_suppkey < b.s_suppkey),
   l AS (SELECT s_suppkey AS item, s_nationkey % 4 AS cluster FROM supplier), u AS (SELECT i, j, distance FROM d UNION ALL SELECT j, i, distance FROM d),
-  m AS (SELECT a.cluster, u.i AS item, round(avg(distance), 6) AS mean_distance FROM u JOIN l a ON a.item = u.i JOIN l b ON b.item = u.j AND a.cluster = b.cluster GROUP BY 1, 2)"""
+  x AS (SELECT u.i, u.distance, b.cluster FROM u JOIN l b ON b.item = u.j), m AS (SELECT a.cluster, a.item, round(coalesce(avg(distance), 0), 6) AS mean_distance FROM l a LEFT JOIN x ON x.i = a.item AND x.cluster = a.cluster GROUP BY 1, 2)"""
 
 
 @_query(f"WITH {_MEDOID} SELECT cluster, item, mean_distance FROM (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY mean_distance, item) AS r FROM m) WHERE r = 1")
