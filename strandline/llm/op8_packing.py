@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import functools
 import os
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,7 +20,12 @@ CAPACITY = 1024
 END = 0
 #: Remainders are cut into halves, quarters and so on of the capacity down to this length; what is left stays as it is.
 LEAST = 64
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 700_000
+STOPS = (".", ",", ";", ":", "!", "?")
+#: How byte-level vocabularies write bytes: printable ones as they are, others from U+0100 on in order.
+_PRINTED = {*range(33, 127), *range(161, 173), *range(174, 256)}
+_OTHERS = iter(range(256, 512))
+BYTE_CHARS = {b: b if b in _PRINTED else next(_OTHERS) for b in range(256)}
 
 
 class Tokens:
@@ -26,32 +33,59 @@ class Tokens:
 
     Pre-tokens never cross the start of a run of white space, nor the space before a word, so a text
     without double spaces is cut at its spaces and each chunk is encoded once; other texts are
-    encoded whole. The store is emptied when it is full, which costs time only.
+    encoded whole. The store has two generations of bounded size: what is asked for again moves to the
+    younger one, which becomes the older when it is full. It lives as long as its Python worker.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(x.ids, "<u4").tobytes() for x in self.whole.encode_batch_fast(texts, add_special_tokens=False)]
+        self.model = self.whole.model
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def _encode(self, text: str) -> bytes:
+        return array("I", self.whole.encode_batch_fast([text], add_special_tokens=False)[0].ids).tobytes()
+
+    def _word(self, chunk: str) -> bytes:
+        """The ids of one pre-token, by the library's model alone."""
+        return array("I", [x.id for x in self.model.tokenize(chunk.encode().decode("latin-1").translate(BYTE_CHARS))]).tobytes()
+
+    def _chunk(self, chunk: str) -> bytes:
+        """A space and letters are one pre-token, and a stop after them another, so they skip the library's splitting."""
+        stop = chunk[-1:] if chunk[-1:] in STOPS else ""
+        word = chunk[: len(chunk) - len(stop)]
+        if (word[1:] if word[:1] == " " else word).isalpha() and (word.isascii() or max(word) < "\u0250"):
+            return self._word(word) + (self._word(stop) if stop else b"")
+        return self._encode(chunk)
+
+    def _find(self, chunk: str) -> bytes:
+        ids = self.young.get(chunk)
+        if ids is None:
+            ids = self.old.get(chunk)
+            self.young[chunk] = ids = self._chunk(chunk) if ids is None else ids
+        return ids
 
     def __call__(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids."""
-        if "  " in text:
-            return self._encode([text])[0]
-        known = self.known
-        first, *rest = text.split(" ")
-        parts = [first, *map(" ".__add__, rest)]
-        missing = [p for p in dict.fromkeys(parts) if p not in known]
-        if missing:
-            if len(known) > CACHE_ENTRIES:
-                known.clear()
-                missing = list(dict.fromkeys(parts))
-            known.update(zip(missing, self._encode(missing), strict=True))
-        return b"".join([known[p] for p in parts])
+        if "  " in text or "\0" in text:
+            return self._encode(text)
+        parts = text.replace(" ", "\0 ").split("\0")
+        found = list(map(self.young.get, parts))
+        if None in found:
+            if len(self.young) > CACHE_ENTRIES:
+                self.young, self.old = {}, self.young
+            for k, ids in enumerate(found):
+                if ids is None:
+                    found[k] = self._find(parts[k])
+        return b"".join(found)
+
+
+@functools.cache
+def tokens(path: str) -> Tokens:
+    """One store a worker and vocabulary, so that tasks that follow each other share it."""
+    return Tokens(path)
 
 
 def pieces(n: int, capacity: int = CAPACITY, least: int = LEAST) -> list[tuple[int, int]]:
@@ -70,12 +104,12 @@ def pieces(n: int, capacity: int = CAPACITY, least: int = LEAST) -> list[tuple[i
 
 def _tokenise(batches: Iterator[pa.RecordBatch], path: str, capacity: int, least: int, keep_ids: bool) -> Iterator[pa.RecordBatch]:
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-    tokens = Tokens(path)
+    encode = tokens(path)
     end = np.array([END], "<u4").tobytes()
     for batch in batches:
         doc, start, length, crc, total, ids = [], [], [], [], [], []
         for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            raw = tokens(text.as_py() or "") + end
+            raw = encode(text.as_py() or "") + end
             n = len(raw) // 4
             for at, size in pieces(n, capacity, least):
                 piece = raw[4 * at : 4 * (at + size)]
