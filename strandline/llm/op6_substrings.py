@@ -13,15 +13,15 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import blocks, cut, mix, packed, partitions, powers, prefix_sums, span_hashes
+from .shared import blocks, cut, mix, packed, partitions, powers, prefix_sums, release, span_hashes
 
 LENGTH = 50
 #: A window opens a phrase if its hash is a multiple of this, so phrases have about as many bytes besides the overlap.
 TRIGGER = 256
 #: Bytes of text that a dictionary is made of.
-CHUNK = 32 << 20
+CHUNK = 16 << 20
 #: Bytes of the seed that says where a window is compared.
-SEED = 12
+SEED = 8
 
 
 def window_hashes(sums: np.ndarray, n: int) -> np.ndarray:
@@ -53,24 +53,32 @@ def runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
 
 
-def _spans(uid: np.ndarray, start: np.ndarray, end: np.ndarray) -> bytes:
-    return np.stack([uid.astype("<i8"), start.astype("<i8"), end.astype("<i8")]).tobytes()
+def pack_pieces(doc: np.ndarray, tag: np.ndarray, start: np.ndarray, size: np.ndarray) -> bytes:
+    """Pieces in the order of their documents in few bytes: ids by their differences, starts and sizes as narrow as they may be."""
+    return b"".join([np.diff(doc, prepend=0).astype("<i8").tobytes(), tag.astype("<u4").tobytes(), start.astype("<u4").tobytes(), size.astype("<u2").tobytes()])
+
+
+def unpack_pieces(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    n = len(raw) // 18
+    doc = np.cumsum(np.frombuffer(raw, "<i8", n))
+    tag, start = (np.frombuffer(raw, "<u4", n, at).astype(np.int64) for at in (8 * n, 12 * n))
+    return doc, tag, start, np.frombuffer(raw, "<u2", n, 16 * n).astype(np.int64)
 
 
 def parse(batch: pa.RecordBatch, buckets: int, length: int = LENGTH) -> Iterator[tuple[int, bytes, bytes]]:
-    """What a batch of ``(uid, id, text)`` has to compare: rows ``(bucket, meta, body)``.
+    """What a batch of ``(tag, id, text)`` has to compare: rows ``(bucket, meta, body)``.
 
     Documents are taken in the order of their ids and parsed into phrases that overlap by
     ``length - 1`` bytes, so each window lies in one phrase. The dictionary holds each phrase once,
     with the smallest id that has it: in a later document it is repeated as a whole. Phrases of the
     dictionary are cut where the least seed of their windows changes, so equal windows have equal
     seeds and meet in the seed's bucket; pieces that recur in the batch are kept once as well. Rows
-    of bucket -1 hold ``(uid, start, end)`` of the windows known to be repeated.
+    of bucket -1 hold ``(id, tag, start, end)`` of the windows known to be repeated.
     """
     ids = np.asarray(batch.column(1))
     order = np.argsort(ids, kind="stable")
     batch = batch.take(pa.array(order))
-    ids, uids = ids[order], np.asarray(batch.column(0))
+    ids, tags = ids[order], np.asarray(batch.column(0))
     data, offsets = packed(batch.column(2))
     phrases: dict[bytes, int] = {}
     known: list[tuple[np.ndarray, ...]] = []
@@ -99,7 +107,7 @@ def parse(batch: pa.RecordBatch, buckets: int, length: int = LENGTH) -> Iterator
             if phrases.setdefault(xxhash.xxh3_128_digest(raw[a:b]), doc) < doc:
                 fresh[k] = False
         old = ~fresh
-        known.append((uids[i + row[old]], (opened - off[row])[old], (last - off[row])[old]))
+        known.append((ids[i + row[old]], tags[i + row[old]], (opened - off[row])[old], (last - off[row])[old]))
         place = seed_places(sums, length)
         depth = np.zeros(len(hashes) + 1, np.int64)
         np.add.at(depth, opened[fresh], 1)
@@ -131,7 +139,7 @@ def parse(batch: pa.RecordBatch, buckets: int, length: int = LENGTH) -> Iterator
                 keep[k] = False
         start = begin - offsets[row]
         old = ~keep
-        known.append((uids[row[old]], start[old], (start + size - length + 1)[old]))
+        known.append((doc[old], tags[row[old]], start[old], (start + size - length + 1)[old]))
         kept = np.flatnonzero(keep)
         kept = kept[np.argsort(bucket[kept], kind="stable")]
         edges = np.concatenate([[0], np.flatnonzero(np.diff(bucket[kept])) + 1, [len(kept)]])
@@ -141,12 +149,11 @@ def parse(batch: pa.RecordBatch, buckets: int, length: int = LENGTH) -> Iterator
             if len(own):
                 n = size[own]
                 at = np.repeat(begin[own] - np.cumsum(n) + n, n) + np.arange(n.sum())
-                meta = np.stack([uids[row[own]], doc[own], start[own], n]).astype("<i8").tobytes()
-                yield int(bucket[own[0]]), squeeze.compress(meta), squeeze.compress(data[at].tobytes())
+                yield int(bucket[own[0]]), squeeze.compress(pack_pieces(doc[own], tags[row[own]], start[own], n)), squeeze.compress(data[at].tobytes())
     if known:
-        uid, start, end = (np.concatenate(x) for x in zip(*known, strict=True))
-        if len(uid):
-            yield -1, _spans(uid, start, end), b""
+        flat = np.stack([np.concatenate(x) for x in zip(*known, strict=True)])
+        if flat.shape[1]:
+            yield -1, zstandard.compress(flat.astype("<i8").tobytes()), b""
 
 
 def suffix_classes(body: np.ndarray, at: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
@@ -169,8 +176,8 @@ def suffix_classes(body: np.ndarray, at: np.ndarray, length: int = LENGTH) -> tu
     return at[order], np.cumsum(new)
 
 
-def repeated_windows(uid: np.ndarray, doc: np.ndarray, start: np.ndarray, size: np.ndarray, body: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """``(uid, start, end)`` of runs of windows that also stand in a document with a smaller id.
+def repeated_windows(doc: np.ndarray, tag: np.ndarray, start: np.ndarray, size: np.ndarray, body: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """``(id, tag, start, end)`` of runs of windows that also stand in a document with a smaller id.
 
     ``body`` has the pieces one after the other. Windows whose 64-bit hash stands alone can't be
     repeated; the suffix order is made of the others, and equal neighbours in it are a class. A
@@ -178,7 +185,6 @@ def repeated_windows(uid: np.ndarray, doc: np.ndarray, start: np.ndarray, size:
     """
     each = size - length + 1
     first = np.cumsum(size) - size
-    piece = np.repeat(np.arange(len(size)), each)
     at = np.repeat(first - np.cumsum(each) + each, each) + np.arange(each.sum())
     h = window_hashes(prefix_sums(body), length)[at]
     order = np.argsort(h)
@@ -187,21 +193,22 @@ def repeated_windows(uid: np.ndarray, doc: np.ndarray, start: np.ndarray, size:
     chosen = order[same[:-1] | same[1:]]
     flags = np.zeros(len(body), bool)
     if len(chosen):
-        owner = np.zeros(len(body), np.int64)
-        owner[at[chosen]] = piece[chosen]
         sorted_at, group = suffix_classes(body, at[chosen], length)
-        ids = doc[owner[sorted_at]]
+        ids = doc[np.searchsorted(first, sorted_at, side="right") - 1]
         heads = np.concatenate([[0], np.flatnonzero(np.diff(group)) + 1])
         least = np.minimum.reduceat(ids, heads)[group]
         flags[sorted_at[ids > least]] = True
     # a piece ends in length - 1 bytes that open no window, so runs never pass from one piece to the next
     a, b = runs(flags)
     of = np.searchsorted(first, a, side="right") - 1
-    return uid[of], start[of] + a - first[of], start[of] + b - first[of]
+    return doc[of], tag[of], start[of] + a - first[of], start[of] + b - first[of]
 
 
-def repeated_spans(docs: DataFrame, id_column: str, text: str, length: int = LENGTH, buckets: int | None = None) -> DataFrame:
-    """``(uid, start, end)``: runs of starts of repeated windows; rows of ``docs`` have ``uid`` and ids that aren't null."""
+def repeated_spans(docs: DataFrame, length: int = LENGTH, buckets: int | None = None) -> DataFrame:
+    """``(id, tag, start, end)``: runs of starts of repeated windows of ``docs``, rows of ``(tag, id, text)`` without nulls.
+
+    A tag is 32 bits that tell texts of the same id apart.
+    """
     many = buckets or 16 * partitions(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -214,17 +221,16 @@ def repeated_spans(docs: DataFrame, id_column: str, text: str, length: int = LEN
                     yield pa.RecordBatch.from_arrays([pa.array([named], pa.int64()), pa.array([meta], pa.binary()), pa.array([body], pa.binary())], names=["bucket", "meta", "body"])
 
     def match(pdf: pd.DataFrame) -> pd.DataFrame:
+        loose = zstandard.ZstdDecompressor()
         if int(pdf["bucket"].iloc[0]) < 0:
-            uid, start, end = np.concatenate([np.frombuffer(m, "<i8").reshape(3, -1) for m in pdf["meta"]], axis=1)
+            found = np.concatenate([np.frombuffer(loose.decompress(m), "<i8").reshape(4, -1) for m in pdf["meta"]], axis=1)
         else:
-            loose = zstandard.ZstdDecompressor()
-            uid, doc, start, size = np.concatenate([np.frombuffer(loose.decompress(m), "<i8").reshape(4, -1) for m in pdf["meta"]], axis=1)
+            doc, tag, start, size = (np.concatenate(x) for x in zip(*(unpack_pieces(loose.decompress(m)) for m in pdf["meta"]), strict=True))
             body = np.frombuffer(b"".join(loose.decompress(x) for x in pdf["body"]), np.uint8)
-            uid, start, end = repeated_windows(uid, doc, start, size, body, length)
-        return pd.DataFrame({"uid": uid, "start": start, "end": end})
+            found = repeated_windows(doc, tag, start, size, body, length)
+        return pd.DataFrame(dict(zip(("id", "tag", "start", "end"), found, strict=True)))
 
-    read = docs.select("uid", F.col(id_column).cast("long").alias("id"), F.col(text))
-    return read.mapInArrow(run, "bucket long, meta binary, body binary").groupBy("bucket").applyInPandas(match, "uid long, start long, end long")
+    return docs.select("tag", "id", "text").mapInArrow(run, "bucket long, meta binary, body binary").groupBy("bucket").applyInPandas(match, "id long, tag long, start long, end long")
 
 
 def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text: str = "text", length: int = LENGTH, keep_text: bool = False) -> DataFrame:
@@ -235,9 +241,10 @@ def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text: str = "text
     Rows that share an id don't remove each other's text; a row with a null id removes nothing and
     loses nothing. Texts shorter than ``length`` stay whole. An empty table gives an empty result.
     """
-    keyed = docs.select(F.xxhash64(id_column, text).alias("uid"), F.col(id_column).cast("long").alias("_id"), F.col(text).alias("_text"))
-    spans = repeated_spans(keyed.where("_id is not null and _text is not null"), "_id", "_text", length)
-    spans = cut(spans.groupBy("uid").agg(F.collect_list(F.struct("start", "end")).alias("spans")))
+    keyed = docs.select(F.pmod(F.xxhash64(id_column, text), F.lit(1 << 32)).alias("tag"), F.col(id_column).cast("long").alias("id"), F.col(text).alias("text"))
+    spans = repeated_spans(keyed.where("id is not null and text is not null"), length)
+    spans = cut(spans.groupBy("id", "tag").agg(F.collect_list(F.struct("start", "end")).alias("spans")))
+    release(docs.sparkSession)
     columns = "_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept_text binary" if keep_text else "")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -267,7 +274,7 @@ def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text: str = "text
             out = [b.column(0), *[pa.array(x, pa.int64()) for x in (total, gone, number)], pa.array(digest, pa.string())]
             yield pa.RecordBatch.from_arrays(out + [pa.array(rest, pa.binary())] * keep_text, names=["_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept_text"] * keep_text)
 
-    joined = keyed.join(spans, "uid", "left").select("_id", "_text", F.when(F.col("_id").isNotNull(), F.col("spans")).alias("spans"))
+    joined = keyed.join(spans, ["id", "tag"], "left").select(F.col("id").alias("_id"), "text", "spans")
     return joined.mapInArrow(run, columns).withColumnRenamed("_id", id_column)
 
 
