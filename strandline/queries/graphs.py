@@ -141,11 +141,18 @@ def visitation_field(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(markov.visitation_field(_visits(spark, sf_dir)[1], seeds, []))
 
 
+def _nodes(e: DataFrame) -> DataFrame:
+    return e.select(F.col("src").alias("node")).union(e.select("dst")).distinct()
+
+
+def _pairs(nodes: DataFrame) -> DataFrame:
+    """Every source with every other node as target."""
+    return nodes.select(F.col("node").alias("source")).crossJoin(nodes.select(F.col("node").alias("target"))).where("source <> target")
+
+
 def _max_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = network_of(spark, sf_dir)
-    nodes = e.select(F.col("src").alias("node")).union(e.select("dst")).distinct()
-    pairs = nodes.where("node < 6").select(F.col("node").alias("source")).crossJoin(nodes.where("node >= 20").select(F.col("node").alias("target")))
-    return network.max_flows(e, pairs.repartition("source", "target"), [])
+    return network.max_flows(e, _pairs(_nodes(e)).repartition("source", "target"), [])
 
 
 @_query()
@@ -167,29 +174,27 @@ def flow_certificate(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query()
 def flow_field(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = network_of(spark, sf_dir).withColumn("g", F.lit(1))
-    nodes = e.select(F.col("src").alias("node")).union(e.select("dst")).distinct()
-    pairs = nodes.where("node < 4").select(F.col("node").alias("source")).crossJoin(nodes.where("node >= 22").select(F.col("node").alias("target"))).withColumn("g", F.lit(1))
-    seeds = nodes.where("node < 4").withColumn("weight", F.lit(1.0))
+    nodes = _nodes(e)
+    pairs = _pairs(nodes).withColumn("g", F.lit(1)).repartition("source", "target")
+    seeds = nodes.where("node < 22").withColumn("weight", F.lit(1.0))
     return rounded(studies.flow_field(e, pairs, nodes.where("node >= 22"), seeds, "g", keep))
 
 
 def _flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = trades(spark, sf_dir)
-    g = t.groupBy(F.col("flag").alias("system"), F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).agg((F.sum("price").cast("double") / MILLION).alias("weight"))
-    w = Window.partitionBy("system", "a").orderBy(F.desc("weight"), "b")
-    return g.withColumn("_r", F.row_number().over(w)).where("_r <= 3").select("system", F.col("a").alias("src"), F.col("b").alias("dst"), "weight")
+    return t.groupBy(F.col("flag").alias("system"), F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).agg((F.sum("price").cast("double") / MILLION).alias("weight"))
 
 
 @_query()
 def flow_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(paths.decompose(_flags(spark, sf_dir), ["system"], list(range(8)), [22, 23, 24], least_length=3, max_paths=60))
+    return rounded(paths.decompose(_flags(spark, sf_dir), ["system"], list(range(25)), [22, 23, 24], least_length=3))
 
 
 @_query()
 def consolidate(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = table(spark, sf_dir, "nation")
     label = n.select(F.col("n_nationkey").alias("node"), F.concat(F.substring(F.lit("ABCD"), F.col("n_nationkey") % 4 + 1, F.lit(1)), (F.floor(F.col("n_nationkey") / 4) + 300).cast("string")).alias("label"))
-    g = studies.consolidated_paths(_flags(spark, sf_dir), "system", list(range(8)), [22, 23, 24], label, keep, least_length=3, target_numbers=[305, 306])
+    g = studies.consolidated_paths(_flags(spark, sf_dir), "system", list(range(25)), [22, 23, 24], label, keep, least_length=3, target_numbers=[305, 306])
     return rounded(g.select("system", F.concat_ws("-", "relative").alias("relative"), F.concat_ws("-", "path").alias("path"), "n_chains", "n_paths", "length", "flow_sum", "score"))
 
 
@@ -208,3 +213,11 @@ def kshort_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = markov.log_weights(markov.transition(top, []), None, [])
     seeds = g.where(F.col("src").between(14, 18)).select(F.col("src").alias("node")).distinct()
     return rounded(paths.best_paths(g, seeds, [23, 24]).select("seed", "target", "length", "rank"), 5)
+
+
+@_query()
+def kshort_network(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole of what ``kshort_paths`` makes for a part, as its SQL can't go through all paths: all edges, seeds and targets."""
+    e = network_of(spark, sf_dir)
+    g = markov.log_weights(markov.transition(e, []), None, [])
+    return rounded(paths.best_paths(g, _nodes(e), list(range(25))).select("seed", "target", "length", "rank"), 5)
