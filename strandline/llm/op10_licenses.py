@@ -65,7 +65,15 @@ class Notice:
                 joined[-1][1] = max(joined[-1][1], b)
             else:
                 joined.append([a, b])
-        return [(m.start(), m.end(), sum(m.fuzzy_counts)) for a, b in joined for m in self.pattern.finditer(text, a, b)]
+        # the best place of a stretch comes first, so what stands before it is searched as well as what comes after
+        out = []
+        while joined:
+            a, b = joined.pop()
+            m = self.pattern.search(text, a, b)
+            if m:
+                out.append((m.start(), m.end(), sum(m.fuzzy_counts)))
+                joined += [[a, m.start()], [m.end(), b]]
+        return sorted(out)
 
 
 def normalise(raw: bytes) -> tuple[str, int]:

@@ -363,3 +363,29 @@ def test_fuzzy_search_finds_all_that_a_full_search_does():
             s[k] = ["", "q", s[k] + "e"][int(rng.integers(0, 3))]
         text = f" some words {''.join(s)} more words "
         assert bool(notice.find(text)) == bool(full.search(text))
+
+
+def test_fuzzy_search_finds_each_of_several_places():
+    rng = np.random.default_rng(12)
+    phrase = "licensed under cc by 4 0"
+    notice = op10_licenses.Notice(phrase, "cc-by")
+    first = notice.find(" licensed undr cc by 4 0 licensed under cc by 4 0 ")
+    assert [x[2] for x in first] == [1, 0]
+    for _ in range(25):
+        parts = []
+        for _ in range(4):
+            s = list(phrase)
+            for _ in range(int(rng.integers(0, 3))):
+                k = int(rng.integers(0, len(s)))
+                s[k] = ["", "q", s[k] + "e"][int(rng.integers(0, 3))]
+            parts.append("".join(s) + " word" * int(rng.integers(0, 3)))
+        text = f" {' '.join(parts)} "
+        found = notice.find(text)
+        assert all(x[1] <= y[0] for x, y in zip(found, found[1:], strict=False))
+        for start in range(len(text)):
+            row = list(range(len(phrase) + 1))
+            for end in range(start + 1, min(len(text), start + len(phrase) + notice.errors) + 1):
+                last, row = row, [row[0] + 1]
+                for k, c in enumerate(phrase):
+                    row.append(min(last[k] + (c != text[end - 1]), last[k + 1] + 1, row[k] + 1))
+                assert row[-1] > notice.errors or any(x[0] < end and start < x[1] and x[2] <= row[-1] for x in found)
