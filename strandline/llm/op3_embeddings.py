@@ -19,12 +19,14 @@ from .shared import cut
 THRESHOLD = 0.9
 #: Vectors that codebooks are trained on at most, and that recall is measured with, the first by a hash.
 TRAIN_ROWS = 20_000
-PROBE_ROWS = 400
+#: Probes are added step by step until so many have neighbours to learn from.
+PROBE_ROWS = (400, 1600, 6400)
+INFORMED_PROBES = 100
 TARGET_RECALL = 0.995
-#: Cells visited where no probe has a neighbour to learn from.
-DEFAULT_VISITS = 24
 LEAST_VISITS = 8
-#: Members, or queries, of a cell that one group compares at a time.
+#: Where recall needs more cells than these, or isn't known, all cells that can hold a link are visited.
+MOST_VISITS = 1024
+#: Members, or queries, of a cell that one group compares at a time; a length of no more vectors is one cell.
 BLOCK = 2048
 
 
@@ -109,6 +111,12 @@ class MultiIndex:
         number = min(number, len(self.c1) * len(self.c2))
         return np.array([multi_sequence(a, b, number) for a, b in zip(d1, d2, strict=True)], np.int32).reshape(len(unit), number)
 
+    def within(self, unit: np.ndarray, radii: tuple[np.ndarray, np.ndarray], reach: float) -> Iterator[np.ndarray]:
+        """All cells that can hold a vector within the squared distance ``reach``, by the triangle inequality in both halves."""
+        d1, d2 = (np.maximum(np.sqrt(d) - r[None], 0) ** 2 for d, r in zip(self.distances(unit), radii, strict=True))
+        for a, b in zip(d1, d2, strict=True):
+            yield np.flatnonzero(a[:, None] + b[None] <= reach + 1e-6).astype(np.int32)
+
 
 def train_index(classes: DataFrame, rows: int, dim: int) -> MultiIndex:
     """Codebooks of a bounded sample, fitted in one task; their size grows with the fourth root of 16ths of the rows, squared."""
@@ -124,38 +132,91 @@ def train_index(classes: DataFrame, rows: int, dim: int) -> MultiIndex:
     return MultiIndex(np.frombuffer(got["c1"]).reshape(-1, half), np.frombuffer(got["c2"]).reshape(-1, dim - half))
 
 
-def visits_for(classes: DataFrame, index: MultiIndex, threshold: float, target: float) -> int:
-    """Cells that queries visit: twice as many as give the target recall to a bounded set of probes against all rows."""
-    probes = [bytes(r["vec"]) for r in classes.orderBy(F.xxhash64("key", F.lit(1)), "key").limit(PROBE_ROWS).select("vec").collect()]
-    unit = unit_rows(probes)
-    most = min(1024, len(index.c1) * len(index.c2))
-    order = index.visits(unit, most)
-    rank = np.full((len(unit), len(index.c1) * len(index.c2)), most, np.int32)
-    np.put_along_axis(rank, order.astype(np.int64), np.arange(most, dtype=np.int32)[None], axis=1)
-    shared = classes.sparkSession.sparkContext.broadcast((unit, rank, index))
+def needed_visits(seen: list[tuple[int, int, int]], target: float) -> int:
+    """Cells to visit by ``(probe, rank of the cell, links)``, so that probes reach the target on average.
+
+    Recall is a mean over probes, and it has to be reached by probes of each order of magnitude of
+    links (powers of 2) by themselves: a large group has neither more weight nor more say than small ones.
+    """
+    probe, rank, n = (np.array(x) for x in zip(*seen, strict=True))
+    links = np.bincount(probe, weights=n)
+    order = np.argsort(rank, kind="stable")
+    most = 0
+    for size in np.unique(np.log2(links[links > 0]).astype(int)):
+        own = (links > 0) & (np.log2(np.maximum(links, 1)).astype(int) == size)
+        at = order[own[probe[order]]]
+        recall = np.cumsum(n[at] / links[probe[at]]) / own.sum()
+        most = max(most, int(rank[at][np.searchsorted(recall, target - 1e-9)]) + 1)
+    return most
+
+
+def visits_for(classes: DataFrame, index: MultiIndex, threshold: float, target: float, rows: int) -> int | None:
+    """Cells that queries visit: twice as many as give the target recall to probes compared with all rows.
+
+    None where that can't be said as too few of the most probes have neighbours, or where it takes too many cells.
+    """
+    cells, seen, done = len(index.c1) * len(index.c2), [], 0
+    for upto in PROBE_ROWS:
+        unit = unit_rows([bytes(r["vec"]) for r in classes.orderBy(F.xxhash64("key", F.lit(1)), "key").limit(upto).select("vec").collect()[done:]])
+        if not len(unit):
+            break
+        shared = classes.sparkSession.sparkContext.broadcast((unit, index))
+
+        def run(frames: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+            q, ix = shared.value
+            for f in frames:
+                own = unit_rows([bytes(v) for v in f["vec"]])
+                cos = q @ own.T
+                i, j = np.nonzero((cos >= threshold) & (cos < 1 - 1e-12))
+                at, n = np.unique(i.astype(np.int64) * cells + ix.cells(own)[j], return_counts=True)
+                yield pd.DataFrame({"at": at, "n": n})
+
+        found = classes.select("vec").mapInPandas(run, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).collect()
+        d1, d2 = index.distances(unit)
+        for r in found:
+            i, cell = divmod(r["at"], cells)
+            total = d1[i, cell // len(index.c2)] + d2[i, cell % len(index.c2)]
+            # the last place among cells of equal sums
+            rank = int(np.searchsorted(np.sort(d2[i]), total + 1e-12 - d1[i], "right").sum()) - 1
+            seen.append((done + i, rank, r["n"]))
+        done += len(unit)
+        if len({x[0] for x in seen}) >= INFORMED_PROBES or done >= rows:
+            break
+    if done < rows and len({x[0] for x in seen}) < INFORMED_PROBES:
+        return None
+    number = max(LEAST_VISITS, 2 * needed_visits(seen, target)) if seen else LEAST_VISITS
+    return number if number <= min(MOST_VISITS, cells) else cells if cells <= MOST_VISITS else None
+
+
+def cell_radii(classes: DataFrame, index: MultiIndex) -> tuple[np.ndarray, np.ndarray]:
+    """The largest distance of a member to each code of both halves."""
+    shared = classes.sparkSession.sparkContext.broadcast(index)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        q, rank_, ix = shared.value
-        seen = np.zeros(most + 1, np.int64)
         for f in frames:
-            own = unit_rows([bytes(v) for v in f["vec"]])
-            cell = ix.cells(own)
-            cos = q @ own.T
-            i, j = np.nonzero((cos >= threshold) & (cos < 1 - 1e-12))
-            seen += np.bincount(rank_[i, cell[j]], minlength=most + 1)
-        at = np.flatnonzero(seen)
-        yield pd.DataFrame({"rank": at, "n": seen[at]})
-
-    found = {r["rank"]: r["n"] for r in classes.select("vec").mapInPandas(run, "rank int, n long").groupBy("rank").agg(F.sum("n").alias("n")).collect()}
-    total = sum(found.values())
-    if not total:
-        return min(DEFAULT_VISITS, most)
-    reached = 0
-    for r in sorted(found):
-        reached += found[r]
-        if reached >= target * total:
-            return min(max(LEAST_VISITS, 2 * (r + 1)), most)
-    return most
+            for half, d in enumerate(shared.value.distances(unit_rows([bytes(v) for v in f["vec"]]))):
+                yield pd.DataFrame({"half": half, "code": d.argmin(axis=1), "r": np.sqrt(d.min(axis=1))}).groupby(["half", "code"], as_index=False).max()
+
+    out = (np.full(len(index.c1), -np.inf), np.full(len(index.c2), -np.inf))
+    for r in classes.select("vec").mapInPandas(run, "half int, code int, r double").groupBy("half", "code").agg(F.max("r").alias("r")).collect():
+        out[r["half"]][r["code"]] = r["r"]
+    return out
+
+
+def place(classes: DataFrame, threshold: float, target: float, rows: int, dim: int) -> DataFrame:
+    """``(dim, rep, m, vec, cell, visited)`` of the vectors of one length."""
+    index = train_index(classes, rows, dim)
+    number = visits_for(classes, index, threshold, target, rows)
+    radii = cell_radii(classes, index) if number is None else None
+    shared = classes.sparkSession.sparkContext.broadcast(index)
+
+    def locate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            unit = unit_rows([v.as_py() for v in b.column(3)])
+            visited = shared.value.visits(unit, number) if radii is None else shared.value.within(unit, radii, 2 - 2 * threshold)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(shared.value.cells(unit), pa.int32()), pa.array(list(visited), pa.list_(pa.int32()))], names=["dim", "rep", "m", "vec", "cell", "visited"])
+
+    return classes.select("dim", "rep", "m", "vec").mapInArrow(locate, "dim int, rep long, m long, vec binary, cell int, visited array<int>")
 
 
 def near_vectors(rows: DataFrame, threshold: float = THRESHOLD, target: float = TARGET_RECALL, id_column: str = "vec_id", vector: str = "embedding") -> DataFrame:
@@ -164,45 +225,33 @@ def near_vectors(rows: DataFrame, threshold: float = THRESHOLD, target: float =
     Equal vectors are one class with a count. Independent codebooks on both halves of the unit
     vectors form a grid; each class stands in its own cell and visits the nearest cells by
     multi-sequence traversal, as many as give the target recall to probes compared with all rows,
-    and what it meets there is verified by cosine in double precision. A pair that only one of both
-    finds counts for both. Cells are compared in blocks of bounded size; blocks give counts and a
+    and what it meets there is verified by cosine in double precision. Where probes can't say how many
+    that are, it visits all cells that can hold a link. Each length of vectors has its own index; all
+    vectors of a length of few are compared. A pair that only one of both finds counts for both. Cells are compared in blocks of bounded size; blocks give counts and a
     stars that join what their links join, never all pairs.
 
     Vectors that are null, zero, of one component or less, or hold null or non-finite components
-    link with nothing, as do those of another length than most. A null id has a null component and
+    link with nothing; those of different lengths don't link. A null id has a null component and
     is kept. Rows that share an id are separate vectors of one node. An empty table gives an empty result.
     """
-    spark = rows.sparkSession
     own = cut(vectors(rows, id_column, vector))
     classes = own.where("vec is not null and id is not null").groupBy("key").agg(F.min("id").alias("rep"), F.count("*").alias("m"), F.min("vec").alias("vec"), F.min("dim").alias("dim"))
     classes = cut(classes)
-    common = classes.groupBy("dim").agg(F.sum("m").alias("n"), F.count("*").alias("rows")).orderBy(F.desc("n"), "dim").first()
-    alone = own.select(F.col("id").alias(id_column), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
-    if common is None:
-        return alone
-    dim = common["dim"]
-    classes = classes.where(F.col("dim") == dim)
-    index = train_index(classes, common["rows"], dim)
-    number = visits_for(classes, index, threshold, target)
-    shared = spark.sparkContext.broadcast(index)
-    cells = len(index.c1) * len(index.c2)
-
-    def locate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            unit = unit_rows([v.as_py() for v in b.column(2)])
-            visited = shared.value.visits(unit, number)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(shared.value.cells(unit), pa.int32()), pa.array(list(visited), pa.list_(pa.int32()))], names=["rep", "m", "vec", "cell", "visited"])
-
-    placed = cut(classes.select("rep", "m", "vec").mapInArrow(locate, "rep long, m long, vec binary, cell int, visited array<int>"))
+    placed = classes.select("dim", "rep", "m", "vec", F.lit(0).alias("cell"), F.array(F.lit(0)).alias("visited"))
+    large = {r["dim"]: r["rows"] for r in classes.groupBy("dim").agg(F.count("*").alias("rows")).where(F.col("rows") > BLOCK).orderBy("dim").collect()}
+    placed = placed.where(~F.col("dim").isin(*large)) if large else placed
+    for dim, number in large.items():
+        placed = placed.unionByName(place(classes.where(F.col("dim") == dim), threshold, target, number, dim))
+    placed = cut(placed)
     # at most one row a cell of the grid, whose size is bounded by the codebooks'
-    asked = placed.select(F.explode("visited").alias("cell")).groupBy("cell").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("q_blocks"))
-    sizes = cut(placed.groupBy("cell").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("m_blocks")).join(asked, "cell"))
+    asked = placed.select("dim", F.explode("visited").alias("cell")).groupBy("dim", "cell").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("q_blocks"))
+    sizes = cut(placed.groupBy("dim", "cell").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("m_blocks")).join(asked, ["dim", "cell"]))
     turn = lambda n, seed: F.pmod(F.xxhash64("rep", F.lit(seed)), F.col(n)).cast("int")
     upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    members = placed.join(sizes, "cell").withColumn("mb", turn("m_blocks", 1)).withColumn("qb", upto("q_blocks"))
-    members = members.select("cell", "mb", "qb", F.lit(True).alias("member"), "rep", "m", "vec", F.col("cell").alias("home"), "visited")
-    queries = placed.select("rep", "m", "vec", F.col("cell").alias("home"), F.explode("visited").alias("cell")).join(sizes, "cell").withColumn("qb", turn("q_blocks", 2)).withColumn("mb", upto("m_blocks"))
-    queries = queries.select("cell", "mb", "qb", F.lit(False).alias("member"), "rep", "m", "vec", "home", F.lit(None).cast("array<int>").alias("visited"))
+    members = placed.join(sizes, ["dim", "cell"]).withColumn("mb", turn("m_blocks", 1)).withColumn("qb", upto("q_blocks"))
+    members = members.select("dim", "cell", "mb", "qb", F.lit(True).alias("member"), "rep", "m", "vec", F.col("cell").alias("home"), "visited")
+    queries = placed.select("dim", "rep", "m", "vec", F.col("cell").alias("home"), F.explode("visited").alias("cell")).join(sizes, ["dim", "cell"]).withColumn("qb", turn("q_blocks", 2)).withColumn("mb", upto("m_blocks"))
+    queries = queries.select("dim", "cell", "mb", "qb", F.lit(False).alias("member"), "rep", "m", "vec", "home", F.lit(None).cast("array<int>").alias("visited"))
     groups = members.unionByName(queries).withColumn("part", F.xxhash64("cell", "mb", "qb"))
 
     def verify(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -217,7 +266,10 @@ def near_vectors(rows: DataFrame, threshold: float = THRESHOLD, target: float =
         count_q = hit @ mm
         # members whose own traversal doesn't come to the query's cell get the link from here
         home = a["home"].to_numpy()
-        visited = np.stack(b["visited"].to_numpy())
+        lists = b["visited"].to_numpy()
+        visited = np.full((len(b), max(map(len, lists))), -1, np.int32)
+        for k, cells_ in enumerate(lists):
+            visited[k, : len(cells_)] = cells_
         count_m = np.zeros(len(b), np.int64)
         for c in np.unique(home[hit.any(axis=1)]):
             rows_ = home == c
@@ -231,10 +283,10 @@ def near_vectors(rows: DataFrame, threshold: float = THRESHOLD, target: float =
         counts = [(int(k), None, int(n)) for k, n in zip(ids, np.concatenate([count_q, count_m]), strict=True) if n]
         return pd.DataFrame(edges + counts, columns=["a", "b", "n"]).astype({"a": "int64", "b": "Int64", "n": "int64"})
 
-    found = cut(groups.groupBy("part").applyInPandas(verify, "a long, b long, n long"))
+    found = cut(groups.groupBy("dim", "part").applyInPandas(verify, "a long, b long, n long"))
     links = found.where("b is null").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("n"))
     parts = connected_components(found.where("b is not null").select("a", "b"))
-    named = classes.select("key", "rep").join(links, "rep", "left").join(parts, F.col("rep") == F.col("node"), "left").select("key", (F.coalesce("n", F.lit(1)) - 1).alias("n"), F.coalesce("component", "rep").alias("c"))
+    named = classes.select("key", "rep", "m").join(links, "rep", "left").join(parts, F.col("rep") == F.col("node"), "left").select("key", (F.coalesce("n", "m") - 1).alias("n"), F.coalesce("component", "rep").alias("c"))
     out = own.select("id", "key").join(named, "key", "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("c", "id"))
     linked = F.when(F.col("id").isNotNull(), F.coalesce("n", F.lit(0))).otherwise(0)

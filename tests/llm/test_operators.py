@@ -100,6 +100,44 @@ def test_embeddings(spark):
     assert op3_embeddings.near_vectors(df.limit(0)).collect() == []
 
 
+def links_of(x, threshold=0.9):
+    u = np.stack(x) / np.linalg.norm(x, axis=1, keepdims=True)
+    return (u @ u.T >= threshold).sum(axis=1) - 1
+
+
+def test_embeddings_of_small_groups_beside_a_large_one(spark):
+    rng = np.random.default_rng(3)
+    around = lambda c, n, by: [c + rng.normal(size=16) * by for _ in range(n)]
+    x = around(rng.normal(size=16), 1500, 0.01) + [rng.normal(size=16) for _ in range(1500)]
+    x += [v for _ in range(375) for v in around(rng.normal(size=16), 4, 0.22)]
+    got = {r.vec_id: r.n_links for r in op3_embeddings.near_vectors(spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")).collect()}
+    want = links_of(x)
+    small = [k for k in range(3000, 4500) if want[k]]
+    assert sum(got[k] for k in small) >= 0.985 * sum(want[k] for k in small) and all(got[k] <= want[k] for k in got)
+
+
+def test_visits_give_each_size_of_group_its_recall():
+    large = [(k, 0, 10_000) for k in range(130)]
+    small = [(200 + k, 30, 2) for k in range(20)]
+    assert op3_embeddings.needed_visits(large + small, 0.995) == 31 and op3_embeddings.needed_visits(large, 0.995) == 1
+
+
+def test_embeddings_without_a_measure_are_exact(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    x = [rng.normal(size=16) for _ in range(900)]
+    x += [x[k] + rng.normal(size=16) * 0.25 for k in range(60)]
+    for name, value in {"BLOCK": 64, "PROBE_ROWS": (5,), "MOST_VISITS": 4}.items():
+        monkeypatch.setattr(op3_embeddings, name, value)
+    got = {r.vec_id: r.n_links for r in op3_embeddings.near_vectors(spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")).collect()}
+    assert [got[k] for k in range(len(x))] == links_of(x).tolist() and any(got.values())
+
+
+def test_embeddings_of_each_length(spark):
+    rows = [(0, [1.0, 2.0, 3.0]), (1, [1.0, 2.0, 3.1]), (2, [1.0, 2.0]), (3, [1.0, 2.1]), (4, [1.0, 2.1]), (5, [-1.0, 1.0, 0.0, 0.0]), (6, [1.0, 1.0, 1.0]), (7, [5.0, -1.0, 0.0])]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in op3_embeddings.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert got == {0: (2, 0), 1: (2, 0), 2: (2, 2), 3: (2, 2), 4: (2, 2), 5: (0, 5), 6: (2, 0), 7: (0, 7)}
+
+
 def test_multi_sequence_is_sorted():
     rng = np.random.default_rng(1)
     a, b = rng.random(7), rng.random(5)
