@@ -116,7 +116,7 @@ def seed_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.range(1).select(F.explode(labels.expand_ranges([(5, 8), (7, 11)], [20, 3])).alias("number"))
 
 
-TOP = 24
+TOP = 150
 
 
 def _top(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -132,7 +132,7 @@ def _known(spark: SparkSession, sf_dir: str) -> dict:
 
 
 def _distances(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
-    pairs = seqalign.all_pairs(_top(spark, sf_dir), ["g"], "item").repartition("g", "i")
+    pairs = seqalign.all_pairs(_top(spark, sf_dir), ["g"], "item").repartition("g", "i", "j")
     return seqalign.distances(pairs, kind, _known(spark, sf_dir)).select("g", "i", "j", "distance")
 
 
@@ -148,7 +148,7 @@ def nw_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query()
 def sw_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = seqalign.all_pairs(_top(spark, sf_dir).where("item <= 6"), ["g"], "item").repartition("g", "i")
+    pairs = seqalign.all_pairs(_top(spark, sf_dir), ["g"], "item").repartition("g", "i", "j")
     return seqalign.aligned_columns(pairs, "local", _known(spark, sf_dir))
 
 

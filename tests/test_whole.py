@@ -103,3 +103,15 @@ def test_shortest_paths_of_the_whole_network(spark, folder):
                 if all(x in length for x in itertools.pairwise((s, *p))):
                     found.append((sum(length[x] for x in itertools.pairwise((s, *p))), p[-1]))
         assert [x[1] for x in got[s]] == pytest.approx([d for d, _ in sorted(found)[:5]], abs=1e-4)
+
+
+def test_all_pairs_of_150_paths_a_group(spark):
+    from strandline.queries import sequences
+
+    got = {k: queries.QUERIES[k](spark, "/root/testdata/sf0.001") for k in ("nw_distance", "sw_distance", "sw_columns", "cluster_upgma")}
+    assert sequences.TOP == 150
+    for k in ("nw_distance", "sw_distance"):
+        assert {r.g: r["count"] for r in got[k].groupBy("g").count().collect()} == dict.fromkeys(range(3), 150 * 149 // 2)
+    close = {(r.g, r.i, r.j) for r in got["sw_distance"].where("distance < 1").collect()}
+    assert {(r.g, r.i, r.j) for r in got["sw_columns"].select("g", "i", "j").distinct().collect()} >= close and max(x[2] for x in close) > 100
+    assert {r.g: r["count"] for r in got["cluster_upgma"].groupBy("g").count().collect()} == dict.fromkeys(range(3), 150)
