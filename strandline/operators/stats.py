@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 GRID = 300
@@ -36,31 +37,93 @@ def fit_two(x: np.ndarray, equal: bool, rounds: int = 200) -> tuple[float, np.nd
     return like, w, m, sd
 
 
-def choose(x: np.ndarray, least_weight: float = 0.10, least_apart: float = 0.50) -> dict:
-    """Two components where BIC prefers them, each has weight enough and their means are apart; else one."""
-    sd = x.std(ddof=1) if len(x) > 1 else 0.0
-    one = {"components": 1, "weights": [1.0], "means": [float(x.mean())], "sds": [float(sd) if sd > 0 else 1.0]}
-    if len(x) <= 10 or np.ptp(x) <= 0:
+def _decide(n: int, spread: float, mean: float, sd: float, base: float, fits: list[tuple], least_weight: float = 0.10, least_apart: float = 0.50) -> dict:
+    """``choose`` from figures alone: ``base`` is one component's log likelihood, ``fits`` are those of two, of equal deviations and of own ones."""
+    one = {"components": 1, "weights": [1.0], "means": [float(mean)], "sds": [float(sd) if sd > 0 else 1.0]}
+    if n <= 10 or spread <= 0:
         return one
-    bic = lambda like, k: 2 * like - k * np.log(len(x))
-    base = bic(np.log(_normal(x, x.mean(), x.std()) + 1e-300).sum(), 2)
-    two = max((bic(f[0], 4 if equal else 5), f) for equal, f in ((e, fit_two(x, e)) for e in (True, False)))
-    _, (_, w, m, s) = two
-    if two[0] > base and w.min() >= least_weight and abs(m[0] - m[1]) / s.mean() >= least_apart:
+    bic = lambda like, k: 2 * like - k * np.log(n)
+    best, (_, w, m, s) = max(((bic(f[0], k), f) for k, f in zip((4, 5), fits, strict=True)), key=lambda x: x[0])
+    if best > bic(base, 2) and w.min() >= least_weight and abs(m[0] - m[1]) / s.mean() >= least_apart:
         order = np.argsort(m)
         return {"components": 2, "weights": w[order].tolist(), "means": m[order].tolist(), "sds": s[order].tolist()}
     return one
 
 
-def mixtures(df: DataFrame, key: str, value: str) -> DataFrame:
-    """``(key, n, low, high, components, weights, means, sds)`` of each group's finite values, one group a task."""
+def choose(x: np.ndarray, least_weight: float = 0.10, least_apart: float = 0.50) -> dict:
+    """Two components where BIC prefers them, each has weight enough and their means are apart; else one."""
+    sd = x.std(ddof=1) if len(x) > 1 else 0.0
+    plain = len(x) <= 10 or np.ptp(x) <= 0
+    base = 0.0 if plain else float(np.log(_normal(x, x.mean(), x.std()) + 1e-300).sum())
+    return _decide(len(x), float(np.ptp(x)), x.mean(), sd, base, [] if plain else [fit_two(x, e) for e in (True, False)], least_weight, least_apart)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = pdf[value].to_numpy(float)
-        return pd.DataFrame([{key: pdf[key].iloc[0], "n": len(x), "low": x.min(), "high": x.max(), **choose(x)}])
 
-    rows = df.where(F.col(value).isNotNull() & ~F.isnan(value)).select(key, value)
-    return rows.groupBy(key).applyInPandas(run, f"{key} {dict(df.dtypes)[key]}, n long, low double, high double, components int, weights array<double>, means array<double>, sds array<double>")
+def _density(x: Column, mean: Column, sd: Column) -> Column:
+    return F.exp(-0.5 * F.pow((x - mean) / sd, 2)) / (sd * float(np.sqrt(2 * np.pi)))
+
+
+def mixtures(df: DataFrame, key: str, value: str, keep: Callable[[DataFrame], DataFrame] = DataFrame.cache, rounds: int = 200) -> DataFrame:
+    """``(key, n, low, high, components, weights, means, sds)`` of each group's finite values, as ``choose`` gives them.
+
+    A group's values are never in one task together: each round of expectation maximisation is a
+    partial aggregate, for whose parameters the driver holds a few rows a group. The halves that it
+    starts from are cut at an approximate median, exact up to 100,000 values.
+    """
+    spark, kind = df.sparkSession, dict(df.dtypes)[key]
+    rows = keep(df.where(F.col(value).isNotNull() & ~F.isnan(value)).select(F.col(key).alias("_k"), F.col(value).cast("double").alias("_x")))
+    x = F.col("_x")
+
+    def meet(params: list[tuple], names: str) -> DataFrame:
+        schema = f"_key {kind}, " + ", ".join(f"{c} {'int' if c == 'mode' else 'double'}" for c in names.split())
+        return rows.join(F.broadcast(spark.createDataFrame(params, schema)), F.col("_k").eqNullSafe(F.col("_key")))
+
+    figures = rows.groupBy("_k").agg(F.count("*").alias("n"), F.min(x).alias("low"), F.max(x).alias("high"), F.avg(x).alias("mean"), F.stddev_pop(x).alias("sd"), F.percentile_approx(x, 0.5, 100_000).alias("mid")).collect()
+    more = {r["_k"]: r for r in figures if r["n"] > 10 and r["high"] > r["low"]}
+    fits, open_, start = {}, {}, []
+    if more:
+        # the first half has the values under the middle, and of those equal to it as many as are missing
+        less, above, d = x < F.col("mid"), x > F.col("mid"), x - F.col("mean")
+        part = lambda c, v: F.sum(F.when(c, v).otherwise(0.0))
+        base = F.sum(F.log(_density(x, F.col("mean"), F.col("sd")) + 1e-300)).alias("base")
+        start = meet([(k, float(r["mid"]), float(r["mean"]), float(r["sd"])) for k, r in more.items()], "mid mean sd").groupBy("_k").agg(
+            base, *[part(c, v).alias(f"{name}{p}") for name, c in (("less", less), ("above", above)) for p, v in enumerate((F.lit(1.0), d, d * d))],
+        ).collect()
+    likes = {r["_k"]: r["base"] for r in start}
+    for r in start:
+        k, own = r["_k"], more[r["_k"]]
+        equal = own["n"] - r["less0"] - r["above0"]
+        take = min(max(own["n"] // 2 - r["less0"], 0), equal)
+        dev = own["mid"] - own["mean"]
+        halves = np.array([[r[f"{name}{p}"] + c * dev**p for p in range(3)] for name, c in (("less", take), ("above", equal - take))])
+        at = halves[:, 1] / halves[:, 0]
+        floor = max(1e-6, 1e-3 * own["sd"])
+        sd = np.maximum(np.sqrt(np.maximum(halves[:, 2] / halves[:, 0] - at**2, 0)), floor)
+        for mode in (0, 1):
+            open_[k, mode] = (np.array([0.5, 0.5]), own["mean"] + at, sd, -np.inf)
+    for _ in range(rounds):
+        if not open_:
+            break
+        p = [F.col(f"w{c}") * _density(x, F.col(f"m{c}"), F.col(f"s{c}")) + 1e-300 for c in (0, 1)]
+        met = meet([(k, mode, *map(float, (*w, *m, *s))) for (k, mode), (w, m, s, _) in open_.items()], "mode w0 w1 m0 m1 s0 s1").withColumn("p0", p[0]).withColumn("p1", p[1])
+        share = [F.col(f"p{c}") / (F.col("p0") + F.col("p1")) for c in (0, 1)]
+        sums = [F.sum(share[c] * F.pow(x - F.col(f"m{c}"), q)).alias(f"r{c}{q}") for c in (0, 1) for q in (0, 1, 2)]
+        for r in met.groupBy("_k", "mode").agg(F.sum(F.log(F.col("p0") + F.col("p1"))).alias("like"), *sums).collect():
+            at, own = (r["_k"], r["mode"]), more[r["_k"]]
+            _, m, _, last = open_[at]
+            n, a, b = (np.array([r[f"r{c}{q}"] for c in (0, 1)]) for q in (0, 1, 2))
+            var = np.maximum(b - a**2 / n, 0)
+            s = np.maximum(np.sqrt(np.full(2, var.sum() / own["n"]) if r["mode"] == 0 else var / n), max(1e-6, 1e-3 * own["sd"]))
+            fits[at] = (r["like"], n / own["n"], m + a / n, s)
+            open_[at] = (*fits[at][1:], r["like"])
+            if r["like"] - last < 1e-8 * abs(r["like"]):
+                del open_[at]
+    out = []
+    for r in figures:
+        k, n = r["_k"], r["n"]
+        sd = r["sd"] * np.sqrt(n / (n - 1)) if n > 1 else 0.0
+        c = _decide(n, r["high"] - r["low"], r["mean"], sd, likes.get(k, 0.0), [fits[k, mode] for mode in (0, 1)] if k in more else [])
+        out.append((k, n, float(r["low"]), float(r["high"]), c["components"], c["weights"], c["means"], c["sds"]))
+    return spark.createDataFrame(out, f"{key} {kind}, n long, low double, high double, components int, weights array<double>, means array<double>, sds array<double>")
 
 
 def density_curve(mix: DataFrame, key: str, bins: int = 35, points: int = GRID) -> DataFrame:

@@ -12,6 +12,7 @@ from ..plans import studies
 from ..proxies import FRAMES_SQL, SERIES_SQL, frames, table
 from ..proxies import series as series_of
 from .common import registry, rounded
+from .graphs import keep
 
 QUERIES, ORACLES, _query = registry()
 
@@ -226,12 +227,12 @@ def pooled_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query()
 def gmm2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(stats.mixtures(series_of(spark, sf_dir), "condition", "value").select("condition", "n", "low", "high", "components", F.element_at("means", 1).alias("mean_1"), F.element_at("sds", 1).alias("sd_1")), 4)
+    return rounded(stats.mixtures(series_of(spark, sf_dir), "condition", "value", keep).select("condition", "n", "low", "high", "components", F.element_at("means", 1).alias("mean_1"), F.element_at("sds", 1).alias("sd_1")), 4)
 
 
 @_query()
 def density_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(stats.density_curve(stats.mixtures(series_of(spark, sf_dir), "condition", "value"), "condition"), 6)
+    return rounded(stats.density_curve(stats.mixtures(series_of(spark, sf_dir), "condition", "value", keep), "condition"), 6)
 
 
 _Q = "quantile_cont(value, 0.75) - quantile_cont(value, 0.25)"

@@ -115,3 +115,21 @@ def test_all_pairs_of_150_paths_a_group(spark):
     close = {(r.g, r.i, r.j) for r in got["sw_distance"].where("distance < 1").collect()}
     assert {(r.g, r.i, r.j) for r in got["sw_columns"].select("g", "i", "j").distinct().collect()} >= close and max(x[2] for x in close) > 100
     assert {r.g: r["count"] for r in got["cluster_upgma"].groupBy("g").count().collect()} == dict.fromkeys(range(3), 150)
+
+
+def test_mixtures_are_aggregates(spark):
+    from strandline.operators import stats
+
+    rng = np.random.default_rng(8)
+    groups = {"two": np.r_[rng.normal(0, 1, 301), rng.normal(6, 2, 200)], "ties": np.round(np.r_[rng.normal(0, 1, 150), rng.normal(9, 1, 100)]), "one": rng.normal(3, 1, 200), "few": rng.normal(0, 1, 5), "flat": np.full(20, 2.0), None: rng.normal(0, 1, 40)}
+    df = spark.createDataFrame([(k, float(v)) for k, x in groups.items() for v in x], "g string, v double")
+    got = stats.mixtures(df, "g", "v")
+    assert "Pandas" not in got._jdf.queryExecution().toString()
+    got = {r.g: r for r in got.collect()}
+    assert set(got) == set(groups)
+    for k, x in groups.items():
+        want, r = stats.choose(x), got[k]
+        assert (r.n, r.low, r.high, r.components) == (len(x), x.min(), x.max(), want["components"])
+        for c in ("weights", "means", "sds"):
+            assert r[c] == pytest.approx(want[c], abs=1e-6)
+    assert {k: got[k].components for k in groups} == {"two": 2, "ties": 2, "one": 1, "few": 1, "flat": 1, None: got[None].components}
