@@ -10,8 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .op2_toxicity import held_out
-from .shared import SPACE, blocks, cut, packed, prefix_sums, span_hashes, words
+from .op2_toxicity import held_out, labelled_texts
+from .shared import SPACE, blocks, packed, prefix_sums, span_hashes, words
 
 #: Labelled rows of each class that a model is fitted on at most, the first by a hash of their id.
 MAX_PER_CLASS = 1500
@@ -161,12 +161,16 @@ def fit(x: np.ndarray, first: np.ndarray, labels: np.ndarray, weight: np.ndarray
     return {"w": theta[: w.size].copy(), "start": theta[w.size : w.size + 2].copy(), "move": theta[w.size + 2 :].reshape(2, 2).copy()}
 
 
-def train(labelled: DataFrame, id_column: str, text: str, label: str, max_per_class: int = MAX_PER_CLASS) -> dict[str, np.ndarray] | None:
-    """A field fitted in one task on the first ``max_per_class`` rows of each label by a hash of the id, weighed to all rows' shares."""
-    counts = {r[0]: r[1] for r in labelled.groupBy(label).count().collect()}
+def train(labelled: DataFrame, id_column: str, text: str, label: str, max_per_class: int = MAX_PER_CLASS, counts: dict[int, int] | None = None) -> dict[str, np.ndarray] | None:
+    """A field fitted in one task on the first ``max_per_class`` rows of each label by a hash of the id, then of the text.
+
+    Rows are weighed to the shares of all rows, or to ``counts`` where ``labelled`` is a sample already.
+    """
+    counts = counts if counts is not None else {r[0]: r[1] for r in labelled.where(F.col(label).isin(0, 1)).groupBy(label).count().collect()}
     if not counts:
         return None
-    picked = [labelled.where(F.col(label) == k).select(F.col(id_column).alias("i"), F.col(text).alias("t"), F.col(label).cast("int").alias("y")).orderBy(F.xxhash64("i"), "i").limit(max_per_class) for k in (0, 1)]
+    first = (F.xxhash64("i"), F.col("i"), F.xxhash64("t"), F.col("t"))
+    picked = [labelled.where(F.col(label) == k).select(F.col(id_column).alias("i"), F.col(text).alias("t"), F.col(label).cast("int").alias("y")).orderBy(*first).limit(max_per_class) for k in (0, 1)]
 
     def learn(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         xs, number, ys = [], [], []
@@ -183,7 +187,7 @@ def train(labelled: DataFrame, id_column: str, text: str, label: str, max_per_cl
         got = fit(np.concatenate(xs), np.concatenate([[0], np.cumsum(np.concatenate(number))]), y, weight)
         yield pd.DataFrame({k: [x.tobytes()] for k, x in got.items()})
 
-    row = picked[0].unionByName(picked[1]).repartition(1).sortWithinPartitions("i").mapInPandas(learn, "w binary, start binary, move binary").first()
+    row = picked[0].unionByName(picked[1]).repartition(1).sortWithinPartitions("i", F.xxhash64("t"), "y").mapInPandas(learn, "w binary, start binary, move binary").first()
     return {"w": np.frombuffer(row["w"]), "start": np.frombuffer(row["start"]), "move": np.frombuffer(row["move"]).reshape(2, 2)}
 
 
@@ -191,7 +195,8 @@ def score_quality(docs: DataFrame, model: dict[str, np.ndarray] | None, id_colum
     """``id_column, score, n_lines, n_bad``: the lines' probabilities of being good, weighed by their bytes.
 
     An empty line weighs one byte. Null counts as the empty text, which is one empty line. Without a
-    model, for want of labelled rows, every score is 0.5.
+    model, for want of labelled rows, every score is 0.5. Repeated rows and ids, null ids too, are
+    scored each for itself; an empty table gives an empty result; other columns aren't read.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -214,8 +219,8 @@ def score_quality(docs: DataFrame, model: dict[str, np.ndarray] | None, id_colum
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quality of every whole text of ``documents``, by a field of the labels of rows that aren't held out."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    known = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", F.col("quality").alias("_label")).where(F.col("_label").isin(0, 1)).dropDuplicates(["doc_id"])
-    labelled = cut(docs.select("doc_id", "text").join(known, "doc_id").where(~held_out("doc_id", 3, 1)))
-    scored = score_quality(docs, train(labelled, "doc_id", "text", "_label"))
+    counts, sample = labelled_texts(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), "quality", 3, 1, MAX_PER_CLASS)
+    scored = score_quality(docs, train(sample, "doc_id", "text", "_label", counts=counts))
     return scored.select("doc_id", F.coalesce(held_out("doc_id", 3, 1), F.lit(False)).alias("held_out"), "score", F.when(F.col("score") >= THRESHOLD, 1).otherwise(0).alias("predicted"), "n_lines", "n_bad")
