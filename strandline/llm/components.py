@@ -37,6 +37,13 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b", max_round
     return edges.select(F.col("v").alias("node"), F.col("u").alias("component")).unionByName(edges.select(F.col("u").alias("node"), F.col("u").alias("component")).distinct())
 
 
+def least_ids(nodes: DataFrame, components: DataFrame) -> DataFrame:
+    """``nodes`` (``node, id`` and more) with ``component_id``: the smallest id of the nodes of a node's component, itself included."""
+    labelled = cut(nodes.join(components, "node", "left").withColumn("component", F.coalesce("component", "node")))
+    least = cut(labelled.groupBy("component").agg(F.min("id").alias("component_id"), F.count("*").alias("members")).where("members > 1"))
+    return labelled.join(least.drop("members"), "component", "left").withColumn("component_id", F.coalesce("component_id", "id")).drop("component")
+
+
 def _is_stars(edges: DataFrame) -> bool:
     """Whether every node has one link and none is linked to a node that has one."""
     each = edges.groupBy("v").agg(F.count("*").alias("n"), F.min("u").alias("u"))
