@@ -45,7 +45,7 @@ def least_ids(nodes: DataFrame, components: DataFrame) -> DataFrame:
 
 
 def _is_stars(edges: DataFrame) -> bool:
-    """Whether every node has one link and none is linked to a node that has one."""
-    each = edges.groupBy("v").agg(F.count("*").alias("n"), F.min("u").alias("u"))
-    inner = each.select(F.col("v").alias("w"))
-    return each.join(inner, F.col("u") == F.col("w"), "left").where("n > 1 or w is not null").isEmpty()
+    """Whether every node has one link and none is linked to a node that has one; hubs are one row each before they meet."""
+    each = edges.groupBy("v").agg(F.count("*").alias("n"))
+    inner = edges.select("u").distinct().join(each, F.col("u") == F.col("v"), "left_semi")
+    return each.where("n > 1").select("v").unionByName(inner.select(F.col("u").alias("v"))).isEmpty()

@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .components import connected_components
+from .components import connected_components, least_ids
 from .op7_minhash import stars
 from .shared import cut
 
@@ -73,20 +73,25 @@ def multi_sequence(d1: np.ndarray, d2: np.ndarray, visits: int) -> list[int]:
 
 
 def vectors(rows: DataFrame, id_column: str, vector: str) -> DataFrame:
-    """``(id, key, dim, vec)`` of vectors that can link: all components finite, not all zero; others have a null ``vec``."""
+    """``(id, key, dim, vec)`` of vectors that can link: all components finite, not all zero; others have a null ``vec``.
+
+    ``vec`` is scaled by its largest component, so no norm over- or underflows; vectors that are then
+    equal have one ``key``. One of a single component gets a second one, zero, and keeps its ``dim``.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             keys, dims, raws = [], [], []
             for v in b.column(1):
                 raw = None
-                if v.is_valid and v.values.null_count == 0 and len(v.values) > 1:
+                if v.is_valid and v.values.null_count == 0 and len(v.values):
                     x = np.asarray(v.values).astype("<f8")
-                    norm = np.linalg.norm(x)
-                    if np.isfinite(x).all() and np.isfinite(norm) and norm > 0 and np.isfinite(x / norm).all():
-                        raw = x.tobytes()
+                    most = np.abs(x).max()
+                    if np.isfinite(most) and most > 0:
+                        x = x / most + 0.0  # no negative zeros
+                        raw = (x if len(x) > 1 else np.append(x, 0.0)).tobytes()
                 raws.append(raw)
-                dims.append(len(raw) // 8 if raw else None)
+                dims.append(len(v.values) if raw else None)
                 keys.append(xxhash.xxh3_128_digest(raw) if raw else None)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(keys, pa.binary()), pa.array(dims, pa.int32()), pa.array(raws, pa.binary())], names=["id", "key", "dim", "vec"])
 
@@ -120,6 +125,7 @@ class MultiIndex:
 
 def train_index(classes: DataFrame, rows: int, dim: int) -> MultiIndex:
     """Codebooks of a bounded sample, fitted in one task; their size grows with the fourth root of 16ths of the rows, squared."""
+    dim = max(dim, 2)
     codes = int(2 ** np.clip(round(np.log2(max(rows, 1) / 16) / 2), 2, 10))
     half = dim // 2
 
@@ -204,7 +210,7 @@ def cell_radii(classes: DataFrame, index: MultiIndex) -> tuple[np.ndarray, np.nd
 
 
 def place(classes: DataFrame, threshold: float, target: float, rows: int, dim: int) -> DataFrame:
-    """``(dim, rep, m, vec, cell, visited)`` of the vectors of one length."""
+    """``(dim, node, m, vec, cell, visited)`` of the vectors of one length."""
     index = train_index(classes, rows, dim)
     number = visits_for(classes, index, threshold, target, rows)
     radii = cell_radii(classes, index) if number is None else None
@@ -214,9 +220,9 @@ def place(classes: DataFrame, threshold: float, target: float, rows: int, dim: i
         for b in batches:
             unit = unit_rows([v.as_py() for v in b.column(3)])
             visited = shared.value.visits(unit, number) if radii is None else shared.value.within(unit, radii, 2 - 2 * threshold)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(shared.value.cells(unit), pa.int32()), pa.array(list(visited), pa.list_(pa.int32()))], names=["dim", "rep", "m", "vec", "cell", "visited"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(shared.value.cells(unit), pa.int32()), pa.array(list(visited), pa.list_(pa.int32()))], names=["dim", "node", "m", "vec", "cell", "visited"])
 
-    return classes.select("dim", "rep", "m", "vec").mapInArrow(locate, "dim int, rep long, m long, vec binary, cell int, visited array<int>")
+    return classes.select("dim", "node", "m", "vec").mapInArrow(locate, "dim int, node long, m long, vec binary, cell int, visited array<int>")
 
 
 def near_vectors(rows: DataFrame, threshold: float = THRESHOLD, target: float = TARGET_RECALL, id_column: str = "vec_id", vector: str = "embedding") -> DataFrame:
@@ -227,17 +233,20 @@ def near_vectors(rows: DataFrame, threshold: float = THRESHOLD, target: float =
     multi-sequence traversal, as many as give the target recall to probes compared with all rows,
     and what it meets there is verified by cosine in double precision. Where probes can't say how many
     that are, it visits all cells that can hold a link. Each length of vectors has its own index; all
-    vectors of a length of few are compared. A pair that only one of both finds counts for both. Cells are compared in blocks of bounded size; blocks give counts and a
-    stars that join what their links join, never all pairs.
-
-    Vectors that are null, zero, of one component or less, or hold null or non-finite components
-    link with nothing; those of different lengths don't link. A null id has a null component and
-    is kept. Rows that share an id are separate vectors of one node. An empty table gives an empty result.
+    vectors of a length of few are compared. A pair that only one of both finds counts for both.
+    Cells are compared in blocks of bounded size; blocks give counts and stars that join what their
+    links join, never all pairs.
+
+    Vectors that are null, zero, empty, or hold null or non-finite components link with nothing;
+    those of different lengths don't link. A row with a null id links with nothing, has a null
+    component and is kept. Each row is a node of its own, also where rows share an id; a component
+    is named by the smallest id of its rows. An empty table gives an empty result; columns that
+    aren't named aren't read.
     """
     own = cut(vectors(rows, id_column, vector))
-    classes = own.where("vec is not null and id is not null").groupBy("key").agg(F.min("id").alias("rep"), F.count("*").alias("m"), F.min("vec").alias("vec"), F.min("dim").alias("dim"))
-    classes = cut(classes)
-    placed = classes.select("dim", "rep", "m", "vec", F.lit(0).alias("cell"), F.array(F.lit(0)).alias("visited"))
+    classes = own.where("vec is not null and id is not null").groupBy("dim", "key").agg(F.min("id").alias("id"), F.count("*").alias("m"), F.min("vec").alias("vec"))
+    classes = cut(classes.withColumn("node", F.monotonically_increasing_id()))
+    placed = classes.select("dim", "node", "m", "vec", F.lit(0).alias("cell"), F.array(F.lit(0)).alias("visited"))
     large = {r["dim"]: r["rows"] for r in classes.groupBy("dim").agg(F.count("*").alias("rows")).where(F.col("rows") > BLOCK).orderBy("dim").collect()}
     placed = placed.where(~F.col("dim").isin(*large)) if large else placed
     for dim, number in large.items():
@@ -246,12 +255,12 @@ def near_vectors(rows: DataFrame, threshold: float = THRESHOLD, target: float =
     # at most one row a cell of the grid, whose size is bounded by the codebooks'
     asked = placed.select("dim", F.explode("visited").alias("cell")).groupBy("dim", "cell").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("q_blocks"))
     sizes = cut(placed.groupBy("dim", "cell").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("m_blocks")).join(asked, ["dim", "cell"]))
-    turn = lambda n, seed: F.pmod(F.xxhash64("rep", F.lit(seed)), F.col(n)).cast("int")
+    turn = lambda n, seed: F.pmod(F.xxhash64("node", F.lit(seed)), F.col(n)).cast("int")
     upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     members = placed.join(sizes, ["dim", "cell"]).withColumn("mb", turn("m_blocks", 1)).withColumn("qb", upto("q_blocks"))
-    members = members.select("dim", "cell", "mb", "qb", F.lit(True).alias("member"), "rep", "m", "vec", F.col("cell").alias("home"), "visited")
-    queries = placed.select("dim", "rep", "m", "vec", F.col("cell").alias("home"), F.explode("visited").alias("cell")).join(sizes, ["dim", "cell"]).withColumn("qb", turn("q_blocks", 2)).withColumn("mb", upto("m_blocks"))
-    queries = queries.select("dim", "cell", "mb", "qb", F.lit(False).alias("member"), "rep", "m", "vec", "home", F.lit(None).cast("array<int>").alias("visited"))
+    members = members.select("dim", "cell", "mb", "qb", F.lit(True).alias("member"), "node", "m", "vec", F.col("cell").alias("home"), "visited")
+    queries = placed.select("dim", "node", "m", "vec", F.col("cell").alias("home"), F.explode("visited").alias("cell")).join(sizes, ["dim", "cell"]).withColumn("qb", turn("q_blocks", 2)).withColumn("mb", upto("m_blocks"))
+    queries = queries.select("dim", "cell", "mb", "qb", F.lit(False).alias("member"), "node", "m", "vec", "home", F.lit(None).cast("array<int>").alias("visited"))
     groups = members.unionByName(queries).withColumn("part", F.xxhash64("cell", "mb", "qb"))
 
     def verify(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -259,7 +268,7 @@ def near_vectors(rows: DataFrame, threshold: float = THRESHOLD, target: float =
         a, b = pdf[~is_member], pdf[is_member]
         if not len(a) or not len(b):
             return pd.DataFrame({"a": [], "b": [], "n": []}, dtype="int64")
-        qa, mb = a["rep"].to_numpy(), b["rep"].to_numpy()
+        qa, mb = a["node"].to_numpy(), b["node"].to_numpy()
         x, y = unit_rows([bytes(v) for v in a["vec"]]), unit_rows([bytes(v) for v in b["vec"]])
         ma, mm = a["m"].to_numpy(), b["m"].to_numpy()
         hit = x @ y.T >= threshold
@@ -284,14 +293,15 @@ def near_vectors(rows: DataFrame, threshold: float = THRESHOLD, target: float =
         return pd.DataFrame(edges + counts, columns=["a", "b", "n"]).astype({"a": "int64", "b": "Int64", "n": "int64"})
 
     found = cut(groups.groupBy("dim", "part").applyInPandas(verify, "a long, b long, n long"))
-    links = found.where("b is null").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("n"))
+    links = found.where("b is null").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("n"))
     parts = connected_components(found.where("b is not null").select("a", "b"))
-    named = classes.select("key", "rep", "m").join(links, "rep", "left").join(parts, F.col("rep") == F.col("node"), "left").select("key", (F.coalesce("n", "m") - 1).alias("n"), F.coalesce("component", "rep").alias("c"))
-    out = own.select("id", "key").join(named, "key", "left")
+    named = least_ids(classes.select("dim", "key", "node", "id", "m"), parts).join(links, "node", "left").select("dim", "key", (F.coalesce("n", "m") - 1).alias("n"), F.col("component_id").alias("c"))
+    out = own.select("id", "dim", "key").join(named, ["dim", "key"], "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("c", "id"))
     linked = F.when(F.col("id").isNotNull(), F.coalesce("n", F.lit(0))).otherwise(0)
     return out.select(F.col("id").alias(id_column), linked.cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(component == F.col("id"), F.lit(True)).alias("kept"))
 
 
 def op3_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of ``embeddings`` by cosine 0.9 or more, and the number of links of each vector."""
     return near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
