@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import bisect
+import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -51,29 +53,50 @@ class Notice:
         self.pattern = regex.compile(f"(?b)(?:{regex.escape(phrase, literal_spaces=True)}){{e<={self.errors}}}")
 
     def find(self, text: str) -> list[tuple[int, int, int]]:
-        """``(start, end, errors)`` of the best non-overlapping places in ``text``."""
-        reach: list[list[int]] = []
+        """``(start, end, errors)`` of non-overlapping places in ``text``, the best first and of equals the leftmost.
+
+        Each place of a seed gives a window that any match around it lies in. A window whose best
+        match overlaps a better one is searched again in the parts that are left of it, so no place
+        that doesn't overlap a chosen one is missed.
+        """
+        windows = set()
         for at, seed in self.seeds:
             p = text.find(seed)
             while p >= 0:
-                reach.append([max(0, p - at - self.errors), min(len(text), p - at + len(self.phrase) + self.errors)])
+                windows.add((max(0, p - at - self.errors), min(len(text), p - at + len(self.phrase) + self.errors)))
                 p = text.find(seed, p + 1)
-        reach.sort()
-        joined: list[list[int]] = []
-        for a, b in reach:
-            if joined and a <= joined[-1][1]:
-                joined[-1][1] = max(joined[-1][1], b)
+        heap: list[tuple[int, int, int, int, int]] = []
+
+        def search(a: int, b: int) -> None:
+            if b - a >= len(self.phrase) - self.errors and (m := self.pattern.search(text, a, b)):
+                heapq.heappush(heap, (sum(m.fuzzy_counts), m.start(), m.end(), a, b))
+
+        for a, b in windows:
+            search(a, b)
+        out = Disjoint()
+        while heap:
+            errors, start, end, a, b = heapq.heappop(heap)
+            clash = out.overlapping(start, end)
+            if clash is None:
+                out.add(start, end, errors)
             else:
-                joined.append([a, b])
-        # the best place of a stretch comes first, so what stands before it is searched as well as what comes after
-        out = []
-        while joined:
-            a, b = joined.pop()
-            m = self.pattern.search(text, a, b)
-            if m:
-                out.append((m.start(), m.end(), sum(m.fuzzy_counts)))
-                joined += [[a, m.start()], [m.end(), b]]
-        return sorted(out)
+                search(a, min(clash[0], b))
+                search(max(clash[1], a), b)
+        return out.spans
+
+
+class Disjoint:
+    """Spans ``(start, end, what)`` in the order of their starts, none of which overlaps another."""
+
+    def __init__(self) -> None:
+        self.spans: list[tuple] = []
+
+    def overlapping(self, start: int, end: int) -> tuple | None:
+        k = bisect.bisect_left(self.spans, end, key=lambda s: s[0])
+        return self.spans[k - 1] if k and self.spans[k - 1][1] > start else None
+
+    def add(self, start: int, end: int, what: object) -> None:
+        self.spans.insert(bisect.bisect_left(self.spans, start, key=lambda s: s[0]), (start, end, what))
 
 
 def normalise(raw: bytes) -> tuple[str, int]:
@@ -84,19 +107,31 @@ def normalise(raw: bytes) -> tuple[str, int]:
 
 def places(text: str, phrase: str) -> list[int]:
     """Word numbers at which the phrase's words stand one after the other."""
-    out, needle, p = [], f" {phrase} ", -1
+    out, needle, p, seen, upto = [], f" {phrase} ", -1, -1, 0
     while (p := text.find(needle, p + 1)) >= 0:
-        out.append(text.count(" ", 0, p + 1) - 1)
+        seen, upto = seen + text.count(" ", upto, p + 1), p + 1
+        out.append(seen)
     return out
 
 
 def best_spans(spans: list[dict]) -> list[dict]:
     """Of spans that overlap those with the best score, then the most words; in the order of the text."""
-    kept: list[dict] = []
+    kept = Disjoint()
     for s in sorted(spans, key=lambda s: (-s["score"], -s["n_words"], s["first_word"], s["label"])):
-        if all(s["first_word"] >= k["first_word"] + k["n_words"] or k["first_word"] >= s["first_word"] + s["n_words"] for k in kept):
-            kept.append(s)
-    return sorted(kept, key=lambda s: s["first_word"])
+        if kept.overlapping(s["first_word"], s["first_word"] + s["n_words"]) is None:
+            kept.add(s["first_word"], s["first_word"] + s["n_words"], s)
+    return [s[2] for s in kept.spans]
+
+
+def word_spans(text: str, found: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """``(first_word, n_words, errors)`` of places of normalised text, widened to whole words."""
+    spaces = np.flatnonzero(np.frombuffer(text.encode("utf-32-le"), "<u4") == 0x20) if found else np.zeros(0, np.int64)
+    out = []
+    for start, end, errors in found:
+        first = max(int(np.searchsorted(spaces, start, "right")) - 1, 0)
+        last = int(np.searchsorted(spaces, end - 1, "left")) - 1
+        out.append((first, last - first + 1, errors))
+    return out
 
 
 def scan_licenses(docs: DataFrame, id_column: str = "doc_id", text: str = "text", phrases: tuple = PHRASES, notices: tuple = NOTICES) -> DataFrame:
@@ -106,8 +141,8 @@ def scan_licenses(docs: DataFrame, id_column: str = "doc_id", text: str = "text"
     is 1 less the share of edits in the notice's characters. ``base`` has each place where a phrase's
     words stand one after the other, whatever is between them; ``fuzzy`` the best places of
     notices within their edits, over the words joined by single spaces, widened to whole words and
-    without overlaps. Null
-    counts as empty and has no word; other columns are not read; ids are passed on as they are.
+    without overlaps. Null counts as empty and has no word; repeated rows and ids, null ids too, are
+    scanned each for itself; an empty table gives an empty result; other columns are not read.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -120,10 +155,7 @@ def scan_licenses(docs: DataFrame, id_column: str = "doc_id", text: str = "text"
                 base.append([{"label": label, "first_word": w, "n_words": phrase.count(" ") + 1, "errors": 0, "score": 1.0} for phrase, label in phrases for w in places(words, phrase)])
                 spans = []
                 for s in searches:
-                    for start, end, errors in s.find(words):
-                        first = max(words.count(" ", 0, start + 1) - 1, 0) if words[start] == " " else words.count(" ", 0, start) - 1
-                        last = words.count(" ", 0, end - 1) - 1 if words[end - 1] == " " else words.count(" ", 0, end) - 1
-                        spans.append({"label": s.label, "first_word": first, "n_words": last - first + 1, "errors": errors, "score": 1 - errors / len(s.phrase)})
+                    spans += [{"label": s.label, "first_word": w, "n_words": k, "errors": e, "score": 1 - e / len(s.phrase)} for w, k, e in word_spans(words, s.find(words))]
                 fuzzy.append(best_spans(spans))
             kind = pa.list_(pa.struct([("label", pa.string()), ("first_word", pa.int64()), ("n_words", pa.int64()), ("errors", pa.int32()), ("score", pa.float64())]))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n_words, pa.int64()), pa.array(base, kind), pa.array(fuzzy, kind)], names=["_id", "n_words", "base", "fuzzy"])
@@ -133,6 +165,7 @@ def scan_licenses(docs: DataFrame, id_column: str = "doc_id", text: str = "text"
 
 
 def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence phrases and notices of every whole text of ``documents``."""
     spans = scan_licenses(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     labels = lambda x: F.concat_ws(",", F.array_sort(F.array_distinct(x)))
     scores = F.concat(F.transform("base", lambda s: s["score"]), F.transform("fuzzy", lambda s: s["score"]))
