@@ -6,12 +6,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .shared import cut, partitions
 
 SLOTS = 4
+#: Partial rows that a bucket of the index has on average at most; the number of buckets follows from the input.
+BUCKET_ROWS = 50_000
 
 
 class CuckooFilter:
@@ -93,13 +95,13 @@ class CuckooFilter:
             self.insert(key, [low, count])
 
 
-def digests(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with ``text_sha256``: SHA-256 of the text with each run of white space made one space.
+def digest(text: str) -> Column:
+    """SHA-256 of the text with each run of white space made one space; null counts as empty.
 
     The expression only touches runs that are not one space already, as those are rare.
     """
     normal = F.regexp_replace(F.coalesce(F.col(text), F.lit("")), r"[\x09-\x0D][\x20\x09-\x0D]*|\x20[\x20\x09-\x0D]+", " ")
-    return docs.withColumn("text_sha256", F.sha2(F.encode(normal, "UTF-8"), 256))
+    return F.sha2(F.encode(normal, "UTF-8"), 256)
 
 
 def _combine(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -107,46 +109,76 @@ def _combine(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield f.groupby("key", sort=False, as_index=False).agg(low=("id", "min"), n=("id", "size"))
 
 
-def _index(pdf: pd.DataFrame) -> pd.DataFrame:
+def _rows(live: CuckooFilter) -> pd.DataFrame:
+    found = live.payload.values()
+    return pd.DataFrame({"key": list(live.payload), "keep_id": [x[0] for x in found], "group_size": [x[1] for x in found]}, columns=["key", "keep_id", "group_size"])
+
+
+def _index(pdf: pd.DataFrame, repeated: bool) -> pd.DataFrame:
     live = CuckooFilter(len(pdf))
     for key, low, n in zip(pdf["key"], pdf["low"], pdf["n"], strict=True):
         live.add(bytes(key), int(low), int(n))
-    return pd.DataFrame({"key": list(live.payload), "keep_id": [x[0] for x in live.payload.values()], "group_size": [x[1] for x in live.payload.values()]}, columns=["key", "keep_id", "group_size"])
+    if repeated:
+        for key in [k for k, x in live.payload.items() if x[1] == 1]:
+            live.delete(key)
+    return _rows(live)
+
+
+def bucketed(rows: DataFrame, buckets: int) -> DataFrame:
+    return rows.withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(buckets)))
+
+
+def folded(rows: DataFrame, key: Column, id_column: str) -> DataFrame:
+    """``(key, low, n)``: the copies of each batch in one row a digest; rows with a null id or digest are left out."""
+    rows = rows.select(key.alias("key"), F.col(id_column).cast("long").alias("id")).where("id is not null and key is not null")
+    return rows.mapInPandas(_combine, "key binary, low long, n long")
 
 
-def live_digests(digested: DataFrame, id_column: str, key: str, buckets: int) -> DataFrame:
+def live_digests(digested: DataFrame, id_column: str, key: str, buckets: int, repeated: bool = False) -> DataFrame:
     """``(key, keep_id, group_size)`` of each distinct digest, by one cuckoo index a bucket of digests.
 
     Each batch first folds its copies into one row a digest, so a digest that a third of the rows
-    share reaches its bucket as a row a batch. A bucket is a range of digests and grows with the
-    input unless ``buckets`` does.
+    share reaches its bucket as a row a batch. If only ``repeated`` ones are asked for, digests that
+    stand alone are deleted from the index once all are in it.
     """
-    part = digested.select(F.unhex(key).alias("key"), F.col(id_column).cast("long").alias("id")).mapInPandas(_combine, "key binary, low long, n long")
-    part = part.withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(buckets)))
-    return part.groupBy("bucket").applyInPandas(lambda pdf: _index(pdf), "key binary, keep_id long, group_size long")
+    part = bucketed(folded(digested, F.unhex(key), id_column), buckets)
+    return part.groupBy("bucket").applyInPandas(lambda pdf: _index(pdf, repeated), "key binary, keep_id long, group_size long")
 
 
-def update_index(index: DataFrame, batch: DataFrame, delete: bool = False, key: str = "key", id_column: str = "id", buckets: int = 1024) -> DataFrame:
-    """Insert a batch of ``(key, id)`` into, or delete its keys from, a ``(key, keep_id, group_size)`` index.
+def update_index(index: DataFrame, batch: DataFrame, delete: bool = False, key: str = "key", id_column: str = "id", buckets: int = 1024, copies: DataFrame | None = None) -> DataFrame:
+    """Insert a batch of ``(key, id)`` into, or delete it from, a ``(key, keep_id, group_size)`` index.
 
     The index and the batch meet bucket by bucket; each bucket refills its filter from its stored
-    keys, applies the batch and returns the live rows. Deleting a key that isn't live changes nothing.
+    keys, applies the batch and returns the live rows. Deletion takes out copies: a digest's
+    ``group_size`` falls by the copies that go, and the digest goes with its last one. ``copies``,
+    the live ``(key, id)`` rows before the deletion, says which of the batch are live and which id is
+    then the smallest; without it each row of the batch counts as a live copy and ``keep_id`` stays.
+    Deleting a key that isn't live changes nothing. Rows with a null id or key are left out.
     """
-    old = index.select(F.col("key"), F.col("keep_id").alias("low"), F.col("group_size").alias("n")).withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(buckets)))
-    new = batch.select(F.col(key).alias("key"), F.col(id_column).cast("long").alias("id")).mapInPandas(_combine, "key binary, low long, n long").withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(buckets)))
+    old = bucketed(index.select("key", F.col("keep_id").alias("low"), F.col("group_size").alias("n")), buckets)
+    new = folded(batch, F.col(key), id_column)
+    if delete and copies is not None:
+        gone = batch.select(F.col(key).alias("key"), F.col(id_column).cast("long").alias("id")).where("id is not null and key is not null")
+        held = copies.select(F.col(key).alias("key"), F.col(id_column).cast("long").alias("id")).where("id is not null").join(gone.select("key").distinct(), "key", "left_semi")
+        left = held.withColumn("n", F.lit(1)).unionByName(gone.withColumn("n", F.lit(-1))).groupBy("key", "id").agg(F.sum("n").alias("n")).where("n > 0")
+        left = left.groupBy("key").agg(F.min("id").alias("low"), F.sum("n").alias("n"))
+        new = gone.select("key").distinct().join(left, "key", "left").select("key", F.coalesce("low", F.lit(0)).alias("low"), F.coalesce("n", F.lit(0)).alias("n"))
 
     def apply(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         live = CuckooFilter(len(a))
         for k, low, n in zip(a["key"], a["low"], a["n"], strict=True):
             live.insert(bytes(k), [int(low), int(n)])
-        for k, low, n in zip(b["key"], b["low"], b["n"], strict=True):
-            if delete:
-                live.delete(bytes(k))
-            else:
-                live.add(bytes(k), int(low), int(n))
-        return pd.DataFrame({"key": list(live.payload), "keep_id": [x[0] for x in live.payload.values()], "group_size": [x[1] for x in live.payload.values()]}, columns=["key", "keep_id", "group_size"])
+        for k, low, n in zip(map(bytes, b["key"]), b["low"], b["n"], strict=True):
+            if not delete:
+                live.add(k, int(low), int(n))
+            elif live.holds(k):
+                kept = live.payload[k]
+                kept[0], kept[1] = (kept[0], kept[1] - int(n)) if copies is None else (int(low), int(n))
+                if kept[1] <= 0:
+                    live.delete(k)
+        return _rows(live)
 
-    return old.groupBy("bucket").cogroup(new.groupBy("bucket")).applyInPandas(apply, "key binary, keep_id long, group_size long")
+    return old.groupBy("bucket").cogroup(bucketed(new, buckets).groupBy("bucket")).applyInPandas(apply, "key binary, keep_id long, group_size long")
 
 
 def exact_dedup(docs: DataFrame, id_column: str = "doc_id", text: str = "text", buckets: int | None = None) -> DataFrame:
@@ -158,9 +190,9 @@ def exact_dedup(docs: DataFrame, id_column: str = "doc_id", text: str = "text",
     An empty table gives an empty result; other columns are not read.
     """
     spark = docs.sparkSession
-    digested = cut(digests(docs.select(F.col(id_column).cast("long").alias("_id"), F.col(text).alias("_text")), "_text").drop("_text"))
-    live = live_digests(digested.where("_id is not null"), "_id", "text_sha256", buckets or 16 * partitions(spark))
-    groups = live.where("group_size > 1").select(F.lower(F.hex("key")).alias("text_sha256"), "keep_id", "group_size")
+    digested = cut(docs.select(F.col(id_column).cast("long").alias("_id"), digest(text).alias("text_sha256")))
+    many = buckets or max(partitions(spark), -(-digested.count() // BUCKET_ROWS))
+    groups = live_digests(digested, "_id", "text_sha256", many, repeated=True).select(F.lower(F.hex("key")).alias("text_sha256"), "keep_id", "group_size")
     named = F.col("_id").isNotNull()
     keep = F.coalesce("keep_id", "_id")
     return digested.join(groups, "text_sha256", "left").select(
@@ -173,6 +205,7 @@ def exact_dedup(docs: DataFrame, id_column: str = "doc_id", text: str = "text",
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of equal texts of ``documents``."""
     return exact_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import LOWER, SPACE, blocks, cut, mix, packed, powers, prefix_sums
+from .shared import LOWER, SPACE, blocks, cut, mix, packed, powers, prefix_sums, quoted
 
 BITS = 20
 ORDERS = (4, 5)
@@ -175,11 +175,6 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float], id_column: str = "do
     return rows.mapInArrow(run, schema)
 
 
-def quoted(name: str) -> str:
-    """A column's name as it stands, with whatever signs."""
-    return "`" + name.replace("`", "``") + "`"
-
-
 def held_out(id_column: str, parts: int, out: int) -> F.Column:
     return F.pmod(F.crc32(F.col(id_column).cast("string").cast("binary")), F.lit(parts)) == out
 

@@ -195,7 +195,7 @@ def near_components(banded: DataFrame, fetch: Callable[[DataFrame], DataFrame],
     return connected_components(links.unionByName(compare(texts, pairs.distinct(), words, per_hundred)))
 
 
-def near_dedup(docs: DataFrame, words: int = 5, per_hundred: int = 80, bands: int = BANDS, id_column: str = "doc_id", text: str = "text") -> DataFrame:
+def near_dedup(docs: DataFrame, words: int = 5, per_hundred: int = 80, bands: int = BANDS, id_column: str = "doc_id", text: str = "text", one: bool = False) -> DataFrame:
     """One row a document: ``id_column, n_shingles, component_id, kept, text_hash``.
 
     A document's set holds its distinct ``words``-word shingles; one of fewer words has its whole
@@ -206,7 +206,8 @@ def near_dedup(docs: DataFrame, words: int = 5, per_hundred: int = 80, bands: in
 
     Each row is a node of its own: rows that share an id but not a text may be in different
     components. Rows with a null id are kept with a null component and link nothing. An empty table
-    gives an empty result. ``text_hash`` is ``xxhash64`` of the text, to tell rows of an id apart.
+    gives an empty result. ``text_hash`` is ``xxhash64`` of the text, to tell rows of an id apart;
+    ``kept`` holds for rows with the component's id, or, with ``one``, only those of its first text hash.
     """
     signed = cut(signatures(docs, words, bands, id_column, text))
     first = F.min(F.struct("id", "text_hash"))
@@ -218,7 +219,16 @@ def near_dedup(docs: DataFrame, words: int = 5, per_hundred: int = 80, bands: in
     named = least_ids(classes.select("node", "key", "id"), components).select("key", "component_id")
     out = signed.select("id", "text_hash", "n_shingles", "key").join(named, "key", "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id"))
-    return out.select(F.col("id").alias(id_column), "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("id"), F.lit(True)).alias("kept"), "text_hash")
+    kept = F.coalesce(component == F.col("id"), F.lit(True))
+    out = out.select(F.col("id").alias(id_column), "n_shingles", component.alias("component_id"), kept.alias("kept"), "text_hash")
+    if not one:
+        return out
+    # several texts of one id may be in a component; rows without words are no copies of others
+    out = cut(out)
+    rest = out.where(F.col("kept") & F.col(id_column).isNotNull() & (F.col("n_shingles") > 0)).groupBy("component_id").agg(F.min("text_hash").alias("_first"), F.max("text_hash").alias("_last")).where("_first <> _last")
+    rest = rest.select(F.col("component_id").alias("_of"), "_first")
+    out = out.join(rest, (F.col("component_id") == F.col("_of")) & (F.col("n_shingles") > 0), "left")
+    return out.withColumn("kept", F.col("kept") & F.coalesce(F.col("text_hash") == F.col("_first"), F.lit(True))).drop("_of", "_first")
 
 
 def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

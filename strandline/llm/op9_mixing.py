@@ -80,7 +80,7 @@ def mix_sources(docs: DataFrame, id_column: str = "doc_id", text: str = "text",
     copies = F.floor(place * each + F.col("offset")) - F.floor((place - 1) * each + F.col("offset"))
     return rows.select(
         F.col("_id").alias(id_column), "size", "source_size", "target", copies.cast("long").alias("copies"),
-        (copies * F.col("size")).cast("long").alias("taken"), *[F.col(f"_keep_{i}").alias(f"_{c}" if c in (id_column, "size", "target", "taken") else c) for i, c in enumerate(keep)],
+        (copies * F.col("size")).cast("long").alias("taken"), *[F.col(f"_keep_{i}").alias(f"_{c}" if c in (id_column, "size", "source_size", "target", "copies", "taken") else c) for i, c in enumerate(keep)],
     )
 
 
@@ -94,6 +94,7 @@ def take(docs: DataFrame, id_column: str = "doc_id", text: str = "text", source:
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many words the mix takes of each of ``documents``."""
     return mix_sources(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "size", "source_size", "target", "taken")
 
 

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import gc
+import re
+import shutil
 import tempfile
 import time
 import uuid
@@ -11,7 +14,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: ``[\x20\x09-\x0D]``, the white space of every operator here.
 SPACE = np.zeros(256, bool)
@@ -27,12 +31,15 @@ _powers: dict[str, np.ndarray] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the session names none."""
+    """The folder that driver and executors share; where a local session names none, a temporary one that goes with it."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         found = spark.sparkContext.getCheckpointDir()
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="strandline-")
+        atexit.register(shutil.rmtree, found, ignore_errors=True)
         spark.sparkContext.setCheckpointDir(found)
     return found
 
@@ -47,6 +54,28 @@ def cut(df: DataFrame, partition_by: str | None = None) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def decided(docs: DataFrame, marks: DataFrame, ids: Column, texts: Column) -> DataFrame:
+    """The rows of ``docs`` that stay by ``marks``, rows ``(id, text_key, kept)`` of each of them, decided by row.
+
+    A row goes if a mark of its id and text says so; of rows that are the same in both one stays.
+    ``ids`` and ``texts`` make id and key of a row of ``docs``, whatever its other columns are called. Rows with
+    a null id stay. Only ids and keys of those that go are shuffled beside the rows.
+    """
+    names = docs.columns
+    rows = docs.select(ids.alias("_i"), F.coalesce(texts, F.lit("")).alias("_k"), *[F.col(quoted(c)).alias(f"_c{n}") for n, c in enumerate(names)])
+    marks = cut(marks.select("id", F.coalesce("text_key", F.lit("")).alias("text_key"), "kept").where("id is not null"))
+    gone = marks.where("not kept").select("id", "text_key").distinct()
+    again = cut(marks.where("kept").groupBy("id", "text_key").count().where("count > 1").drop("count"))
+    same = (F.col("_i") == F.col("id")) & (F.col("_k") == F.col("text_key"))
+    columns = [F.col(f"_c{n}").alias(c) for n, c in enumerate(names)]
+    if again.isEmpty():
+        return rows.join(gone, same, "left_anti").select(*columns)
+    stay = rows.join(gone.unionByName(again), same, "left_anti").select(*columns)
+    whole = F.struct(*[F.col(f"_c{n}") for n in range(len(names))])
+    one = rows.join(again, same, "left_semi").groupBy("_i", "_k").agg(F.min_by(whole, F.xxhash64(whole)).alias("_row"))
+    return stay.unionByName(one.select(*[F.col("_row").getField(f"_c{n}").alias(c) for n, c in enumerate(names)]))
+
+
 def release(spark: SparkSession) -> None:
     """Let Spark delete the shuffle files of plans that nothing refers to any more, instead of at its next collection in half an hour.
 
@@ -58,6 +87,11 @@ def release(spark: SparkSession) -> None:
         time.sleep(0.5)
 
 
+def quoted(name: str) -> str:
+    """A column's name as it stands, with whatever signs."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
