@@ -1,16 +1,18 @@
 """The corpus pipeline: toxicity, exact dedup, near dedup, mixing, packing, each stage written and read again.
 
-Rows with null or empty text, null ids or null sources pass all stages like others. Rows that share an
-id stay or go together, as dedup decides by id. Extra columns are carried along. Empty tables give
-empty results.
+Rows with null or empty text or null sources pass all stages like others. Dedup decides by row: rows
+that share an id but not a text are judged each for itself, and of rows equal in both one stays. Rows
+with a null id are no copies of others and stay. Extra columns are carried along, whatever their names.
+Empty tables give empty results.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from strandline.llm import op1_exact_dedup, op2_toxicity, op7_minhash, op8_packing, op9_mixing
-from strandline.llm.shared import cut
+from strandline.llm.shared import cut, decided
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,20 +23,21 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     model = op2_toxicity.fit_on(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     columns = docs.columns
-    scored = op2_toxicity.score(docs, model, keep=tuple(c for c in columns if c != "doc_id"), name="_toxicity")
-    return scored.where(scored["_toxicity"] < op2_toxicity.THRESHOLD).select(*columns)
+    hidden = docs.toDF(*[f"c{k}" for k in range(len(columns))])  # so that no name clashes
+    scored = op2_toxicity.score(hidden, model, hidden.columns[columns.index("doc_id")], hidden.columns[columns.index("text")], keep=tuple(hidden.columns), name="score")
+    return scored.where(F.col("score") < op2_toxicity.THRESHOLD).select(*[F.col(f"c{k}").alias(c) for k, c in enumerate(columns)])
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of smallest id of each group of equal texts."""
-    gone = op1_exact_dedup.exact_dedup(docs).where("not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """The row of smallest id of each group of equal texts; of rows equal in id and text, one."""
+    found = op1_exact_dedup.exact_dedup(docs)
+    return decided(docs, found.select(F.col("doc_id").alias("id"), F.col("text_sha256").alias("text_key"), "kept"), F.col("doc_id"), op1_exact_dedup.digest("text"))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of smallest id of each component of near-duplicates: five-word shingles, similarity 0.8."""
-    gone = op7_minhash.near_dedup(docs, words=5, per_hundred=80).where("not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """One row of each component of near-duplicates, that of smallest id: five-word shingles, similarity 0.8."""
+    found = op7_minhash.near_dedup(docs, words=5, per_hundred=80, one=True)
+    return decided(docs, found.select(F.col("doc_id").alias("id"), F.col("text_hash").cast("string").alias("text_key"), "kept"), F.col("doc_id"), F.xxhash64("text").cast("string"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
