@@ -13,13 +13,13 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import blocks, cut, mix, packed, partitions, powers, prefix_sums, release, span_hashes
+from .shared import blocks, mix, packed, partitions, powers, prefix_sums, span_hashes
 
 LENGTH = 50
 #: A window opens a phrase if its hash is a multiple of this, so phrases have about as many bytes besides the overlap.
 TRIGGER = 256
 #: Bytes of text that a dictionary is made of.
-CHUNK = 16 << 20
+CHUNK = 32 << 20
 #: Bytes of the seed that says where a window is compared.
 SEED = 8
 
@@ -176,16 +176,44 @@ def suffix_classes(body: np.ndarray, at: np.ndarray, length: int = LENGTH) -> tu
     return at[order], np.cumsum(new)
 
 
+def dictionary(body: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """For each piece of ``body`` the first piece that has the same bytes: the dictionary, and the parse as numbers into it."""
+    content = span_hashes(prefix_sums(body), first, first + size)
+    order = np.lexsort((size, content))
+    new = np.ones(len(order), bool)
+    new[1:] = (content[order][1:] != content[order][:-1]) | (size[order][1:] != size[order][:-1])
+    entry = np.empty(len(order), np.int64)
+    # lexsort is stable, so the head of a run is its first piece
+    entry[order] = order[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]
+    again = np.flatnonzero(entry != np.arange(len(entry)))
+    if len(again):
+        n = size[again]
+        begin = np.cumsum(n) - n
+        step = np.arange(n.sum()) - np.repeat(begin, n)
+        same = body[np.repeat(first[again], n) + step] == body[np.repeat(first[entry[again]], n) + step]
+        other = again[~np.logical_and.reduceat(same, begin)]
+        entry[other] = other  # of equal hash only; entries of its own
+    return entry
+
+
 def repeated_windows(doc: np.ndarray, tag: np.ndarray, start: np.ndarray, size: np.ndarray, body: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """``(id, tag, start, end)`` of runs of windows that also stand in a document with a smaller id.
 
-    ``body`` has the pieces one after the other. Windows whose 64-bit hash stands alone can't be
-    repeated; the suffix order is made of the others, and equal neighbours in it are a class. A
-    window is repeated if the least id of its class is below its own.
+    ``body`` has the pieces one after the other. Equal pieces are one entry of the dictionary, with the
+    least id of the documents that the parse says have it. Entries' windows whose 64-bit hash stands
+    alone can't be repeated; the dictionary's suffix order is made of the others, equal neighbours in it
+    are a class, and a class has the least id of its entries. The parse takes that back to the
+    documents: all of an entry is repeated where it stands in a later document than its first, and
+    there a window is repeated if the least id of its class is smaller.
     """
-    each = size - length + 1
     first = np.cumsum(size) - size
-    at = np.repeat(first - np.cumsum(each) + each, each) + np.arange(each.sum())
+    entry = dictionary(body, first, size)
+    low = np.full(len(doc), np.iinfo(np.int64).max)
+    np.minimum.at(low, entry, doc)
+    whole = doc > low[entry]
+    owner = np.flatnonzero(entry == np.arange(len(entry)))
+    each = size[owner] - length + 1
+    at = np.repeat(first[owner] - np.cumsum(each) + each, each) + np.arange(each.sum())
     h = window_hashes(prefix_sums(body), length)[at]
     order = np.argsort(h)
     same = np.zeros(len(h) + 1, bool)
@@ -194,14 +222,23 @@ def repeated_windows(doc: np.ndarray, tag: np.ndarray, start: np.ndarray, size:
     flags = np.zeros(len(body), bool)
     if len(chosen):
         sorted_at, group = suffix_classes(body, at[chosen], length)
-        ids = doc[np.searchsorted(first, sorted_at, side="right") - 1]
+        ids = low[np.searchsorted(first, sorted_at, side="right") - 1]
         heads = np.concatenate([[0], np.flatnonzero(np.diff(group)) + 1])
         least = np.minimum.reduceat(ids, heads)[group]
         flags[sorted_at[ids > least]] = True
     # a piece ends in length - 1 bytes that open no window, so runs never pass from one piece to the next
     a, b = runs(flags)
     of = np.searchsorted(first, a, side="right") - 1
-    return doc[of], tag[of], start[of] + a - first[of], start[of] + b - first[of]
+    found = [(doc[whole], tag[whole], start[whole], (start + size - length + 1)[whole])]
+    # the runs of an entry hold for each place where its first document has it
+    places = np.flatnonzero(~whole)
+    places = places[np.argsort(entry[places], kind="stable")]
+    begin, end = np.searchsorted(entry[places], of, "left"), np.searchsorted(entry[places], of, "right")
+    n = end - begin
+    k = np.repeat(np.arange(len(of)), n)
+    there = places[np.repeat(begin - np.cumsum(n) + n, n) + np.arange(n.sum())]
+    found.append((doc[there], tag[there], start[there] + (a - first[of])[k], start[there] + (b - first[of])[k]))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, buckets: int | None = None) -> DataFrame:
@@ -243,17 +280,24 @@ def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text: str = "text
     """
     keyed = docs.select(F.pmod(F.xxhash64(id_column, text), F.lit(1 << 32)).alias("tag"), F.col(id_column).cast("long").alias("id"), F.col(text).alias("text"))
     spans = repeated_spans(keyed.where("id is not null and text is not null"), length)
-    spans = cut(spans.groupBy("id", "tag").agg(F.collect_list(F.struct("start", "end")).alias("spans")))
-    release(docs.sparkSession)
+    spans = spans.groupBy("id", "tag").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
     columns = "_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept_text binary" if keep_text else "")
 
+    def squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        small = zstandard.ZstdCompressor(level=1)
+        for b in batches:
+            data, offsets = packed(b.column(2))
+            raw = memoryview(data)
+            rows = [small.compress(raw[i:j]) for i, j in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(rows, pa.binary())], names=["tag", "id", "body"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        loose = zstandard.ZstdDecompressor()
         for b in batches:
-            data, offsets = packed(b.column(1))
-            found = b.column(2)
+            body, found = b.column(1), b.column(2)
             total, gone, number, digest, rest = [], [], [], [], []
             for k in range(b.num_rows):
-                raw = data[offsets[k] : offsets[k + 1]]
+                raw = np.frombuffer(loose.decompress(body[k].as_buffer()), np.uint8)
                 kept = raw
                 own = found[k].values if found[k].is_valid else None
                 n = 0
@@ -274,9 +318,12 @@ def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text: str = "text
             out = [b.column(0), *[pa.array(x, pa.int64()) for x in (total, gone, number)], pa.array(digest, pa.string())]
             yield pa.RecordBatch.from_arrays(out + [pa.array(rest, pa.binary())] * keep_text, names=["_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept_text"] * keep_text)
 
-    joined = keyed.join(spans, ["id", "tag"], "left").select(F.col("id").alias("_id"), "text", "spans")
+    # texts are shuffled compressed
+    bodies = keyed.mapInArrow(squeeze, "tag long, id long, body binary")
+    joined = bodies.join(spans, ["id", "tag"], "left").select(F.col("id").alias("_id"), "body", "spans")
     return joined.mapInArrow(run, columns).withColumnRenamed("_id", id_column)
 
 
 def op6_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What stays of each of ``documents`` without the 50-byte strings that documents of smaller ids have."""
     return remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"))

@@ -3,11 +3,9 @@
 from __future__ import annotations
 
 import atexit
-import gc
 import re
 import shutil
 import tempfile
-import time
 import uuid
 from collections.abc import Iterator
 
@@ -76,17 +74,6 @@ def decided(docs: DataFrame, marks: DataFrame, ids: Column, texts: Column) -> Da
     return stay.unionByName(one.select(*[F.col("_row").getField(f"_c{n}").alias(c) for n, c in enumerate(names)]))
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of plans that nothing refers to any more, instead of at its next collection in half an hour.
-
-    Listeners let go of a plan shortly after its last job, so this asks a few times.
-    """
-    for _ in range(3):
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.5)
-
-
 def quoted(name: str) -> str:
     """A column's name as it stands, with whatever signs."""
     return "`" + name.replace("`", "``") + "`"
