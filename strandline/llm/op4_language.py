@@ -11,15 +11,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .op2_toxicity import held_out
-from .shared import blocks, cut, packed
+from .shared import blocks, packed
 
 WINDOW = 256
 DIM = 8
 WIDTHS = (2, 3, 4)
 FILTERS = 16
-#: Labelled rows of each language that a model is fitted on, about, by a hash of their id; and windows of each.
+#: Labelled rows of each language that a model is fitted on, about, by a hash; all windows of their texts are learned from.
 PER_LANGUAGE = 600
-WINDOWS_EACH = 4
 _LETTERS = np.zeros(256, bool)
 _LETTERS[[*range(65, 91), *range(97, 123)]] = True
 
@@ -54,7 +53,29 @@ class Network:
         pooled = [np.max(self._columns(windows[i : i + 64]) @ self.kernel, axis=1) for i in range(0, len(windows), 64)]
         return np.maximum(np.concatenate(pooled) + self.bias, 0) @ self.out + self.out_bias
 
-    def fit(self, windows: np.ndarray, labels: np.ndarray, epochs: int = 4, batch: int = 64, rate: float = 0.01) -> None:
+    def gradient(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> dict[str, np.ndarray]:
+        """The derivative of the mean loss of windows ``x`` of classes ``y``, each weighed by its class."""
+        columns = self._columns(x)
+        z = columns @ self.kernel
+        top = z.argmax(axis=1)
+        hidden = np.take_along_axis(z, top[:, None, :], axis=1)[:, 0] + self.bias
+        active = np.maximum(hidden, 0)
+        u = active @ self.out + self.out_bias
+        p = np.exp(u - u.max(axis=1, keepdims=True))
+        p /= p.sum(axis=1, keepdims=True)
+        p[np.arange(len(y)), y] -= 1
+        du = p * weight[y][:, None] / len(y)
+        dh = (du @ self.out.T) * (hidden > 0)
+        at = columns[np.arange(len(y))[:, None], top]
+        back = dh[:, :, None] * self.kernel.T[None]
+        demb = np.zeros_like(self.emb)
+        for k in range(max(WIDTHS)):
+            byte = np.take_along_axis(x, top + k, axis=1).ravel()
+            np.add.at(demb, byte, back[:, :, k * DIM : (k + 1) * DIM].reshape(-1, DIM))
+        return {"emb": demb, "kernel": np.einsum("nf,nfk->kf", dh, at) * self.mask, "bias": dh.sum(axis=0), "out": active.T @ du, "out_bias": du.sum(axis=0)}
+
+    def fit(self, windows: np.ndarray, labels: np.ndarray, epochs: int = 2, batch: int = 64, rate: float = 0.01) -> None:
+        """Steps scaled by moments of the gradient, over at least 200 batches; classes count alike."""
         rng = np.random.default_rng(2)
         names = ["emb", "kernel", "bias", "out", "out_bias"]
         state = {n: [np.zeros_like(getattr(self, n)), np.zeros_like(getattr(self, n))] for n in names}
@@ -65,26 +86,7 @@ class Network:
             order = rng.permutation(len(labels))
             for i in range(0, len(order), batch):
                 own = order[i : i + batch]
-                x, y = windows[own], labels[own]
-                columns = self._columns(x)
-                z = columns @ self.kernel
-                top = z.argmax(axis=1)
-                hidden = np.take_along_axis(z, top[:, None, :], axis=1)[:, 0] + self.bias
-                active = np.maximum(hidden, 0)
-                u = active @ self.out + self.out_bias
-                p = np.exp(u - u.max(axis=1, keepdims=True))
-                p /= p.sum(axis=1, keepdims=True)
-                p[np.arange(len(y)), y] -= 1
-                du = p * weight[y][:, None] / len(y)
-                dh = (du @ self.out.T) * (hidden > 0)
-                at = columns[np.arange(len(y))[:, None], top]
-                grad = {"out": active.T @ du, "out_bias": du.sum(axis=0), "bias": dh.sum(axis=0), "kernel": np.einsum("nf,nfk->kf", dh, at) * self.mask}
-                back = dh[:, :, None] * self.kernel.T[None]
-                demb = np.zeros_like(self.emb)
-                for k in range(max(WIDTHS)):
-                    byte = np.take_along_axis(x, top + k, axis=1).ravel()
-                    np.add.at(demb, byte, back[:, :, k * DIM : (k + 1) * DIM].reshape(-1, DIM))
-                grad["emb"] = demb
+                grad = self.gradient(windows[own], labels[own], weight)
                 turn += 1
                 for n in names:
                     m, v = state[n]
@@ -108,8 +110,13 @@ def cut_windows(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
 
 
 def train(labelled: DataFrame, id_column: str, text: str, label: str, per_language: int = PER_LANGUAGE) -> Network | None:
-    """A network of the languages of ``labelled``, fitted in one task on about ``per_language`` rows of each."""
-    counts = {r[0]: r[1] for r in labelled.groupBy(label).count().collect()}
+    """A network of the languages of ``labelled``, fitted in one task on about ``per_language`` rows of each by a hash of id and text.
+
+    Twice as many rows as that are taken at most, should copies of one row make it so. Rows with a
+    null language don't count.
+    """
+    known = labelled.where(F.col(label).isNotNull())
+    counts = {r[0]: r[1] for r in known.groupBy(label).count().collect()}
     classes = sorted(counts)
     if not classes:
         return None
@@ -117,25 +124,23 @@ def train(labelled: DataFrame, id_column: str, text: str, label: str, per_langua
     share = F.lit(0)
     for name in classes:
         share = F.when(F.col(label) == name, int(min(1.0, per_language / counts[name]) * scale)).otherwise(share)
-    sample = labelled.where(F.pmod(F.xxhash64(F.col(id_column)), F.lit(scale)) < share)
+    hashed = F.xxhash64(F.col(id_column), F.col(text))
+    sample = known.where(F.pmod(hashed, F.lit(scale)) < share).select(hashed.alias("h"), F.col(text).alias("t"), F.col(label).alias("l"))
+    sample = sample.orderBy("h", "l").limit(2 * per_language * len(classes))
 
     def learn(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         x, y = [], []
         for f in frames:
             data, offsets = packed(pa.array(f["t"], pa.large_string()))
             windows, row, _ = cut_windows(data, offsets)
-            number = np.bincount(row, minlength=len(f))
-            first = np.cumsum(number) - number
-            for i, (n, lang) in enumerate(zip(number.tolist(), f["l"], strict=True)):
-                for k in sorted({int(j) for j in np.linspace(0, n - 1, min(n, WINDOWS_EACH))}) if n else []:
-                    x.append(windows[first[i] + k])
-                    y.append(classes.index(lang))
+            x.append(windows)
+            y.append(np.searchsorted(classes, f["l"].to_numpy())[row])
         net = Network(classes)
-        if x:
-            net.fit(np.stack(x), np.array(y))
+        if sum(map(len, x)):
+            net.fit(np.concatenate(x), np.concatenate(y))
         yield pd.DataFrame({n: [getattr(net, n).tobytes()] for n in ("emb", "kernel", "bias", "out", "out_bias")})
 
-    got = sample.select(F.col(text).alias("t"), F.col(label).alias("l")).repartition(1).sortWithinPartitions(F.xxhash64("t", "l")).mapInPandas(learn, "emb binary, kernel binary, bias binary, out binary, out_bias binary").first()
+    got = sample.repartition(1).sortWithinPartitions("h", "l").mapInPandas(learn, "emb binary, kernel binary, bias binary, out binary, out_bias binary").first()
     net = Network(classes)
     for n in ("emb", "kernel", "bias", "out", "out_bias"):
         setattr(net, n, np.frombuffer(got[n], np.float32).reshape(getattr(net, n).shape))
@@ -146,7 +151,8 @@ def identify(docs: DataFrame, net: Network | None, id_column: str = "doc_id", te
     """``id_column, lang_pred, score``: the language of each whole text by the evidence of all its windows.
 
     Log-probabilities of windows are added in proportion to their bytes. A text that is null, or has
-    no letter, or a table without labelled rows has ``und`` with score 0.
+    no letter, or a table without labelled rows has ``und`` with score 0. Repeated rows and ids, null
+    ids too, are judged each for itself; an empty table gives an empty result; other columns aren't read.
     """
     shared = docs.sparkSession.sparkContext.broadcast(net)
 
@@ -186,6 +192,7 @@ def identify(docs: DataFrame, net: Network | None, id_column: str = "doc_id", te
 
 
 def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every whole text of ``documents``, by a network of rows that aren't held out."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     known = docs.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out("doc_id", 5, 0))
     net = train(known, "doc_id", "text", "lang")
