@@ -77,8 +77,9 @@ def comparisons(systems: DataFrame, first_structure: str, first_variant: str) ->
     return by_structure.unionByName(by_variant).select(name("s1", "v1").alias("a"), name("s2", "v2").alias("b"))
 
 
-def reorder(df: DataFrame, axis: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """``df`` with the axis' positions, of groups that the axis covers wholly; others keep null positions."""
+def reorder(df: DataFrame, axis: DataFrame, keys: list[str], order: str, group: list[str] | None = None) -> DataFrame:
+    """``df`` with the axis' positions, of groups that the axis covers wholly; others keep null positions. Without ``group`` all rows are one."""
     joined = df.join(axis, keys, "left")
-    whole = F.count(order).over(Window.partitionBy(F.lit(1))) == F.count(F.lit(1)).over(Window.partitionBy(F.lit(1)))
-    return joined.withColumn(order, F.when(whole, F.col(order)))
+    whole = joined.groupBy(*(group or [])).agg((F.count(order) == F.count(F.lit(1))).alias("_whole"))
+    joined = joined.join(whole, group) if group else joined.crossJoin(F.broadcast(whole))  # one row
+    return joined.withColumn(order, F.when(F.col("_whole"), F.col(order))).drop("_whole")

@@ -32,9 +32,12 @@ def linkage(d: np.ndarray, kind: str = "complete") -> list[tuple[int, int, float
 
 
 def cut_tree(merges: list, n: int, k: int) -> np.ndarray:
-    """Cluster numbers from 1, in the order of first items, with at most k clusters."""
+    """Cluster numbers from 1, in the order of first items, with at most k clusters; merges of equal height are made together."""
     members = {i: [i] for i in range(n)}
-    for step, (a, b, _, _) in enumerate(merges[: max(0, n - k)]):
+    done = max(0, n - k)
+    while 0 < done < len(merges) and merges[done][2] == merges[done - 1][2]:
+        done += 1
+    for step, (a, b, _, _) in enumerate(merges[:done]):
         members[n + step] = members.pop(a) + members.pop(b)
     out = np.zeros(n, int)
     for c, items in enumerate(sorted(members.values(), key=min), 1):
@@ -55,12 +58,26 @@ def silhouette(d: np.ndarray, labels: np.ndarray) -> float:
 
 
 def gap_number(merges: list, n: int, most: int = 10) -> int:
-    """Clusters before the largest jump of merge heights, the last such from the top; equal heights give ``most``."""
-    heights = [m[2] for m in merges]
-    jumps = np.diff(heights)
-    if not len(jumps) or np.allclose(jumps, 0):
+    """Clusters before the largest jump of merge heights, of equal ones the topmost; equal heights give ``most``."""
+    if n <= 2:
+        return n
+    jumps = np.diff([m[2] for m in merges])[::-1]
+    if not len(jumps):
+        return 2
+    if np.all(jumps == 0):
         return min(most, n)
-    return int(min(most, max(2, n - 1 - int(np.argmax(jumps)))))
+    return int(min(most, max(2, int(np.argmax(jumps)) + 2)))
+
+
+def cut_height(merges: list, n: int, k: int) -> float:
+    """Midway between the last merge made for k clusters and the next one; half the first height where none is made."""
+    if not merges:
+        return 0.0
+    made = min(n - k, len(merges))
+    if made <= 0:
+        return merges[0][2] / 2
+    above = merges[made][2] if made < len(merges) else merges[made - 1][2] + 1e-6
+    return (merges[made - 1][2] + above) / 2
 
 
 def auto_number(d: np.ndarray, merges: list, least: float = 0.10, most: int = 10) -> int:
@@ -68,7 +85,8 @@ def auto_number(d: np.ndarray, merges: list, least: float = 0.10, most: int = 10
     n = len(d)
     if n <= 2:
         return n
-    best = max(((silhouette(d, cut_tree(merges, n, k)), -k) for k in range(2, min(most, n - 1) + 1)), default=(-1.0, -2))
+    cuts = {k: cut_tree(merges, n, k) for k in range(2, min(most, n - 1) + 1)}
+    best = max(((silhouette(d, c), -k) for k, c in cuts.items() if c.max() > 1), default=(-1.0, -2))
     return -best[1] if best[0] >= least else gap_number(merges, n, most)
 
 
@@ -110,9 +128,8 @@ def clusters(distance_rows: DataFrame, key: str, kind: str = "complete", number:
         items, d = _square(pdf)
         merges = linkage(d, kind)
         k = 1 if d.max() <= 0 else min(number, len(items)) if number else auto_number(d, merges)
-        at = len(items) - k
-        height = merges[at][2] if 0 <= at < len(merges) else (merges[-1][2] if merges else 0.0)
-        return pd.DataFrame({key: pdf[key].iloc[0], "item": items, "cluster": cut_tree(merges, len(items), k), "n_clusters": k, "cut_height": height})
+        made = cut_tree(merges, len(items), k)
+        return pd.DataFrame({key: pdf[key].iloc[0], "item": items, "cluster": made, "n_clusters": int(made.max()), "cut_height": cut_height(merges, len(items), k)})
 
     kinds = dict(distance_rows.dtypes)
     return distance_rows.groupBy(key).applyInPandas(run, f"{key} {kinds[key]}, item {kinds['i']}, cluster int, n_clusters int, cut_height double")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -53,6 +55,65 @@ def merge_blocks(blocks: DataFrame, keys: list[str]) -> DataFrame:
     return blocks.groupBy(*keys, "i", "j").agg(n.alias("n"), (s / n).alias("mean"), F.when(n > 1, F.greatest(F.lit(0.0), q - s * s / n) / (n - 1)).otherwise(F.lit(0.0)).alias("var"))
 
 
+def frame_vectors(frames: DataFrame, keys: list[str], frame: str = "frame", atom: str = "atom") -> DataFrame:
+    """``(keys, frame, atoms, xyz)``: a row a frame, with its atoms in order and their coordinates."""
+    points = F.array_sort(F.collect_list(F.struct(F.col(atom).alias("a"), "x", "y", "z")))
+    rows = frames.groupBy(*keys, frame).agg(points.alias("_p"))
+    return rows.select(*keys, frame, F.transform("_p", lambda p: p["a"]).alias("atoms"), F.flatten(F.transform("_p", lambda p: F.array(p["x"], p["y"], p["z"]))).alias("xyz"))
+
+
+def _by_blocks(frames: DataFrame, keys: list[str], frame: str, atom: str, per_block: int, moments: Callable[[np.ndarray], dict], columns: str) -> DataFrame:
+    """``(keys, i, j)`` and what ``moments`` makes of each block of frames ``(frame, atom, 3)`` with the same atoms, a matrix a block."""
+    kinds = dict(frames.dtypes)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        names = np.asarray(pdf["atoms"].iloc[0])
+        found = moments(np.stack(pdf["xyz"].to_numpy()).reshape(len(pdf), len(names), 3))
+        i, j = np.triu_indices(len(names))
+        return pd.DataFrame({**{k: pdf[k].iloc[0] for k in keys}, "i": names[i], "j": names[j], "n": len(pdf), **{k: m[i, j] for k, m in found.items()}})
+
+    wide = frame_vectors(frames, keys, frame, atom).withColumn("_block", F.floor(F.col(frame) / per_block))
+    schema = ", ".join([*(f"{k} {kinds[k]}" for k in keys), f"i {kinds[atom]}", f"j {kinds[atom]}", "n long", columns])
+    return wide.groupBy(*keys, "_block", "atoms").applyInPandas(run, schema)
+
+
+def distance_blocks(frames: DataFrame, keys: list[str], frame: str = "frame", atom: str = "atom", per_block: int = 256) -> DataFrame:
+    """Number, mean and sample variance of each pair's distance ``(keys, i, j, n, mean, var)``, by partial moments of blocks of frames.
+
+    Rows are pairs times blocks, not pairs times frames.
+    """
+
+    def moments(x: np.ndarray) -> dict:
+        mean = m2 = np.zeros((x.shape[1], x.shape[1]))
+        for n, f in enumerate(x, 1):
+            d = np.sqrt(((f[:, None] - f[None]) ** 2).sum(axis=2))
+            step = d - mean
+            mean = mean + step / n
+            m2 = m2 + step * (d - mean)
+        return {"mean": mean, "m2": m2}
+
+    return merge_blocks(_by_blocks(frames, keys, frame, atom, per_block, moments, "mean double, m2 double").where("i < j"), keys)
+
+
+def correlation_blocks(frames: DataFrame, keys: list[str], frame: str = "frame", atom: str = "atom", per_block: int = 256) -> DataFrame:
+    """``(i, j, c)`` for i <= j as ``cross_correlation`` gives it, by partial co-moments of blocks of frames."""
+
+    def moments(x: np.ndarray) -> dict:
+        mean = x.mean(axis=0)
+        d = (x - mean).transpose(1, 0, 2).reshape(x.shape[1], -1)
+        own = np.broadcast_to(mean[:, None, :], (len(mean), len(mean), 3))
+        return {"c": d @ d.T, **{f"{a}{c}": own[:, :, k] if a == "a" else own[:, :, k].T for a in "ab" for k, c in enumerate("xyz")}}
+
+    blocks = _by_blocks(frames, keys, frame, atom, per_block, moments, ", ".join(["c double", *(f"{a}{c} double" for a in "ab" for c in "xyz")]))
+    n = F.sum("n")
+    # the blocks' own co-moments, and those of their means about the mean of all
+    between = sum((F.sum(F.col("n") * F.col(f"a{c}") * F.col(f"b{c}")) - F.sum(F.col("n") * F.col(f"a{c}")) * F.sum(F.col("n") * F.col(f"b{c}")) / n for c in "xyz"), F.lit(0.0))
+    dots = blocks.groupBy(*keys, "i", "j").agg(((F.sum("c") + between) / n).alias("p"))
+    own = dots.where("i = j")
+    out = dots.join(own.select(*keys, "i", F.col("p").alias("pi")), [*keys, "i"]).join(own.select(*keys, "j", F.col("p").alias("pj")), [*keys, "j"])
+    return out.select(*keys, "i", "j", (F.col("p") / F.sqrt(F.col("pi") * F.col("pj"))).alias("c"))
+
+
 def cross_correlation(frames: DataFrame, keys: list[str], frame: str = "frame", atom: str = "atom") -> DataFrame:
     """``(i, j, c)`` for i <= j: mean product of deviations from mean positions over the root of their mean squares."""
     mean = frames.groupBy(*keys, atom).agg(F.avg("x").alias("mx"), F.avg("y").alias("my"), F.avg("z").alias("mz"))
@@ -155,6 +216,18 @@ def ensemble_check(frames: DataFrame, system: list[str], replica: str, frame: st
     return reps.groupBy(*system).agg(F.count("*").alias("replicas"), (F.min("low") == F.max("high")).alias("atoms_agree"), (F.min("frames") == F.max("frames")).alias("frames_agree"))
 
 
+def starts_at_mean(frames: DataFrame, mean: DataFrame, system: list[str], replica: str, frame: str = "frame", atom: str = "atom", least: float = 1e-3) -> DataFrame:
+    """``(system, least_rmsd, matches_initial)``: the smallest distance of a replica's first frame to the mean, and whether it is that frame.
+
+    ``mean`` is ``(system, atom, x, y, z)``; the distance is the root of the mean square over atoms.
+    """
+    first = frames.join(frames.groupBy(*system, replica).agg(F.min(frame).alias(frame)), [*system, replica, frame], "left_semi")
+    m = mean.select(*system, atom, *[F.col(c).alias(f"m{c}") for c in "xyz"])
+    gap = sum(((F.col(c) - F.col(f"m{c}")) ** 2 for c in "xyz"), F.lit(0.0))
+    each = first.join(m, [*system, atom]).groupBy(*system, replica).agg(F.sqrt(F.avg(gap)).alias("rmsd"))
+    return each.groupBy(*system).agg(F.min("rmsd").alias("least_rmsd")).withColumn("matches_initial", F.col("least_rmsd") < least)
+
+
 def pair_similarity(points: DataFrame, keys: list[str], atom: str = "atom", sigma: float = 8.0) -> DataFrame:
     """``(i, j, similarity)`` in both orders without the diagonal: distance decayed by ``sigma``."""
     d = pair_distances(points, keys, atom).select(*keys, "i", "j", F.exp(-F.col("d") / F.lit(sigma)).alias("similarity"))

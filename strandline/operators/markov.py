@@ -44,7 +44,7 @@ def fundamental_solve(t: DataFrame, key: str, absorbing: DataFrame, eps: float =
     """The same for any chain, one linear system a key; where it is singular, with ``eps`` on the diagonal."""
     inner = t.join(absorbing.select(F.col("node").alias("i")), "i", "left_anti").withColumn("_end", F.lit(False))
     ends = absorbing.select(F.col("node").alias("j"), F.lit(True).alias("_gone"))
-    rows = inner.join(F.broadcast(ends), "j", "left")
+    rows = inner.join(ends, "j", "left")
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         gone = pdf["_gone"].notna()
@@ -77,10 +77,12 @@ def edge_importance(t: DataFrame, importance: DataFrame, keys: list[str]) -> Dat
 
 
 def visitation_field(n: DataFrame, seeds: DataFrame, keys: list[str]) -> DataFrame:
-    """Visits from weighted seeds; weights are over those of the seeds that are rows of ``n``."""
-    present = seeds.join(n.select(F.col("i").alias("node")).distinct(), "node", "left_semi")
-    total = present.agg(F.sum("weight").alias("_w"))
-    rows = n.join(present.withColumnRenamed("node", "i"), "i").crossJoin(F.broadcast(total))
+    """Visits from weighted seeds, for all keys or each its own; a key's weights are over those of the seeds that are rows of its ``n``."""
+    own = [k for k in keys if k in seeds.columns]
+    present = n.select(*keys, F.col("i").alias("node")).distinct().join(seeds, [*own, "node"]).withColumnRenamed("node", "i")
+    total = present.groupBy(*keys).agg(F.sum("weight").alias("_w"))
+    rows = n.join(present, [*keys, "i"])
+    rows = rows.join(total, keys) if keys else rows.crossJoin(F.broadcast(total))  # one row
     return rows.groupBy(*keys, F.col("j").alias("node")).agg(F.sum(F.col("weight") / F.col("_w") * F.col("n")).alias("field"))
 
 

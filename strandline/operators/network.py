@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections import deque
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -26,7 +27,8 @@ def incident_sum(edges: DataFrame, keys: list[str], weight: str = "weight") -> D
 def export_undirected(edges: DataFrame, weight: str = "weight", least: float = 1e-6) -> DataFrame:
     """``Source, Target, type, weight, weight_abs`` of edges above ``least``; weight over the largest of all."""
     kept = edges.where(F.col(weight) > least)
-    top = F.max(weight).over(Window.partitionBy(F.lit(1)))
+    top = F.col("_top")
+    kept = kept.crossJoin(F.broadcast(kept.agg(F.max(weight).alias("_top"))))  # one row
     return kept.select(F.col("src").alias("Source"), F.col("dst").alias("Target"), F.lit("undirected").alias("type"), (F.col(weight) / top).alias("weight"), F.col(weight).alias("weight_abs"))
 
 
@@ -52,12 +54,28 @@ def both_targets(scores: DataFrame, keys: list[str], first: str, second: str) ->
 
 
 def equivalents(scores: DataFrame, system: str, share: float = 0.10) -> DataFrame:
-    """For each row, how many other systems have the same node and target at ``share`` of its score or more, as one column a system."""
+    """For each row, how many other systems have the same node and target at ``share`` of its score or more; see ``equivalent_counts`` for each system."""
     o = scores.select(F.col(system).alias("_s"), F.col("target").alias("_t"), F.col("node").alias("_n"), F.col("seed_score").alias("_o"))
     hit = (F.col("_t") == F.col("target")) & (F.col("_n") == F.col("node")) & (F.col("_s") != F.col(system)) & (F.col("_o") >= F.lit(share) * F.col("seed_score"))
     return scores.join(o, hit, "left").groupBy(system, "target", "node").agg(F.max("seed_score").alias("seed_score"), F.count("_o").alias("n_equivalent"))
 
 
+def equivalent_counts(scores: DataFrame, keys: list[str], systems: list[str], number: str, share: float = 0.10, both: tuple[str, ...] = ()) -> DataFrame:
+    """``scores`` with a column ``equiv_<system>`` for each of ``systems``: its rows of the same residue number and target at ``share`` of the score or more.
+
+    ``keys`` tell rows of ``scores`` apart (``system, target`` and a node). Any chain's node of that
+    number counts, the row's own system too. Rows of target ``both`` also count for each target that
+    ``both`` names, beside that target's own rows, so such a node counts twice.
+    """
+    looked = scores.select(F.col("system").alias("_s"), F.col("target").alias("_t"), F.col(number).alias("_n"), F.col("seed_score").alias("_o"))
+    for target in both:
+        looked = looked.unionByName(looked.where("_t = 'both'").withColumn("_t", F.lit(target)))
+    near = scores.join(looked, (F.col("_t") == F.col("target")) & (F.col("_n") == F.col(number)), "left")
+    hit = F.col("_o") >= F.lit(share) * F.col("seed_score")
+    counts = [F.count(F.when((F.col("_s") == name) & hit, 1)).alias(f"equiv_{name}") for name in systems]
+    return near.groupBy(*keys, number).agg(F.first("seed_score").alias("seed_score"), *counts)
+
+
 class FlowNet:
     """Maximum flow by shortest augmenting paths in layers; undirected edges are arcs of equal capacity both ways."""
 
@@ -117,26 +135,42 @@ class FlowNet:
         return value, [(self.full[e] - self.left[e]) for e in range(0, len(self.to), 2)], set(depth)
 
 
-def max_flows(edges: DataFrame, pairs: DataFrame, keys: list[str]) -> DataFrame:
+def by_graph(edges: DataFrame, asked: DataFrame, keys: list[str], order: list[str], chunks: int, solve: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
+    """``solve(a graph's edges, rows that ask of it)`` for each key: rows are dealt by a hash of ``order`` to ``chunks`` tasks, each of which gets the graph once."""
+    rows = asked.withColumn("_chunk", F.pmod(F.xxhash64(*order), F.lit(chunks)).cast("int"))
+    graph = edges.withColumn("_chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
+
+    def run(g: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
+        return solve(g, q.sort_values(order))
+
+    graph, rows = (df.select(*[(F.col(c)).alias(f"_{n}") for n, c in enumerate(df.columns)]).toDF(*df.columns) for df in (graph, rows))  # new columns, should one come of the other
+    return graph.groupBy(*keys, "_chunk").cogroup(rows.groupBy(*keys, "_chunk")).applyInPandas(run, schema)
+
+
+def max_flows(edges: DataFrame, pairs: DataFrame, keys: list[str], chunks: int = 16) -> DataFrame:
     """``(keys, source, target, value, edges)`` with the signed flow of each edge and whether its ends are on the source's side of a cut.
 
-    Which edges carry the flow isn't unique; the value is, and the cut proves it. A graph's edges go
-    with each pair, so pairs are spread over all tasks.
+    Which edges carry the flow isn't unique; the value is, and the cut proves it. A key's pairs are
+    dealt to ``chunks`` tasks, each of which builds the graph once.
     """
-    g = edges.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("src", "dst", "weight"))).alias("graph"))
-    rows = pairs.join(g, keys) if keys else pairs.crossJoin(F.broadcast(g))
     out = "value double, edges array<struct<src:int,dst:int,flow:double,src_side:boolean,dst_side:boolean>>"
+    kinds = dict(edges.dtypes)
 
-    @F.pandas_udf(out)
-    def solve(graph: pd.Series, source: pd.Series, target: pd.Series) -> pd.DataFrame:
-        done = []
-        for es, s, t in zip(graph, source, target, strict=True):
-            listed = [(int(e["src"]), int(e["dst"]), float(e["weight"])) for e in es]
-            value, flows, side = FlowNet(listed).run(int(s), int(t))
-            done.append((value, [{"src": a, "dst": b, "flow": f, "src_side": a in side, "dst_side": b in side} for (a, b, _), f in zip(listed, flows, strict=True)]))
-        return pd.DataFrame(done, columns=["value", "edges"])
+    def solve(g: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values(["src", "dst", "weight"])
+        ends = list(zip(g["src"].tolist(), g["dst"].tolist(), g["weight"].tolist(), strict=True))
+        net, done = FlowNet(ends), []
+        for s, t in zip(q["source"].tolist(), q["target"].tolist(), strict=True):
+            value, flows, side = net.run(s, t)
+            done.append((s, t, value, [{"src": a, "dst": b, "flow": f, "src_side": a in side, "dst_side": b in side} for (a, b, _), f in zip(ends, flows, strict=True)]))
+        frame = pd.DataFrame(done, columns=["source", "target", "value", "edges"])
+        for k in keys:
+            frame.insert(0, k, q[k].iloc[0] if len(q) else None)
+        return frame[[*keys, "source", "target", "value", "edges"]]
 
-    return rows.withColumn("_f", solve("graph", "source", "target")).select(*keys, "source", "target", "_f.value", "_f.edges")
+    node = dict(pairs.dtypes)["source"]
+    schema = "".join(f"{k} {kinds[k]}, " for k in keys) + f"source {node}, target {node}, {out}"
+    return by_graph(edges.select(*keys, "src", "dst", "weight"), pairs.select(*keys, "source", "target"), keys, ["source", "target"], chunks, solve, schema)
 
 
 def accumulate(flows: DataFrame, keys: list[str]) -> DataFrame:
@@ -146,5 +180,12 @@ def accumulate(flows: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def with_totals(flows: DataFrame, family: str, target: str) -> DataFrame:
-    """Edge sums by family and target, by each alone, and over all, in one pass of grouping sets; a total has null keys."""
+    """Edge sums by family and target, by family, and over all, rolled up; a total has null keys. See ``by_level`` for targets over families."""
     return flows.rollup("src", "dst", family, target).agg(F.sum("fwd").alias("fwd"), F.sum("rev").alias("rev")).where("dst is not null")
+
+
+def by_level(flows: DataFrame, family: str, target: str) -> DataFrame:
+    """Edge sums by family and target, by family, by target over families, and over all; ``level`` tells totals from null keys."""
+    sets = [["src", "dst", family, target], ["src", "dst", family], ["src", "dst", target], ["src", "dst"]]
+    level = F.element_at(F.array(*[F.lit(x) for x in ("family_target", "family", "target", "total")]), (F.grouping(F.col(family)) * 2 + F.grouping(F.col(target)) + 1).cast("int"))
+    return flows.groupingSets([[F.col(c) for c in s] for s in sets], "src", "dst", family, target).agg(level.alias("level"), F.sum("fwd").alias("fwd"), F.sum("rev").alias("rev"))

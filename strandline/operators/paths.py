@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.labels import number_of, path_score, relative_path
+from .network import by_graph
 
 
 def path_edges(paths: DataFrame, keys: list[str], nodes: str = "nodes", weight: str = "weight") -> DataFrame:
@@ -42,10 +43,11 @@ def dedup_paths(paths: DataFrame, keys: list[str], nodes: str = "nodes", importa
     )
 
 
-def walk_sums(paths: DataFrame, edges: DataFrame, keys: list[str], value: str, floor: float | None = None, nodes: str = "nodes") -> DataFrame:
+def walk_sums(paths: DataFrame, edges: DataFrame, keys: list[str], value: str, floor: float | None = None, nodes: str = "nodes", on: list[str] | None = None) -> DataFrame:
     """For each path the sum of its steps' values, or of the logs of values no less than ``floor``; a step without an edge adds 0."""
     steps = path_edges(paths.withColumn("_w", F.lit(1)), keys, nodes, "_w")
-    got = steps.join(edges.select("src", "dst", value), ["src", "dst"], "left")
+    on = on or []
+    got = steps.join(edges.select(*on, "src", "dst", value), [*on, "src", "dst"], "left")
     each = F.col(value) if floor is None else F.log(F.greatest(F.col(value), F.lit(floor)))
     return got.groupBy(*keys).agg(F.coalesce(F.sum(each), F.lit(0.0)).alias("total"))
 
@@ -109,36 +111,44 @@ def k_shortest(graph: dict, source: int, target: int, k: int) -> list[tuple[floa
     return done
 
 
-def best_paths(edges: DataFrame, seeds: DataFrame, targets: list[int], k: int = 5) -> DataFrame:
-    """``(seed, rank, target, length, nodes)``: of up to k paths to each target the k shortest of each seed, ties by target and rank.
+def best_paths(edges: DataFrame, seeds: DataFrame, targets: list[int], k: int = 5, keys: list[str] | None = None, chunks: int = 16) -> DataFrame:
+    """``(keys, seed, rank, target, length, nodes)``: of up to k paths to each target the k shortest of each seed, ties by target and rank.
 
-    The graph's edges are one row and go to each seed's task; seeds are spread over all tasks.
+    ``seeds`` is ``(keys, node)``, or ``(node)`` for all keys. A key's seeds are dealt to ``chunks`` tasks, each of which builds the graph once.
     """
-    g = edges.agg(F.array_sort(F.collect_list(F.struct("src", "dst", "length"))).alias("graph"))
-    rows = seeds.select(F.col("node").alias("seed")).repartition(F.col("seed")).crossJoin(F.broadcast(g)).withColumn("target", F.explode(F.array(*[F.lit(t) for t in targets]))).where("seed <> target")
-
-    @F.pandas_udf("array<struct<length:double,nodes:array<int>>>")
-    def solve(graph: pd.Series, seed: pd.Series, target: pd.Series) -> pd.Series:
-        out = []
-        for es, s, t in zip(graph, seed, target, strict=True):
-            adjacent: dict[int, dict[int, float]] = {}
-            for e in es:
-                adjacent.setdefault(int(e["src"]), {})[int(e["dst"])] = float(e["length"])
-            out.append([{"length": d, "nodes": p} for d, p in k_shortest(adjacent, int(s), int(t), k)])
-        return pd.Series(out)
-
-    found = rows.select("seed", "target", F.posexplode(solve("graph", "seed", "target")).alias("at", "p")).select("seed", "target", "at", "p.length", "p.nodes")
-    w = Window.partitionBy("seed").orderBy("length", "target", "at")
+    keys, kinds = keys or [], dict(edges.dtypes)
+    own = [c for c in keys if c not in seeds.columns]
+    asked = seeds.withColumnRenamed("node", "seed")
+    asked = asked.join(edges.select(*keys).distinct(), [c for c in keys if c not in own]) if own and len(own) < len(keys) else asked.crossJoin(edges.select(*keys).distinct()) if own else asked
+
+    def solve(g: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
+        adjacent: dict[int, dict[int, float]] = {}
+        for a, b, d in sorted(zip(g["src"].tolist(), g["dst"].tolist(), g["length"].tolist(), strict=True)):
+            adjacent.setdefault(a, {})[b] = d
+        out = [(s, t, at, d, p) for s in q["seed"].tolist() for t in targets if s != t for at, (d, p) in enumerate(k_shortest(adjacent, s, t, k))]
+        frame = pd.DataFrame(out, columns=["seed", "target", "at", "length", "nodes"])
+        for c in keys:
+            frame[c] = q[c].iloc[0] if len(q) else None
+        return frame[[*keys, "seed", "target", "at", "length", "nodes"]]
+
+    node = dict(seeds.dtypes)["node"]
+    schema = "".join(f"{c} {kinds[c]}, " for c in keys) + f"seed {node}, target int, at int, length double, nodes array<int>"
+    found = by_graph(edges.select(*keys, "src", "dst", "length"), asked.select(*keys, "seed"), keys, ["seed"], chunks, solve, schema)
+    w = Window.partitionBy(*keys, "seed").orderBy("length", "target", "at")
     return found.withColumn("rank", F.row_number().over(w) - 1).where(F.col("rank") < k).drop("at")
 
 
-def decompose(edges: DataFrame, keys: list[str], sources: list[int], targets: list[int], least_flow: float = 1e-6, max_paths: int = 500, least_length: int = 8, top_sources: int = 600) -> DataFrame:
+def decompose(edges: DataFrame, keys: list[str], sources: list[int], targets: list[int], least_flow: float = 1e-6, max_paths: int = 500, least_length: int = 8, top_sources: int = 600, targets_of: tuple[str, dict[str, list[int]]] | None = None) -> DataFrame:
     """``(keys, path_id, flow, nodes)``: flow taken apart into paths from sources to targets, one graph a group.
 
-    In turn: the target with most flow left; shortest paths from it by 1 / flow to the sources of most
-    flow; of those of ``least_length`` nodes the one with the widest narrowest edge, whose narrowest
-    flow is taken off. Where there is none, ``least_flow`` is drained from the target's edges. Ties go
-    to the smaller node. It stops below ``least_flow`` or after ``max_paths``.
+    In turn: the target with most flow left at its edges; shortest paths from it by 1 / flow to the
+    sources, which are those of the ``top_sources`` nodes with most flow left that have more than
+    ``least_flow`` and aren't targets; of those paths of ``least_length`` nodes the one with the widest
+    narrowest edge, whose narrowest flow is taken off. Where there is none wider than ``least_flow``,
+    the target's edges lose ``least_flow`` each and the turn counts, though not for the nodes' flow.
+    Ties go to the smaller node. It stops when no target has ``least_flow`` left, no source is left, or
+    after ``max_paths`` turns. With ``targets_of``, a key and the targets of each of its values, a group
+    goes to those of its value; all of ``targets`` are still no sources.
     """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -146,24 +156,28 @@ def decompose(edges: DataFrame, keys: list[str], sources: list[int], targets: li
         for a, b, f in zip(pdf["src"].tolist(), pdf["dst"].tolist(), pdf["weight"].tolist(), strict=True):
             left.setdefault(a, {})[b] = f
             left.setdefault(b, {})[a] = f
-        incident = {x: sum(n.values()) for x, n in left.items()}
-        eligible = sorted((s for s in sources if s in left and s not in targets), key=lambda s: (-incident[s], s))[:top_sources]
+        through = {x: sum(n.values()) for x, n in left.items()}
+        wanted = targets_of[1][pdf[targets_of[0]].iloc[0]] if targets_of else targets
+        ends, starts = {t for t in wanted if t in left}, set(sources)
         out = []
         for _ in range(max_paths):
-            open_ = [(-sum(left[t].values()), t) for t in targets if t in left]
+            open_ = [(-sum(left[t].values()), t) for t in ends]
             if not open_ or -min(open_)[0] < least_flow:
                 break
             t = min(open_)[1]
-            graph = {x: {y: 1 / f for y, f in n.items() if f > least_flow} for x, n in left.items()}
+            top = sorted(through, key=lambda x: (-through[x], x))[:top_sources]
+            eligible = sorted(x for x in top if through[x] > least_flow and x in starts and x not in targets)
+            if not eligible:
+                break
             dist, back, heap = {t: 0.0}, {}, [(0.0, t)]
             while heap:
                 d, x = heapq.heappop(heap)
                 if d > dist[x]:
                     continue
-                for y, w in graph.get(x, {}).items():
-                    if d + w < dist.get(y, float("inf")) - 1e-15:
-                        dist[y], back[y] = d + w, x
-                        heapq.heappush(heap, (d + w, y))
+                for y, f in left[x].items():
+                    if f > least_flow and d + 1 / f < dist.get(y, float("inf")) - 1e-15:
+                        dist[y], back[y] = d + 1 / f, x
+                        heapq.heappush(heap, (d + 1 / f, y))
             best = None
             for s in eligible:
                 if s not in dist:
@@ -175,14 +189,16 @@ def decompose(edges: DataFrame, keys: list[str], sources: list[int], targets: li
                     width = min(left[a][b] for a, b in zip(path, path[1:], strict=False))
                     if best is None or width > best[0]:
                         best = (width, path)
-            if best is None:
-                for y in list(left[t]):
-                    rest = max(0.0, left[t][y] - max(least_flow, left[t][y]))
-                    left[t][y] = left[y][t] = rest
+            if best is None or best[0] <= least_flow:
+                for y in left[t]:
+                    left[t][y] = left[y][t] = max(0.0, left[t][y] - least_flow)
                 continue
             width, path = best
             for a, b in zip(path, path[1:], strict=False):
-                left[a][b] = left[b][a] = max(0.0, left[a][b] - width)
+                rest = max(0.0, left[a][b] - width)
+                for x in (a, b):
+                    through[x] -= left[a][b] - rest
+                left[a][b] = left[b][a] = rest
             out.append((len(out) + 1, width, path))
         frame = pd.DataFrame(out, columns=["path_id", "flow", "nodes"])
         for k in keys:

@@ -8,6 +8,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .series import quantile_limits
+
 GRID = 300
 
 
@@ -140,9 +142,9 @@ def kernel_density(df: DataFrame, key: str, value: str, points: int = 64) -> Dat
     Values meet the grid by rows, so a group's values are never in one task together.
     """
     rows = df.where(F.col(value).isNotNull() & ~F.isnan(value))
-    q = F.percentile(value, F.array(F.lit(0.25), F.lit(0.75)))
-    s = rows.groupBy(key).agg(F.count("*").alias("n"), F.min(value).alias("lo"), F.max(value).alias("hi"), F.coalesce(F.stddev_samp(value), F.lit(0.0)).alias("sd"), q.alias("q"))
-    spread = F.when((F.col("q")[1] - F.col("q")[0]) > 0, F.least(F.col("sd"), (F.col("q")[1] - F.col("q")[0]) / 1.34)).otherwise(F.col("sd"))
+    s = rows.groupBy(key).agg(F.count("*").alias("n"), F.min(value).alias("lo"), F.max(value).alias("hi"), F.coalesce(F.stddev_samp(value), F.lit(0.0)).alias("sd"))
+    s = s.join(quantile_limits(rows, [key], value, {"q1": 0.25, "q3": 0.75}), key)
+    spread = F.when(F.col("q3") > F.col("q1"), F.least(F.col("sd"), (F.col("q3") - F.col("q1")) / 1.34)).otherwise(F.col("sd"))
     s = s.withColumn("h", F.greatest(F.lit(0.9) * spread * F.pow(F.col("n"), F.lit(-0.2)), F.lit(1e-9)))
     grid = s.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(points - 1)))).withColumn("x", F.col("lo") - 3 * F.col("h") + F.col("k") * (F.col("hi") - F.col("lo") + 6 * F.col("h")) / (points - 1))
     z = (F.col("x") - F.col(value)) / F.col("h")

@@ -21,14 +21,13 @@ def angle_series(axes: DataFrame, keys: list[str], first: str, second: str, orde
 
 def distogram(frames: DataFrame, system: str, replica: str, frame: str = "frame") -> DataFrame:
     """Mean and variance of pair distances over all replicas of a system, pooled exactly from the replicas' own."""
-    pairs = dynamics.pair_distances(frames, [system, replica, frame])
-    each = dynamics.distance_statistics(pairs, [system, replica], ())
+    each = dynamics.distance_blocks(frames, [system, replica], frame)
     return matrix.pool_replicas(each, [system, "i", "j"])
 
 
 def correlation_network(frames: DataFrame, system: str, levels: list[float], contact: float | None = None) -> DataFrame:
     """Edges of each level from cross-correlation, in contact by mean distance if a cutoff is given."""
-    c = dynamics.cross_correlation(frames, [system]).withColumnRenamed("c", "value")
+    c = dynamics.correlation_blocks(frames, [system]).withColumnRenamed("c", "value")
     near = None
     if contact is not None:
         mean = dynamics.mean_structure(frames, [system], [])
@@ -56,7 +55,7 @@ def consolidated_paths(edges: DataFrame, key: str, sources: list[int], targets:
 
     found = keep(paths.decompose(edges, [key], sources, targets, least_length=least_length))
     before = None
-    for _ in range(rounds):
+    for turn in range(rounds):
         named = labelled(found)
         named = paths.truncate_at(named, target_numbers) if target_numbers else named
         grouped = keep(paths.group_paths(paths.keep_long(named, least_length), [key]))
@@ -64,6 +63,8 @@ def consolidated_paths(edges: DataFrame, key: str, sources: list[int], targets:
         if before == (now["n"], now["f"]):
             break
         before = (now["n"], now["f"])
+        if turn == rounds - 1:
+            break
         steps = paths.edge_sums(found.select(key, "path_id", "nodes", F.col("flow").alias("weight")), [key])
         merged = steps.groupBy(key, F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).agg(F.sum("weight").alias("weight"))
         found = keep(paths.decompose(merged, [key], sources, targets, least_length=least_length))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 
 #: Values with few decimals are scaled by this, as their means would often end in a 5 that engines round either way.
-UNTIE = 1.000003
+UNTIE = 1.000003141592653
 MILLION = 1000003.0
 
 
@@ -36,7 +36,7 @@ def series(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SERIES_SQL = """series AS (
-  SELECT user_id AS chain, (row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id))::INTEGER AS frame, event_type AS condition, value * 1.000003::DOUBLE AS value FROM events)"""
+  SELECT user_id AS chain, (row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id))::INTEGER AS frame, event_type AS condition, value * 1.000003141592653::DOUBLE AS value FROM events)"""
 
 
 def trades(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import catalogs, graphs, kernels, matrices, motion, sequences
+from . import catalogs, graphs, kernels, matrices, motion, pathways, sequences
 
-_PARTS = (catalogs, motion, matrices, graphs, sequences, kernels)
+_PARTS = (catalogs, motion, matrices, graphs, sequences, kernels, pathways)
 QUERIES = {name: f for part in _PARTS for name, f in part.QUERIES.items()}
 ORACLES = {name: sql for part in _PARTS for name, sql in part.ORACLES.items()}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import markov, network, paths, select
@@ -91,6 +91,23 @@ def family_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(network.with_totals(_flows(spark, sf_dir), "family", "target"))
 
 
+@_query(f"""WITH {_SEEDS}, b AS (SELECT system, target, node, seed_score FROM seeds UNION ALL
+    SELECT x.system, 'both', x.node, (x.seed_score + y.seed_score) / 2 FROM seeds x JOIN seeds y USING (system, node) WHERE x.target = 'A' AND y.target = 'N' AND x.seed_score > 0 AND y.seed_score > 0),
+  l AS (SELECT * FROM b UNION ALL SELECT system, 'A', node, seed_score FROM b WHERE target = 'both' UNION ALL SELECT system, 'N', node, seed_score FROM b WHERE target = 'both')
+  SELECT b.system, b.target, b.node, (b.node // 4)::INTEGER AS number, round(max(b.seed_score), 6) AS seed_score, {", ".join(f"count(*) FILTER (l.system = '{x}' AND l.seed_score >= 0.10 * b.seed_score) AS equiv_{x}" for x in "FOP")}
+  FROM b JOIN l ON l.target = b.target AND l.node // 4 = b.node // 4 GROUP BY 1, 2, 3""")
+def seed_equiv_systems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each system the nodes of the same number and target: a node stands for chain ``node % 4`` and number ``node / 4``."""
+    both = network.both_targets(_seeds(spark, sf_dir), ["system"], "A", "N").withColumn("number", F.floor(F.col("node") / 4).cast("int"))
+    return rounded(network.equivalent_counts(both, ["system", "target", "node"], ["F", "O", "P"], "number", both=("A", "N")))
+
+
+@_query(f"""WITH {_FLOWS} SELECT src, dst, family, target, CASE grouping(family) * 2 + grouping(target) WHEN 0 THEN 'family_target' WHEN 1 THEN 'family' WHEN 2 THEN 'target' ELSE 'total' END AS level,
+  round(sum(fwd), 6) AS fwd, round(sum(rev), 6) AS rev FROM flows GROUP BY GROUPING SETS ((src, dst, family, target), (src, dst, family), (src, dst, target), (src, dst))""")
+def family_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(network.by_level(_flows(spark, sf_dir), "family", "target"))
+
+
 _T = f"{NETWORK_SQL}, t AS (SELECT src AS i, dst AS j, weight / sum(weight) OVER (PARTITION BY src) AS t FROM network WHERE weight > 0)"
 _N = f"""{_T}, q AS (SELECT * FROM t WHERE i <> {ABSORBING} AND j <> {ABSORBING}), nodes AS (SELECT i AS node FROM t UNION SELECT j FROM t),
   r(k, i, j, v) AS (SELECT 0, node, node, 1.0::DOUBLE FROM nodes WHERE node <> {ABSORBING} UNION ALL SELECT k + 1, r.i, q.j, sum(r.v * q.t) FROM r JOIN q ON r.j = q.i WHERE k < 30 GROUP BY k + 1, r.i, q.j),
@@ -111,6 +128,12 @@ def _visits(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return t, markov.fundamental_series(t, [], _absorbing(spark), nodes, keep)
 
 
+def _solved(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The chain and its visits by one linear system, as for graphs that a task can hold."""
+    t = _transition(spark, sf_dir)
+    return t, markov.fundamental_solve(t.withColumn("g", F.lit(1)), "g", _absorbing(spark)).drop("g")
+
+
 @_query(f"WITH {_T} SELECT i, j, round(t, 6) AS t FROM t")
 def transition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(_transition(spark, sf_dir))
@@ -130,7 +153,7 @@ def fundamental_solve(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query(f"""WITH RECURSIVE {_N}, m AS (SELECT j AS node, sum(n) AS w FROM n GROUP BY 1), e AS (SELECT i, j, t * w AS e FROM t JOIN m ON node = i), u AS (SELECT i, j, e FROM e UNION ALL SELECT j, i, e FROM e)
   SELECT i, j, round(sum(e) / 2, 6) AS e FROM u GROUP BY 1, 2""")
 def edge_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t, n = _visits(spark, sf_dir)
+    t, n = _solved(spark, sf_dir)
     return rounded(markov.edge_importance(t, markov.node_importance(n, []), []))
 
 
@@ -138,7 +161,7 @@ def edge_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
   SELECT j AS node, round(sum(w * n) / (SELECT sum(w) FROM p), 6) AS field FROM n JOIN p ON n.i = p.node GROUP BY 1""")
 def visitation_field(spark: SparkSession, sf_dir: str) -> DataFrame:
     seeds = spark.createDataFrame([(1, 1.0), (2, 2.0), (3, 1.0), (99, 5.0)], "node int, weight double")
-    return rounded(markov.visitation_field(_visits(spark, sf_dir)[1], seeds, []))
+    return rounded(markov.visitation_field(_solved(spark, sf_dir)[1], seeds, []))
 
 
 def _nodes(e: DataFrame) -> DataFrame:
@@ -160,7 +183,7 @@ def maxflow_value(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(_max_flows(spark, sf_dir).select("source", "target", "value"))
 
 
-@_query()
+@_query(f"WITH {NETWORK_SQL}, n AS (SELECT src AS node FROM network UNION SELECT dst FROM network) SELECT a.node AS source, b.node AS target, TRUE AS is_cut, TRUE AS within, TRUE AS conserved FROM n a, n b WHERE a.node <> b.node")
 def flow_certificate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """That each value is a maximum: it is the capacity of the cut, flow keeps within capacities and is conserved."""
     f = keep(_max_flows(spark, sf_dir))
@@ -198,26 +221,22 @@ def consolidate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(g.select("system", F.concat_ws("-", "relative").alias("relative"), F.concat_ws("-", "path").alias("path"), "n_chains", "n_paths", "length", "flow_sum", "score"))
 
 
-_SPARSE = f"""{NETWORK_SQL}, top AS (SELECT src, dst, weight FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY weight DESC, dst) AS r FROM network) WHERE r <= 3),
-  t AS (SELECT src, dst, weight / sum(weight) OVER (PARTITION BY src) AS t FROM top), g AS (SELECT src, dst, greatest(0.0::DOUBLE, -ln(t + 1e-10::DOUBLE)) AS length FROM t)"""
+_LENGTHS = f"""{NETWORK_SQL}, t AS (SELECT src, dst, weight / sum(weight) OVER (PARTITION BY src) AS t FROM network), g AS (SELECT src, dst, greatest(0.0::DOUBLE, -ln(t + 1e-10::DOUBLE)) AS length FROM t)"""
 
 
-@_query(f"""WITH RECURSIVE {_SPARSE}, p(seed, node, nodes, length) AS (SELECT src, src, [src], 0.0::DOUBLE FROM (SELECT DISTINCT src FROM g WHERE src BETWEEN 14 AND 18) UNION ALL
-  SELECT seed, g.dst, list_append(nodes, g.dst), p.length + g.length FROM p JOIN g ON p.node = g.src WHERE NOT list_contains(nodes, g.dst)),
-  f AS (SELECT seed, node AS target, nodes, length, row_number() OVER (PARTITION BY seed, node ORDER BY length, nodes) AS turn FROM p WHERE node IN (23, 24) AND seed <> node),
+@_query(f"""WITH RECURSIVE {_LENGTHS}, p(seed, node, nodes, length) AS (SELECT node, node, [node], 0.0::DOUBLE FROM (SELECT src AS node FROM g UNION SELECT dst FROM g) UNION ALL
+  SELECT seed, dst, list_append(nodes, dst), total FROM (SELECT seed, dst, nodes, p.length + g.length AS total, row_number() OVER (PARTITION BY seed, dst ORDER BY p.length + g.length, nodes) AS turn FROM p JOIN g ON p.node = g.src) WHERE turn <= 5),
+  f AS (SELECT seed, node AS target, nodes, length, row_number() OVER (PARTITION BY seed, node ORDER BY length, nodes) AS turn FROM p WHERE seed <> node),
   r AS (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY length, target, turn) - 1 AS place FROM f WHERE turn <= 5)
   SELECT seed, target, round(length, 5) AS length, place::INTEGER AS rank FROM r WHERE place < 5""")
 def kshort_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = Window.partitionBy("src").orderBy(F.desc("weight"), "dst")
-    top = network_of(spark, sf_dir).withColumn("_r", F.row_number().over(w)).where("_r <= 3")
-    g = markov.log_weights(markov.transition(top, []), None, [])
-    seeds = g.where(F.col("src").between(14, 18)).select(F.col("src").alias("node")).distinct()
-    return rounded(paths.best_paths(g, seeds, [23, 24]).select("seed", "target", "length", "rank"), 5)
+    """The k shortest paths of all seeds to all targets; the SQL goes by steps, as edges lead from smaller to larger nodes."""
+    return kshort_network(spark, sf_dir)
 
 
 @_query()
 def kshort_network(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The whole of what ``kshort_paths`` makes for a part, as its SQL can't go through all paths: all edges, seeds and targets."""
+    """The same, held against all simple paths of a small graph in the tests."""
     e = network_of(spark, sf_dir)
     g = markov.log_weights(markov.transition(e, []), None, [])
     return rounded(paths.best_paths(g, _nodes(e), list(range(25))).select("seed", "target", "length", "rank"), 5)

@@ -109,6 +109,14 @@ def dccm_long(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(dynamics.cross_correlation(frames(spark, sf_dir), ["system"]))
 
 
+@_query(f"""WITH {FRAMES_SQL}, m AS (SELECT system, atom, avg(x) AS mx, avg(y) AS my, avg(z) AS mz FROM frames GROUP BY 1, 2),
+  d AS (SELECT f.system, f.frame, f.atom, x - mx AS x, y - my AS y, z - mz AS z FROM frames f JOIN m USING (system, atom)),
+  p AS (SELECT a.system, a.atom AS i, b.atom AS j, avg(a.x * b.x + a.y * b.y + a.z * b.z) AS p FROM d a JOIN d b ON a.system = b.system AND a.frame = b.frame AND a.atom <= b.atom GROUP BY 1, 2, 3)
+  SELECT p.system, p.i, p.j, round(p.p / sqrt(u.p * v.p), 6) + 0.0 AS c FROM p JOIN p u ON u.system = p.system AND u.i = p.i AND u.j = p.i JOIN p v ON v.system = p.system AND v.i = p.j AND v.j = p.j""")
+def dccm_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(dynamics.correlation_blocks(frames(spark, sf_dir), ["system"]))
+
+
 @_query(f"""WITH {FRAMES_SQL}, r AS (SELECT system, frame % 3 AS replica, atom, avg(x) AS x, avg(y) AS y, avg(z) AS z FROM frames GROUP BY 1, 2, 3)
   SELECT system, atom, round(avg(x), 6) + 0.0 AS x, round(avg(y), 6) + 0.0 AS y, round(avg(z), 6) + 0.0 AS z FROM r GROUP BY 1, 2""")
 def mean_of_means(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -121,19 +129,23 @@ def distogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(studies.distogram(frames(spark, sf_dir).withColumn("replica", F.col("frame") % 3), "system", "replica"))
 
 
-@_query(f"""WITH {FRAMES_SQL}, c AS (SELECT system, frame, substr('ABCD', atom, 1) AS chain, atom, x, y, z FROM frames WHERE atom <= 4)
-  SELECT a.system, a.frame, a.chain, b.chain AS other, round({_D}, 6) AS d FROM c a JOIN c b ON a.system = b.system AND a.frame = b.frame AND b.atom = a.atom % 4 + 1""")
+def _chains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The atoms as residues of four chains in turn."""
+    place = F.col("atom") - 1
+    return frames(spark, sf_dir).withColumn("residue", F.floor(place / 4).cast("int")).withColumn("chain", F.substring(F.lit("ABCD"), place % 4 + 1, F.lit(1)))
+
+
+@_query(f"""WITH {FRAMES_SQL}, c AS (SELECT system, frame, ((atom - 1) // 4)::INTEGER AS residue, substr('ABCD', (atom - 1) % 4 + 1, 1) AS chain, (atom - 1) % 4 AS place, x, y, z FROM frames)
+  SELECT a.system, a.frame, a.residue, a.chain, b.chain AS other, round({_D}, 6) AS d FROM c a JOIN c b ON a.system = b.system AND a.frame = b.frame AND a.residue = b.residue AND b.place = (a.place + 1) % 4""")
 def chain_shift_pair(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = frames(spark, sf_dir).where("atom <= 4").withColumn("chain", F.substring(F.lit("ABCD"), F.col("atom"), F.lit(1)))
-    return rounded(dynamics.offset_pairs(f, ["system", "frame"], "chain", shift_chain(F.col("chain"), 1)))
+    return rounded(dynamics.offset_pairs(_chains(spark, sf_dir), ["system", "frame", "residue"], "chain", shift_chain(F.col("chain"), 1)))
 
 
-@_query(f"""WITH {FRAMES_SQL}, c AS (SELECT system, frame, substr('ABCD', atom, 1) AS chain, atom, x, y, z FROM frames WHERE atom <= 4),
-  p AS (SELECT a.system, a.frame, {_D} AS d FROM c a JOIN c b ON a.system = b.system AND a.frame = b.frame AND b.atom = a.atom % 4 + 1)
+@_query(f"""WITH {FRAMES_SQL}, c AS (SELECT system, frame, ((atom - 1) // 4)::INTEGER AS residue, substr('ABCD', (atom - 1) % 4 + 1, 1) AS chain, (atom - 1) % 4 AS place, x, y, z FROM frames),
+  p AS (SELECT a.system, a.frame, {_D} AS d FROM c a JOIN c b ON a.system = b.system AND a.frame = b.frame AND a.residue = b.residue AND b.place = (a.place + 1) % 4)
   SELECT system, frame, round(avg(d), 6) AS mean, round(stddev_samp(d), 6) AS sd, count(*) AS n FROM p GROUP BY 1, 2""")
 def pair_series(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = frames(spark, sf_dir).where("atom <= 4").withColumn("chain", F.substring(F.lit("ABCD"), F.col("atom"), F.lit(1)))
-    return rounded(series.summary(dynamics.offset_pairs(f, ["system", "frame"], "chain", shift_chain(F.col("chain"), 1)), ["system", "frame"], "d"))
+    return rounded(series.summary(dynamics.offset_pairs(_chains(spark, sf_dir), ["system", "frame", "residue"], "chain", shift_chain(F.col("chain"), 1)), ["system", "frame"], "d"))
 
 
 def _cos(a: str, b: str) -> str:
@@ -171,11 +183,32 @@ def global_bend(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(_ordered(spark, sf_dir).select("system", "frame", mid_vector_angle("points").alias("bend")), 5)
 
 
-@_query()
+def _angle(u: list[str], v: list[str]) -> str:
+    dot = lambda a, b: " + ".join(f"({x}) * ({y})" for x, y in zip(a, b, strict=True))
+    return f"degrees(acos(greatest(-1.0::DOUBLE, least(1.0::DOUBLE, ({dot(u, v)}) / (sqrt({dot(u, u)}) * sqrt({dot(v, v)}))))))"
+
+
+_ENDS_OF = ", ".join(f"max({c}) FILTER (atom = 1) AS f{c}, max({c}) FILTER (atom = 21) AS l{c}" for c in "xyz")
+_ALONG = "((x - fx) * (lx - fx) + (y - fy) * (ly - fy) + (z - fz) * (lz - fz)) / sqrt((lx - fx) * (lx - fx) + (ly - fy) * (ly - fy) + (lz - fz) * (lz - fz))"
+
+
+@_query(f"""WITH {FRAMES_SQL}, e AS (SELECT system, frame, {_ENDS_OF} FROM frames GROUP BY 1, 2),
+  a AS (SELECT *, {_ALONG} AS along FROM frames JOIN e USING (system, frame)),
+  d AS (SELECT *, sqrt(greatest(0.0::DOUBLE, (x - fx) * (x - fx) + (y - fy) * (y - fy) + (z - fz) * (z - fz) - along * along)) AS away FROM a),
+  c AS (SELECT *, row_number() OVER (PARTITION BY system, frame ORDER BY away DESC, atom) AS r FROM d)
+  SELECT system, frame, round(180.0::DOUBLE - {_angle(["fx - x", "fy - y", "fz - z"], ["lx - x", "ly - y", "lz - z"])}, 5) AS bend FROM c WHERE r = 1""")
 def triangle_bend(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(_ordered(spark, sf_dir).select("system", "frame", triangle_angle("points").alias("bend")), 5)
 
 
+@_query(f"""WITH {FRAMES_SQL}, m AS (SELECT system, atom, avg(x) AS mx, avg(y) AS my, avg(z) AS mz FROM frames GROUP BY 1, 2), s AS (SELECT system, frame % 3 AS replica, min(frame) AS frame FROM frames GROUP BY 1, 2),
+  r AS (SELECT system, replica, sqrt(avg((x - mx) * (x - mx) + (y - my) * (y - my) + (z - mz) * (z - mz))) AS rmsd FROM frames JOIN s USING (system, frame) JOIN m USING (system, atom) GROUP BY 1, 2)
+  SELECT system, round(min(rmsd), 6) AS least_rmsd, min(rmsd) < 1e-3 AS matches_initial FROM r GROUP BY 1""")
+def ensemble_start(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = frames(spark, sf_dir).withColumn("replica", F.col("frame") % 3)
+    return rounded(dynamics.starts_at_mean(f, dynamics.mean_structure(f, ["system"], []), ["system"], "replica"))
+
+
 @_query(f"""WITH {FRAMES_SQL}, e AS (SELECT system, frame, count(*) AS a FROM frames GROUP BY 1, 2), r AS (SELECT system, frame % 3 AS replica, count(*) AS f, min(a) AS lo, max(a) AS hi FROM e GROUP BY 1, 2)
   SELECT system, count(*) AS replicas, min(lo) = max(hi) AS atoms_agree, min(f) = max(f) AS frames_agree FROM r GROUP BY 1""")
 def ensemble_check(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -97,10 +97,12 @@ def edge_accumulation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(paths.edge_accumulation(d, _edge_values(spark, sf_dir), []), 5)
 
 
-@_query(f"""WITH {PATHS_SQL}, n AS (SELECT path_id, list_distinct(list_transform(nodes, lambda n: substr(n, 2)::INTEGER)) AS s FROM paths), p AS (SELECT path_id, s, lead(s) OVER (ORDER BY path_id) AS t FROM n WHERE path_id % 50 = 0)
+@_query(f"""WITH {PATHS_SQL}, n AS (SELECT path_id, list_distinct(list_transform(nodes, lambda n: substr(n, 2)::INTEGER)) AS s FROM paths), p AS (SELECT path_id, s, lead(s) OVER (PARTITION BY o_custkey ORDER BY path_id) AS t FROM n JOIN orders ON path_id = o_orderkey)
   SELECT path_id, round(len(list_intersect(s, t))::DOUBLE / len(list_distinct(list_concat(s, t))), 6) AS overlap FROM p WHERE t IS NOT NULL""")
 def number_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = order_paths(spark, sf_dir).where("path_id % 50 = 0").withColumn("next", F.lead("nodes").over(Window.orderBy("path_id"))).where("next is not null")
+    """Each order's path with the next one's of the same customer."""
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("path_id"), "o_custkey")
+    p = order_paths(spark, sf_dir).join(o, "path_id").withColumn("next", F.lead("nodes").over(Window.partitionBy("o_custkey").orderBy("path_id"))).where("next is not null")
     return rounded(p.select("path_id", labels.number_overlap(F.col("nodes"), F.col("next")).alias("overlap")))
 
 
@@ -184,12 +186,16 @@ _MEDOID = """d AS (SELECT a.s_suppkey AS i, b.s_suppkey AS j, round(abs(a.s_acct
 @_query(f"WITH {_MEDOID} SELECT cluster, item, mean_distance FROM (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY mean_distance, item) AS r FROM m) WHERE r = 1")
 def medoid(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey", "s_acctbal")
-    a, b = s.select(F.col("s_suppkey").alias("i"), F.col("s_acctbal").alias("x")), s.select(F.col("s_suppkey").alias("j"), F.col("s_acctbal").alias("y"))
-    d = a.join(b, F.col("i") < F.col("j")).select("i", "j", F.round(F.abs(F.col("x") - F.col("y")) * 100).alias("distance"))
+    a, b = s.select(F.col("s_suppkey").alias("i"), F.col("s_acctbal").alias("x"), (F.col("s_nationkey") % 4).alias("c")), s.select(F.col("s_suppkey").alias("j"), F.col("s_acctbal").alias("y"), (F.col("s_nationkey") % 4).alias("c"))
+    d = a.join(b, "c").where("i < j").select("i", "j", F.round(F.abs(F.col("x") - F.col("y")) * 100).alias("distance"))
     return rounded(seqalign.medoids(d, s.select(F.col("s_suppkey").alias("item"), (F.col("s_nationkey") % 4).alias("cluster")), []))
 
 
-@_query()
+@_query(f"""WITH {PATHS_SQL}, r AS (SELECT path_id, flow, nodes, {_RELATIVE} AS relative FROM paths),
+  d AS (SELECT relative, len(relative)::INTEGER AS cluster, count(*) AS n, sum(flow) AS importance, avg(-(path_id % 100)) AS log_prob FROM r GROUP BY 1),
+  s AS (SELECT len(relative)::INTEGER AS cluster, array_to_string(list_sort(list(DISTINCT nodes[1])), ',') AS seeds, count(DISTINCT substr(nodes[1], 1, 1))::INTEGER AS n_chains FROM r GROUP BY 1)
+  SELECT cluster, count(*) AS n_members, sum(n)::BIGINT AS n_paths, first(n_chains) AS n_chains, first(seeds) AS seeds, round(avg(importance), 5) AS mean_importance, round(sum(importance), 5) AS total_importance,
+  round(avg(log_prob), 5) AS mean_log_prob, avg(len(relative))::DOUBLE AS mean_length FROM d JOIN s USING (cluster) GROUP BY 1""")
 def cluster_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = paths.dedup_paths(_raw(spark, sf_dir), []).withColumn("cluster", F.size("relative"))
     p = cluster.profiles(d, ["cluster"])

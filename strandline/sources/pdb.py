@@ -42,12 +42,13 @@ def representative(atom_rows: DataFrame, keys: list[str], chains: str | None = "
     return rows.groupBy(*keys, "chain", "resno").agg(F.min_by(F.struct("x", "y", "z"), order).alias("p")).select(*keys, "chain", "resno", "p.*")
 
 
-def with_values(lines: DataFrame, field: DataFrame, chains: str = "ABCD", default: float = 0.0, line: str = "line") -> DataFrame:
-    """Lines whose columns 61-66 hold the residue's value: atoms of ``chains`` without one have ``default``, hetero atoms 0; other lines stay."""
+def with_values(lines: DataFrame, field: DataFrame, chains: str = "ABCD", default: float = 0.0, line: str = "line", on: list[str] | None = None) -> DataFrame:
+    """Lines whose columns 61-66 hold the residue's value, by the keys ``on`` besides if given: atoms of ``chains`` without one have ``default``, hetero atoms 0; other lines stay."""
     kind = F.trim(F.substring(line, 1, 6))
     chain, resno = F.substring(line, 22, 1), F.trim(F.substring(line, 23, 4)).try_cast("int")
     keyed = lines.withColumn("_chain", F.when(kind == "ATOM", chain)).withColumn("_resno", resno)
-    joined = keyed.join(field.select(F.col("chain").alias("_chain"), F.col("resno").alias("_resno"), F.col("value").alias("_value")), ["_chain", "_resno"], "left")
+    on = on or []
+    joined = keyed.join(field.select(*on, F.col("chain").alias("_chain"), F.col("resno").alias("_resno"), F.col("value").alias("_value")), [*on, "_chain", "_resno"], "left")
     ours = (kind == "ATOM") & chain.isin(*chains)
     value = F.when(ours, F.coalesce("_value", F.lit(default))).when(kind == "HETATM", F.lit(0.0))
     new = F.concat(F.rpad(F.substring(line, 1, 60), 60, " "), F.format_string("%6.2f", value), F.substring(line, 67, 200))
