@@ -72,11 +72,13 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, prior: float, bits: int = BI
     if not len(rows) or y.min() == y.max():
         p = min(max(prior, 1e-6), 1 - 1e-6)
         return weights, float(np.log(p / (1 - p)))
-    lengths = np.array([len(r) for r in rows])
-    cols = np.concatenate(rows)
-    doc = np.repeat(np.arange(len(rows)), lengths)
-    pos = np.bincount(cols, weights=y[doc], minlength=size)
-    neg = np.bincount(cols, minlength=size) - pos
+    # a row's buckets are distinct; one row at a time, as all of them at once would be large
+    pos, seen = np.zeros(size), np.zeros(size)
+    for r, label in zip(rows, y, strict=True):
+        seen[r] += 1
+        if label:
+            pos[r] += 1
+    neg = seen - pos
     n1, n0 = y.sum(), (1 - y).sum()
     ratio = np.log(((pos + 1) / (pos + 1).sum()) / ((neg + 1) / (neg + 1).sum()))
     p1, p0, p = (pos + 0.5) / (n1 + 1), (neg + 0.5) / (n0 + 1), (pos + neg + 0.5) / (n1 + n0 + 1)
@@ -88,8 +90,8 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, prior: float, bits: int = BI
         return weights, float(np.log(prior / (1 - prior)))
     place = np.full(size, -1, np.int64)
     place[chosen] = np.arange(len(chosen))
-    inside = place[cols] >= 0
-    doc, col = doc[inside], place[cols[inside]]
+    own = [(x := place[r])[x >= 0] for r in rows]
+    doc, col = np.repeat(np.arange(len(rows)), [len(x) for x in own]), np.concatenate(own)
     scale = ratio[chosen]
     w, bias = np.ones(len(chosen)) * 0.1, 0.0
     m, v = np.zeros(len(chosen) + 1), np.zeros(len(chosen) + 1)
