@@ -9,7 +9,9 @@ from .shared import cut
 
 WEIGHTS = (5, 2, 1)
 MOST = 3
-STRATA = 64
+#: Strata of a source and size class: so many, or a power of two that leaves about so many rows of all to each.
+LEAST_STRATA = 64
+STRATUM_ROWS = 1 << 20
 
 
 def word_count(text: str) -> Column:
@@ -49,8 +51,8 @@ def mix_sources(docs: DataFrame, id_column: str = "doc_id", text: str = "text",
     ``target / source_size`` copies; one offset a source, from ``seed`` and its name, is added to
     the running sum and a copy falls on each integer crossed. The order spreads the choice over all
     sizes, so taken words come near the target. Positions come from counts of
-    (source, class, stratum), so no window holds a whole source: a stratum is one of 64 hash values
-    of the id. Reruns agree, also where ids repeat: such rows are ordered by size, then text hash,
+    (source, class, stratum), so no window holds a whole source: strata are hash values of the id,
+    64 or as many as leave about a million rows of the whole table to each. Reruns agree, also where ids repeat: such rows are ordered by size, then text hash,
     and rows equal in all of these are interchangeable. Null sources are one source; null or empty
     texts have size 0, belong to their source's order and take 0 words. A source without words has
     target 0 and takes nothing. An empty table gives an empty result. Positions are kept beside rows
@@ -61,7 +63,9 @@ def mix_sources(docs: DataFrame, id_column: str = "doc_id", text: str = "text",
         *([F.xxhash64(text).alias("_tie")] if keep else [F.lit(0).cast("long").alias("_tie")]), *[F.col(c).alias(f"_keep_{i}") for i, c in enumerate(keep)],
     )
     rows = rows.withColumn("_class", F.floor(F.log2(F.col("size") + 1.0) * 4).cast("int"))
-    rows = cut(rows.withColumn("_stratum", F.conv(F.substring(F.md5(F.coalesce(F.col("_id").cast("string"), F.lit("")).cast("binary")), 1, 4), 16, 10).cast("int") % STRATA))
+    rows = cut(rows.withColumn("_hash", F.conv(F.substring(F.md5(F.coalesce(F.col("_id").cast("string"), F.lit("")).cast("binary")), 1, 8), 16, 10).cast("long")))
+    strata = max(LEAST_STRATA, 1 << max(0, (rows.count() - 1) // STRATUM_ROWS).bit_length())
+    rows = rows.withColumn("_stratum", (F.col("_hash") % strata).cast("int")).drop("_hash")
     groups = rows.groupBy("_source", "_class", "_stratum").agg(F.count("*").alias("n"), F.sum("size").alias("words"))
     groups = cut(groups)
     sizes = groups.groupBy(F.col("_source").alias("source")).agg(F.sum("words").alias("source_size"))
@@ -101,7 +105,7 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLE = r"""
 WITH d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
-    ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 4))::BIGINT % 64 AS stratum
+    ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT % (SELECT greatest(64, CASE WHEN count(*) > 1048576 THEN (1 << (floor(log2((count(*) - 1) // 1048576)) + 1)::INTEGER) ELSE 1 END) FROM documents) AS stratum
   FROM documents
 ), s AS (
   SELECT source, sum(size)::BIGINT AS source_size,

@@ -249,3 +249,23 @@ def test_repeated_windows_by_dictionary_and_parse():
                 least[x[k : k + 10]] = min(d, least.get(x[k : k + 10], 99))
         want = Counter((i, int(start[i]) + k) for i, (d, x) in enumerate(zip(doc, pieces, strict=True)) for k in range(len(x) - 9) if least[x[k : k + 10]] < d)
         assert Counter((int(i), k) for _, i, a, b in zip(*got, strict=True) for k in range(int(a), int(b))) == want
+
+
+def test_empty_tables_and_repeated_rows(spark):
+    from strandline.llm import op6_substrings, op8_packing, op9_mixing
+
+    docs = spark.createDataFrame([(1, "a b", "s"), (1, "a b", "s"), (None, None, None)], "doc_id long, text string, source string")
+    weights = (np.zeros(1 << op2_toxicity.BITS, np.float32), 0.0)
+    for f in (
+        lambda d: op2_toxicity.score(d, weights), lambda d: op4_language.identify(d, None), lambda d: op5_quality.score_quality(d, None), lambda d: op6_substrings.remove_repeats(d), lambda d: op8_packing.pack(d, op8_packing.public_path()),
+        lambda d: op9_mixing.mix_sources(d, keep=("source",)), lambda d: op10_licenses.scan_licenses(d), lambda d: op1_exact_dedup.exact_dedup(d),
+    ):
+        assert f(docs.limit(0)).collect() == [] and Counter(r.doc_id for r in f(docs).collect()) == {1: 2, None: 1}
+
+
+def test_kept_columns_don_t_clash(spark):
+    from strandline.llm import op9_mixing
+
+    docs = spark.createDataFrame([(1, "a b", "s", 1, 2)], "doc_id long, text string, source string, copies int, source_size int")
+    df = op9_mixing.mix_sources(docs, keep=("copies", "source_size", "source"))
+    assert len(set(df.columns)) == len(df.columns) and (df.first()._copies, df.first()._source_size, df.first().source) == (1, 2, "s")
