@@ -49,10 +49,10 @@ def frame_blocks(wide: DataFrame, key: str, frame: str, vector: str, atoms: int,
     return rows.groupBy(key, "_block").applyInPandas(run, f"{key} {kind}, i int, j int, n long, mean double, m2 double")
 
 
-def merge_blocks(blocks: DataFrame, keys: list[str]) -> DataFrame:
-    """Number, mean and sample variance from partial moments, as one aggregate of sums."""
+def merge_blocks(blocks: DataFrame, keys: list[str], counts: list[str] | None = None) -> DataFrame:
+    """Number, mean and sample variance from partial moments, and shares from counts, as one aggregate of sums."""
     n, s, q = F.sum("n"), F.sum(F.col("n") * F.col("mean")), F.sum(F.col("m2") + F.col("n") * F.col("mean") * F.col("mean"))
-    return blocks.groupBy(*keys, "i", "j").agg(n.alias("n"), (s / n).alias("mean"), F.when(n > 1, F.greatest(F.lit(0.0), q - s * s / n) / (n - 1)).otherwise(F.lit(0.0)).alias("var"))
+    return blocks.groupBy(*keys, "i", "j").agg(n.alias("n"), (s / n).alias("mean"), F.when(n > 1, F.greatest(F.lit(0.0), q - s * s / n) / (n - 1)).otherwise(F.lit(0.0)).alias("var"), *[(F.sum(c) / n).alias(c) for c in counts or []])
 
 
 def frame_vectors(frames: DataFrame, keys: list[str], frame: str = "frame", atom: str = "atom") -> DataFrame:
@@ -77,22 +77,27 @@ def _by_blocks(frames: DataFrame, keys: list[str], frame: str, atom: str, per_bl
     return wide.groupBy(*keys, "_block", "atoms").applyInPandas(run, schema)
 
 
-def distance_blocks(frames: DataFrame, keys: list[str], frame: str = "frame", atom: str = "atom", per_block: int = 256) -> DataFrame:
-    """Number, mean and sample variance of each pair's distance ``(keys, i, j, n, mean, var)``, by partial moments of blocks of frames.
+def distance_blocks(frames: DataFrame, keys: list[str], frame: str = "frame", atom: str = "atom", per_block: int = 256, cutoffs: tuple[float, ...] = ()) -> DataFrame:
+    """Number, mean, sample variance and shares under ``cutoffs`` of each pair's distance, as ``distance_statistics`` gives them, by partial moments of blocks of frames.
 
     Rows are pairs times blocks, not pairs times frames.
     """
+    near = [f"contact_{int(c)}" for c in cutoffs]
 
     def moments(x: np.ndarray) -> dict:
-        mean = m2 = np.zeros((x.shape[1], x.shape[1]))
+        size = (x.shape[1], x.shape[1])
+        mean, m2, under = np.zeros(size), np.zeros(size), [np.zeros(size) for _ in cutoffs]
         for n, f in enumerate(x, 1):
             d = np.sqrt(((f[:, None] - f[None]) ** 2).sum(axis=2))
             step = d - mean
-            mean = mean + step / n
-            m2 = m2 + step * (d - mean)
-        return {"mean": mean, "m2": m2}
+            mean += step / n
+            m2 += step * (d - mean)
+            for k, c in enumerate(cutoffs):
+                under[k] += d < c
+        return {"mean": mean, "m2": m2, **dict(zip(near, under, strict=True))}
 
-    return merge_blocks(_by_blocks(frames, keys, frame, atom, per_block, moments, "mean double, m2 double").where("i < j"), keys)
+    blocks = _by_blocks(frames, keys, frame, atom, per_block, moments, ", ".join(["mean double", "m2 double", *(f"{c} double" for c in near)])).where("i < j")
+    return merge_blocks(blocks, keys, near)
 
 
 def correlation_blocks(frames: DataFrame, keys: list[str], frame: str = "frame", atom: str = "atom", per_block: int = 256) -> DataFrame:

@@ -92,7 +92,7 @@ _PAIRS = f"{FRAMES_SQL}, pairs AS (SELECT a.system, a.frame, a.atom AS i, b.atom
 @_query(f"""WITH {_PAIRS} SELECT system, i, j, count(*) AS n, round(avg(d), 6) AS mean, round(coalesce(var_samp(d), 0.0), 6) AS var,
   round(avg((d < 0.1)::INTEGER), 6) AS contact_0, round(avg((d < 1)::INTEGER), 6) AS contact_1 FROM pairs GROUP BY 1, 2, 3""")
 def dist_welford(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(dynamics.distance_statistics(dynamics.pair_distances(frames(spark, sf_dir), ["system", "frame"]), ["system"], (0.1, 1.0)))
+    return rounded(dynamics.distance_blocks(frames(spark, sf_dir), ["system"], cutoffs=(0.1, 1.0)))
 
 
 @_query(f"WITH {_PAIRS} SELECT system, i, j, count(*) AS n, round(avg(d), 6) AS mean, round(coalesce(var_samp(d), 0.0), 6) AS var FROM pairs GROUP BY 1, 2, 3")
