@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import heapq
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -138,7 +139,7 @@ def best_paths(edges: DataFrame, seeds: DataFrame, targets: list[int], k: int =
     return found.withColumn("rank", F.row_number().over(w) - 1).where(F.col("rank") < k).drop("at")
 
 
-def decompose(edges: DataFrame, keys: list[str], sources: list[int], targets: list[int], least_flow: float = 1e-6, max_paths: int = 500, least_length: int = 8, top_sources: int = 600, targets_of: tuple[str, dict[str, list[int]]] | None = None) -> DataFrame:
+def decompose(edges: DataFrame, keys: list[str], sources: list | None, targets: list | Callable[..., bool], least_flow: float = 1e-6, max_paths: int = 500, least_length: int = 8, top_sources: int = 600, targets_of: tuple[str, dict[str, list[int]]] | None = None) -> DataFrame:
     """``(keys, path_id, flow, nodes)``: flow taken apart into paths from sources to targets, one graph a group.
 
     In turn: the target with most flow left at its edges; shortest paths from it by 1 / flow to the
@@ -148,7 +149,8 @@ def decompose(edges: DataFrame, keys: list[str], sources: list[int], targets: li
     the target's edges lose ``least_flow`` each and the turn counts, though not for the nodes' flow.
     Ties go to the smaller node. It stops when no target has ``least_flow`` left, no source is left, or
     after ``max_paths`` turns. With ``targets_of``, a key and the targets of each of its values, a group
-    goes to those of its value; all of ``targets`` are still no sources.
+    goes to those of its value; all of ``targets`` are still no sources. ``targets`` may be a test of a
+    node, and without ``sources`` all others are sources.
     """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -157,8 +159,9 @@ def decompose(edges: DataFrame, keys: list[str], sources: list[int], targets: li
             left.setdefault(a, {})[b] = f
             left.setdefault(b, {})[a] = f
         through = {x: sum(n.values()) for x, n in left.items()}
-        wanted = targets_of[1][pdf[targets_of[0]].iloc[0]] if targets_of else targets
-        ends, starts = {t for t in wanted if t in left}, set(sources)
+        all_ends = {x for x in left if (targets(x) if callable(targets) else x in targets)}
+        wanted = targets_of[1][pdf[targets_of[0]].iloc[0]] if targets_of else all_ends
+        ends, starts = {t for t in wanted if t in left}, set(left if sources is None else sources)
         out = []
         for _ in range(max_paths):
             open_ = [(-sum(left[t].values()), t) for t in ends]
@@ -166,7 +169,7 @@ def decompose(edges: DataFrame, keys: list[str], sources: list[int], targets: li
                 break
             t = min(open_)[1]
             top = sorted(through, key=lambda x: (-through[x], x))[:top_sources]
-            eligible = sorted(x for x in top if through[x] > least_flow and x in starts and x not in targets)
+            eligible = sorted(x for x in top if through[x] > least_flow and x in starts and x not in all_ends)
             if not eligible:
                 break
             dist, back, heap = {t: 0.0}, {}, [(0.0, t)]
@@ -206,7 +209,7 @@ def decompose(edges: DataFrame, keys: list[str], sources: list[int], targets: li
         return frame[[*keys, "path_id", "flow", "nodes"]]
 
     kinds = dict(edges.dtypes)
-    schema = "".join(f"{k} {kinds[k]}, " for k in keys) + "path_id int, flow double, nodes array<int>"
+    schema = "".join(f"{k} {kinds[k]}, " for k in keys) + f"path_id int, flow double, nodes array<{kinds['src']}>"
     return edges.groupBy(*keys).applyInPandas(run, schema)
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geometry import acute_angle
+from ..functions.labels import relative_path
 from ..operators import dynamics, markov, matrix, network, paths, series
 
 
@@ -43,29 +44,28 @@ def flow_field(edges: DataFrame, pairs: DataFrame, absorbing: DataFrame, seeds:
     return markov.visitation_field(n, seeds, [key])
 
 
-def consolidated_paths(edges: DataFrame, key: str, sources: list[int], targets: list[int], label: DataFrame, keep: Callable[[DataFrame], DataFrame], least_length: int = 8, rounds: int = 2, target_numbers: list[int] | None = None) -> DataFrame:
-    """Flow taken apart into paths, turned, cut at the target, grouped and scored; their edges are taken apart again until nothing changes.
+def consolidated_paths(edges: DataFrame, key: str, sources: list[int] | None, targets: list[int], label: DataFrame, keep: Callable[[DataFrame], DataFrame], least_length: int = 8, rounds: int = 1, target_numbers: list[int] | None = None) -> DataFrame:
+    """Flow taken apart into paths, cut at the target, turned, grouped and scored; then the turned paths' edges are taken apart again.
 
-    ``label`` gives a node its chain and number. Rounds are compared with the one before.
+    ``label`` gives a node its chain and number. A round adds the flow of the grouped paths by their
+    turned edges, takes that graph apart from all its labels to those of ``target_numbers``, turns, cuts
+    and groups. The reference allows two rounds, but compares the first with itself, so one is made;
+    more of them stop once the paths are those of the round before. A round without paths, or without
+    target numbers, leaves what was there.
     """
-
-    def labelled(rows: DataFrame) -> DataFrame:
-        steps = rows.select(key, "path_id", "flow", F.posexplode("nodes").alias("at", "node")).join(label, "node")
-        return steps.groupBy(key, "path_id", "flow").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "label"))), lambda s: s["label"]).alias("nodes"))
-
-    found = keep(paths.decompose(edges, [key], sources, targets, least_length=least_length))
-    before = None
-    for turn in range(rounds):
-        named = labelled(found)
-        named = paths.truncate_at(named, target_numbers) if target_numbers else named
-        grouped = keep(paths.group_paths(paths.keep_long(named, least_length), [key]))
-        now = grouped.agg(F.count("*").alias("n"), F.round(F.sum("flow_sum"), 6).alias("f")).first()
-        if before == (now["n"], now["f"]):
-            break
-        before = (now["n"], now["f"])
-        if turn == rounds - 1:
+    found = paths.decompose(edges, [key], sources, targets, least_length=least_length)
+    steps = found.select(key, "path_id", "flow", F.posexplode("nodes").alias("at", "node")).join(label, "node")
+    named = steps.groupBy(key, "path_id", "flow").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "label"))), lambda s: s["label"]).alias("nodes"))
+    cut = lambda rows: paths.keep_long(paths.truncate_at(rows, target_numbers) if target_numbers else rows, least_length)
+    grouped = keep(paths.group_paths(cut(named), [key]))
+    for _ in range(rounds if target_numbers else 0):
+        turned = paths.edge_sums(grouped.select(key, F.col("relative").alias("nodes"), F.col("flow_sum").alias("weight")), [key])
+        merged = turned.groupBy(key, F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).agg(F.sum("weight").alias("weight"))
+        again = paths.decompose(merged, [key], None, lambda x: int(x[1:]) in target_numbers, least_length=least_length)
+        now = keep(paths.group_paths(cut(again.withColumn("nodes", relative_path(F.col("nodes")))), [key]))
+        whole = grouped.join(now.select(key).distinct(), key, "left_anti").unionByName(now)  # a group without paths stays as it was
+        same = grouped.select(key, "relative").exceptAll(whole.select(key, "relative")).isEmpty() and whole.select(key, "relative").exceptAll(grouped.select(key, "relative")).isEmpty()
+        grouped = keep(whole)
+        if same:
             break
-        steps = paths.edge_sums(found.select(key, "path_id", "nodes", F.col("flow").alias("weight")), [key])
-        merged = steps.groupBy(key, F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).agg(F.sum("weight").alias("weight"))
-        found = keep(paths.decompose(merged, [key], sources, targets, least_length=least_length))
     return grouped

@@ -222,3 +222,16 @@ def test_quantiles_of_few_and_of_many(spark):
     got = {r.g: [r[k] for k in at] for r in series.quantile_limits(df, ["g"], "v", at).collect()}
     assert got == {k: pytest.approx(np.quantile(x, list(at.values()))) for k, x in groups.items()}
     assert series.quantile_limits(df.where("g = 'few'"), [], "v", at).first().c == pytest.approx(np.median(groups["few"]))
+
+
+def test_consolidation_takes_turned_paths_apart_again(spark):
+    from strandline.plans import studies
+
+    # two chains with the same way 1-2-3 to number 9; turned they are one way with the flow of both
+    nodes = {k: f"{c}{n}" for k, (c, n) in enumerate((c, n) for c in "AB" for n in (1, 2, 3, 9))}
+    edges = [("s", 4 * c + k, 4 * c + k + 1, w) for c, w in ((0, 5.0), (1, 2.0)) for k in range(3)]
+    df = spark.createDataFrame(edges, "g string, src int, dst int, weight double")
+    label = spark.createDataFrame(list(nodes.items()), "node int, label string")
+    run = lambda rounds: {tuple(r.relative): (r.flow_sum, r.n_paths, r.n_chains) for r in studies.consolidated_paths(df, "g", None, [3, 7], label, lambda d: d.cache(), 3, rounds, [9]).collect()}
+    assert run(0) == {("A1", "A2", "A3", "A9"): (7.0, 2, 2)}
+    assert run(1) == run(3) == {("A1", "A2", "A3", "A9"): (7.0, 1, 1)}
