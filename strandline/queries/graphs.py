@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,22 +9,13 @@ from ..operators import markov, network, paths, select
 from ..plans import studies
 from ..proxies import MILLION, NETWORK_SQL, TRADES_SQL, table, trades
 from ..proxies import network as network_of
+from ..session import cut as keep
 from .common import registry, rounded
 
 QUERIES, ORACLES, _query = registry()
 ABSORBING = 24
 
 
-def keep(df: DataFrame) -> DataFrame:
-    """Cut lineage with a table in the shared folder; where the session names none, as in tests, rows are cached."""
-    folder = df.sparkSession.conf.get("spark.checkpoint.dir", None) or df.sparkSession.sparkContext.getCheckpointDir()
-    if not folder:
-        return df.cache()
-    path = f"{folder}/step-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 @_query(f"WITH {NETWORK_SQL}, e AS (SELECT src AS node, weight FROM network UNION ALL SELECT dst, weight FROM network) SELECT node, round(sum(weight), 6) AS flow FROM e GROUP BY 1")
 def node_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(network.incident_sum(network_of(spark, sf_dir), []))
