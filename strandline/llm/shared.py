@@ -2,11 +2,6 @@
 
 from __future__ import annotations
 
-import atexit
-import re
-import shutil
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,6 +10,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import cut
+
 #: ``[\x20\x09-\x0D]``, the white space of every operator here.
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -28,30 +25,6 @@ _BYTE = np.random.default_rng(20240501).integers(1, 1 << 63, 256, dtype=np.uint6
 _powers: dict[str, np.ndarray] = {}
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; where a local session names none, a temporary one that goes with it."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = spark.sparkContext.getCheckpointDir()
-    if not found:
-        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        found = tempfile.mkdtemp(prefix="strandline-")
-        atexit.register(shutil.rmtree, found, ignore_errors=True)
-        spark.sparkContext.setCheckpointDir(found)
-    return found
-
-
-def cut(df: DataFrame, partition_by: str | None = None) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it back, so that a lost executor costs no recomputation."""
-    path = f"{shared_dir(df.sparkSession)}/cut-{uuid.uuid4().hex}"
-    writer = df.write
-    if partition_by:
-        writer = writer.partitionBy(partition_by)
-    writer.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def decided(docs: DataFrame, marks: DataFrame, ids: Column, texts: Column) -> DataFrame:
     """The rows of ``docs`` that stay by ``marks``, rows ``(id, text_key, kept)`` of each of them, decided by row.
 
