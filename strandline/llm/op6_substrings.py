@@ -244,7 +244,7 @@ def repeated_windows(doc: np.ndarray, tag: np.ndarray, start: np.ndarray, size:
 def repeated_spans(docs: DataFrame, length: int = LENGTH, buckets: int | None = None) -> DataFrame:
     """``(id, tag, start, end)``: runs of starts of repeated windows of ``docs``, rows of ``(tag, id, text)`` without nulls.
 
-    A tag is 32 bits that tell texts of the same id apart.
+    A tag is 32 bits that tell texts of the same id apart, 0 where no id is repeated.
     """
     many = buckets or 16 * partitions(docs.sparkSession)
 
@@ -254,7 +254,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, buckets: int | None =
             for i, j in blocks(offsets, CHUNK):
                 chunk = b.slice(i, j - i)
                 for bucket, meta, body in parse(chunk, many, length):
-                    named = bucket if bucket >= 0 else -1 - int(chunk.column(0)[0].as_py()) % many
+                    named = bucket if bucket >= 0 else -1 - xxhash.xxh3_64_intdigest(meta) % many  # any task will do
                     yield pa.RecordBatch.from_arrays([pa.array([named], pa.int64()), pa.array([meta], pa.binary()), pa.array([body], pa.binary())], names=["bucket", "meta", "body"])
 
     def match(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -278,9 +278,14 @@ def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text: str = "text
     Rows that share an id don't remove each other's text; a row with a null id removes nothing and
     loses nothing. Texts shorter than ``length`` stay whole. An empty table gives an empty result.
     """
-    keyed = docs.select(F.pmod(F.xxhash64(id_column, text), F.lit(1 << 32)).alias("tag"), F.col(id_column).cast("long").alias("id"), F.col(text).alias("text"))
+    key = F.col(id_column).cast("long").alias("id")
+    # a tag beside the id costs 4 bytes a phrase, so it is only made where it tells texts apart
+    repeated = not docs.select(key).where("id is not null").groupBy("id").count().where("count > 1").isEmpty()
+    tag = F.pmod(F.xxhash64(id_column, text), F.lit(1 << 32)) if repeated else F.lit(0).cast("long")
+    keyed = docs.select(tag.alias("tag"), key, F.col(text).alias("text"))
     spans = repeated_spans(keyed.where("id is not null and text is not null"), length)
-    spans = spans.groupBy("id", "tag").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    span = F.shiftleft("start", 32).bitwiseOR(F.col("end") - F.col("start"))
+    spans = spans.groupBy("id", "tag").agg(F.collect_list(span).alias("spans"))
     columns = "_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept_text binary" if keep_text else "")
 
     def squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -302,9 +307,10 @@ def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text: str = "text
                 own = found[k].values if found[k].is_valid else None
                 n = 0
                 if own is not None and len(own):
+                    start, size = np.divmod(np.asarray(own), 1 << 32)
                     depth = np.zeros(len(raw) + 1, np.int64)
-                    np.add.at(depth, np.asarray(own.field("start")), 1)
-                    np.add.at(depth, np.asarray(own.field("end")) + length - 1, -1)
+                    np.add.at(depth, start, 1)
+                    np.add.at(depth, start + size + length - 1, -1)
                     covered = np.cumsum(depth[:-1]) > 0
                     n = len(runs(covered)[0])
                     kept = raw[~covered]
