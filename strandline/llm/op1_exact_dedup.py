@@ -164,6 +164,8 @@ def update_index(index: DataFrame, batch: DataFrame, delete: bool = False, key:
         left = left.groupBy("key").agg(F.min("id").alias("low"), F.sum("n").alias("n"))
         new = gone.select("key").distinct().join(left, "key", "left").select("key", F.coalesce("low", F.lit(0)).alias("low"), F.coalesce("n", F.lit(0)).alias("n"))
 
+    known = copies is not None
+
     def apply(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         live = CuckooFilter(len(a))
         for k, low, n in zip(a["key"], a["low"], a["n"], strict=True):
@@ -173,7 +175,7 @@ def update_index(index: DataFrame, batch: DataFrame, delete: bool = False, key:
                 live.add(k, int(low), int(n))
             elif live.holds(k):
                 kept = live.payload[k]
-                kept[0], kept[1] = (kept[0], kept[1] - int(n)) if copies is None else (int(low), int(n))
+                kept[0], kept[1] = (kept[0], kept[1] - int(n)) if not known else (int(low), int(n))
                 if kept[1] <= 0:
                     live.delete(k)
         return _rows(live)
