@@ -45,7 +45,7 @@ def least_ids(nodes: DataFrame, components: DataFrame) -> DataFrame:
 
 
 def _is_stars(edges: DataFrame) -> bool:
-    """Whether every node has one link and none is linked to a node that has one; hubs are one row each before they meet."""
-    each = edges.groupBy("v").agg(F.count("*").alias("n"))
-    inner = edges.select("u").distinct().join(each, F.col("u") == F.col("v"), "left_semi")
-    return each.where("n > 1").select("v").unionByName(inner.select(F.col("u").alias("v"))).isEmpty()
+    """Whether every node has one link and none is linked to a node that has one, by one aggregate in which hubs fold before they meet."""
+    ends = edges.select(F.col("v").alias("node"), F.lit(1).alias("below"), F.lit(0).alias("above")).unionByName(edges.select(F.col("u").alias("node"), F.lit(0).alias("below"), F.lit(1).alias("above")))
+    each = ends.groupBy("node").agg(F.sum("below").alias("below"), F.max("above").alias("above"))
+    return each.where("below > 1 or below = 1 and above = 1").isEmpty()
