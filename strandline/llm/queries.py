@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import op1_exact_dedup, op2_toxicity, op3_embeddings, op4_language, op5_quality, op6_substrings, op7_minhash, op8_packing, op9_mixing, op10_licenses
+from . import op1_exact_dedup, op2_toxicity, op3_embeddings, op4_language, op5_quality, op6_substrings, op7_minhash, op8_packing, op9_mixing, op10_licenses, op13_prefixes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup.op1_exact_dedup,
@@ -19,5 +19,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_packing": op8_packing.op8_packing,
     "op9_mixing": op9_mixing.op9_mixing,
     "op10_licenses": op10_licenses.op10_licenses,
+    "op13_prefixes": op13_prefixes.op13_prefixes,
 }
-ORACLES: dict[str, str] = {"op1_exact_dedup": op1_exact_dedup.ORACLE, "op9_mixing": op9_mixing.ORACLE}
+ORACLES: dict[str, str] = {"op1_exact_dedup": op1_exact_dedup.ORACLE, "op9_mixing": op9_mixing.ORACLE, "op13_prefixes": op13_prefixes.ORACLE}
