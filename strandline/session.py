@@ -24,12 +24,17 @@ def shared_folder(spark: SparkSession) -> str:
     return found
 
 
-def cut(df: DataFrame, partition_by: str | None = None) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it back, so that a lost executor costs no recomputation."""
+def cut(df: DataFrame, partition_by: str | None = None, rows_per_file: int = 0) -> DataFrame:
+    """Write ``df`` as Parquet to the shared folder and read it back, so that a lost executor costs no recomputation.
+
+    Readers take a file's rows at once where they are few, so large rows want few of them in a file.
+    """
     path = f"{shared_folder(df.sparkSession)}/cut-{uuid.uuid4().hex}"
     writer = df.write
     if partition_by:
         writer = writer.partitionBy(partition_by)
+    if rows_per_file:
+        writer = writer.option("maxRecordsPerFile", rows_per_file)
     writer.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
