@@ -26,7 +26,7 @@ TARGET_RECALL = 0.995
 LEAST_VISITS = 8
 #: Where recall needs more cells than these, or isn't known, all cells that can hold a link are visited.
 MOST_VISITS = 1024
-#: Members, or queries, of a cell that one group compares at a time; a length of no more vectors is one cell.
+#: Members, or queries, of a cell that one group compares at a time.
 BLOCK = 2048
 
 
@@ -163,21 +163,25 @@ def visits_for(classes: DataFrame, index: MultiIndex, threshold: float, target:
     """
     cells, seen, done = len(index.c1) * len(index.c2), [], 0
     for upto in PROBE_ROWS:
-        unit = unit_rows([bytes(r["vec"]) for r in classes.orderBy(F.xxhash64("key", F.lit(1)), "key").limit(upto).select("vec").collect()[done:]])
+        probes = classes.orderBy(F.xxhash64("key", F.lit(1)), "key").limit(upto).select("key", "vec").collect()[done:]
+        unit = unit_rows([bytes(r["vec"]) for r in probes])
         if not len(unit):
             break
-        shared = classes.sparkSession.sparkContext.broadcast((unit, index))
+        shared = classes.sparkSession.sparkContext.broadcast((unit, index, {bytes(r["key"]): k for k, r in enumerate(probes)}))
 
         def run(frames: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            q, ix = shared.value
+            q, ix, names = shared.value
             for f in frames:
                 own = unit_rows([bytes(v) for v in f["vec"]])
                 cos = q @ own.T
-                i, j = np.nonzero((cos >= threshold) & (cos < 1 - 1e-12))
+                for j, key in enumerate(f["key"]):
+                    if (i := names.get(bytes(key))) is not None:
+                        cos[i, j] = -1.0  # the probe itself
+                i, j = np.nonzero(cos >= threshold)
                 at, n = np.unique(i.astype(np.int64) * cells + ix.cells(own)[j], return_counts=True)
                 yield pd.DataFrame({"at": at, "n": n})
 
-        found = classes.select("vec").mapInPandas(run, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).collect()
+        found = classes.select("key", "vec").mapInPandas(run, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).collect()
         d1, d2 = index.distances(unit)
         for r in found:
             i, cell = divmod(r["at"], cells)
@@ -232,8 +236,8 @@ def near_vectors(rows: DataFrame, threshold: float = THRESHOLD, target: float =
     vectors form a grid; each class stands in its own cell and visits the nearest cells by
     multi-sequence traversal, as many as give the target recall to probes compared with all rows,
     and what it meets there is verified by cosine in double precision. Where probes can't say how many
-    that are, it visits all cells that can hold a link. Each length of vectors has its own index; all
-    vectors of a length of few are compared. A pair that only one of both finds counts for both.
+    that are, it visits all cells that can hold a link. Each length of vectors has its own index,
+    few vectors one of few codes. A pair that only one of both finds counts for both.
     Cells are compared in blocks of bounded size; blocks give counts and stars that join what their
     links join, never all pairs.
 
@@ -246,11 +250,9 @@ def near_vectors(rows: DataFrame, threshold: float = THRESHOLD, target: float =
     own = cut(vectors(rows, id_column, vector))
     classes = own.where("vec is not null and id is not null").groupBy("dim", "key").agg(F.min("id").alias("id"), F.count("*").alias("m"), F.min("vec").alias("vec"))
     classes = cut(classes.withColumn("node", F.monotonically_increasing_id()))
-    placed = classes.select("dim", "node", "m", "vec", F.lit(0).alias("cell"), F.array(F.lit(0)).alias("visited"))
-    large = {r["dim"]: r["rows"] for r in classes.groupBy("dim").agg(F.count("*").alias("rows")).where(F.col("rows") > BLOCK).orderBy("dim").collect()}
-    placed = placed.where(~F.col("dim").isin(*large)) if large else placed
-    for dim, number in large.items():
-        placed = placed.unionByName(place(classes.where(F.col("dim") == dim), threshold, target, number, dim))
+    placed = classes.select("dim", "node", "m", "vec", F.lit(0).alias("cell"), F.array(F.lit(0)).alias("visited")).limit(0)
+    for r in classes.groupBy("dim").agg(F.count("*").alias("rows")).orderBy("dim").collect():
+        placed = placed.unionByName(place(classes.where(F.col("dim") == r["dim"]), threshold, target, r["rows"], r["dim"]))
     placed = cut(placed)
     # at most one row a cell of the grid, whose size is bounded by the codebooks'
     asked = placed.select("dim", F.explode("visited").alias("cell")).groupBy("dim", "cell").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("q_blocks"))
