@@ -16,12 +16,12 @@ BITS = 20
 ORDERS = (4, 5)
 #: Labelled rows of each class that a model is fitted on at most, the first by a hash of their id.
 MAX_PER_CLASS = 4096
-#: Parameters of the model, the same at every size of input: a bucket of n-grams is a feature if so many of the sampled
-#: rows have it and its likelihood-ratio statistic is so large, which chance seldom reaches, and it is among so many with
-#: the largest. Others have weight 0; more features make scoring slower and change scores little.
+#: Parameters of the model, the same at every size of input: each bucket of n-grams is a feature if so many of the sampled
+#: rows have it and its likelihood-ratio statistic is so large, which chance seldom reaches. Others have weight 0.
 LEAST_SEEN = 5
 LEAST_GAIN = 6.0
-MOST_FEATURES = 20_000
+#: Entries of the sample's matrix that one step of the fit looks at together.
+PART = 1 << 20
 THRESHOLD = 0.3
 
 
@@ -59,11 +59,11 @@ def features(text_column: pa.Array, orders: tuple[int, ...] = ORDERS, bits: int
     return out
 
 
-def fit(rows: list[np.ndarray], labels: np.ndarray, prior: float, bits: int = BITS, kept: int = MOST_FEATURES, rounds: int = 150) -> tuple[np.ndarray, float]:
+def fit(rows: list[np.ndarray], labels: np.ndarray, prior: float, bits: int = BITS, rounds: int = 150) -> tuple[np.ndarray, float]:
     """Weights of all buckets (0 for most) and a bias, by logistic regression on scaled presence.
 
     A bucket's scale is the log ratio of its smoothed shares among the n-grams of either class;
-    those with the largest likelihood-ratio statistic are kept. ``prior`` is the true share of
+    those that chance doesn't explain are features, however many they are. ``prior`` is the true share of
     label 1, to which the bias is moved from that of the sample.
     """
     size = 1 << bits
@@ -84,22 +84,27 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, prior: float, bits: int = BI
     p1, p0, p = (pos + 0.5) / (n1 + 1), (neg + 0.5) / (n0 + 1), (pos + neg + 0.5) / (n1 + n0 + 1)
     gain = pos * np.log(p1 / p) + neg * np.log(p0 / p)
     gain[pos + neg < LEAST_SEEN] = 0
-    chosen = np.argsort(-gain, kind="stable")[:kept]
-    chosen = chosen[gain[chosen] > min(LEAST_GAIN, 0.5 * gain.max())]
+    chosen = np.flatnonzero(gain > min(LEAST_GAIN, 0.5 * gain.max()))
     if not len(chosen):
         return weights, float(np.log(prior / (1 - prior)))
-    place = np.full(size, -1, np.int64)
+    place = np.full(size, -1, np.int32)
     place[chosen] = np.arange(len(chosen))
     own = [(x := place[r])[x >= 0] for r in rows]
-    doc, col = np.repeat(np.arange(len(rows)), [len(x) for x in own]), np.concatenate(own)
+    starts, col = np.append(0, np.cumsum([len(x) for x in own])), np.concatenate(own)
+    parts = list(blocks(starts, PART))  # of rows
     scale = ratio[chosen]
     w, bias = np.ones(len(chosen)) * 0.1, 0.0
     m, v = np.zeros(len(chosen) + 1), np.zeros(len(chosen) + 1)
     for t in range(1, rounds + 1):
         x = scale * w
-        z = np.bincount(doc, weights=x[col], minlength=len(rows)) + bias
-        g = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) / len(rows)
-        grad = np.append(scale * np.bincount(col, weights=g[doc], minlength=len(chosen)) + 1e-4 * w, g.sum())
+        total, rest = np.zeros(len(chosen)), 0.0
+        for a, b in parts:
+            here, n = col[starts[a] : starts[b]], np.diff(starts[a : b + 1])
+            z = np.bincount(np.repeat(np.arange(b - a), n), weights=x[here], minlength=b - a) + bias
+            g = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[a:b]) / len(rows)
+            total += np.bincount(here, weights=np.repeat(g, n), minlength=len(chosen))
+            rest += g.sum()
+        grad = np.append(scale * total + 1e-4 * w, rest)
         m = 0.9 * m + 0.1 * grad
         v = 0.99 * v + 0.01 * grad * grad
         step = 0.05 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-9)
