@@ -20,7 +20,8 @@ CAPACITY = 1024
 END = 0
 #: Remainders are cut into halves, quarters and so on of the capacity down to this length; what is left stays as it is.
 LEAST = 64
-CACHE_ENTRIES = 400_000
+#: Chunks in one generation of the store, and the length up to which they are stored: 60 MB or so at most.
+CACHE_ENTRIES, CACHE_LENGTH = 400_000, 48
 STOPS = (".", ",", ";", ":", "!", "?")
 #: How byte-level vocabularies write bytes: printable ones as they are, others from U+0100 on in order.
 _PRINTED = {*range(33, 127), *range(161, 173), *range(174, 256)}
@@ -33,7 +34,7 @@ class Tokens:
 
     Pre-tokens never cross the start of a run of white space, nor the space before a word, so a text
     without double spaces is cut at its spaces and each chunk is encoded once; other texts are
-    encoded whole. The store has two generations of bounded size: what is asked for again moves to the
+    encoded whole. The store has two generations of a bounded number of short chunks: what is asked for again moves to the
     younger one, which becomes the older when it is full. It lives as long as its Python worker.
     """
 
@@ -61,9 +62,13 @@ class Tokens:
         return self._encode(chunk)
 
     def _find(self, chunk: str) -> bytes:
+        if len(chunk) > CACHE_LENGTH:
+            return self._chunk(chunk)
         ids = self.young.get(chunk)
         if ids is None:
             ids = self.old.get(chunk)
+            if len(self.young) >= CACHE_ENTRIES:
+                self.young, self.old = {}, self.young
             self.young[chunk] = ids = self._chunk(chunk) if ids is None else ids
         return ids
 
@@ -74,8 +79,6 @@ class Tokens:
         parts = text.replace(" ", "\0 ").split("\0")
         found = list(map(self.young.get, parts))
         if None in found:
-            if len(self.young) > CACHE_ENTRIES:
-                self.young, self.old = {}, self.young
             for k, ids in enumerate(found):
                 if ids is None:
                     found[k] = self._find(parts[k])
