@@ -22,6 +22,8 @@ TRIGGER = 256
 CHUNK = 32 << 20
 #: Bytes of the seed that says where a window is compared.
 SEED = 8
+#: Bytes of text in one bucket, on average; there are 16 buckets a partition at least.
+BUCKET_BYTES = 4 << 20
 
 
 def window_hashes(sums: np.ndarray, n: int) -> np.ndarray:
@@ -246,7 +248,8 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, buckets: int | None =
 
     A tag is 32 bits that tell texts of the same id apart, 0 where no id is repeated.
     """
-    many = buckets or 16 * partitions(docs.sparkSession)
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    many = buckets or max(16 * partitions(docs.sparkSession), -(-size // BUCKET_BYTES))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

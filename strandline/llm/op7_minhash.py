@@ -20,6 +20,8 @@ BANDS = 21
 BLOCK = 256
 #: Log2 of the most bits of the bitmap of candidates.
 MOST_BITS = 27
+#: Texts of candidates in one comparing task, on average; there are 32 tasks a partition at least.
+PART_TEXTS = 512
 
 _rng = np.random.default_rng(7)
 _A = (_rng.integers(1, 1 << 62, PERMUTATIONS, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
@@ -145,7 +147,8 @@ def compare(texts: DataFrame, groups: DataFrame, words: int, per_hundred: int) -
             out.update((int(ids[a]), int(ids[b])) for a, b in stars(found, len(ids)))
         return pd.DataFrame(sorted(out), columns=["a", "b"], dtype="int64")
 
-    rows = groups.join(texts, "node").withColumn("part", F.pmod(F.xxhash64("g"), F.lit(32 * partitions(texts.sparkSession))))
+    many = max(32 * partitions(texts.sparkSession), -(-texts.count() // PART_TEXTS))
+    rows = groups.join(texts, "node").withColumn("part", F.pmod(F.xxhash64("g"), F.lit(many)))
     return rows.groupBy("part").applyInPandas(run, "a long, b long")
 
 
