@@ -22,7 +22,7 @@ from .shared import LOWER, blocks, cut, packed, prefix_sums, span_hashes, words
 IN_TERM = np.zeros(256, bool)
 IN_TERM[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
 #: Bytes of text in a shard (one document at least), and shards in a file, which bounds what is read at once.
-SHARD_BYTES, FILE_SHARDS = 8 << 20, 4
+SHARD_BYTES, FILE_SHARDS = 2 << 20, 8
 #: Terms of the queries that are scored in one pass over the index; each pass's queries are sent to all tasks.
 BLOCK_TERMS = 1 << 16
 
