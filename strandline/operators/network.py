@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections import deque
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -135,48 +136,178 @@ class FlowNet:
         return value, [(self.full[e] - self.left[e]) for e in range(0, len(self.to), 2)], set(depth)
 
 
-def by_graph(edges: DataFrame, asked: DataFrame, keys: list[str], order: list[str], chunks: int, solve: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
-    """``solve(a graph's edges, rows that ask of it)`` for each key: rows are dealt by a hash of ``order`` to ``chunks`` tasks, each of which gets the graph once."""
-    rows = asked.withColumn("_chunk", F.pmod(F.xxhash64(*order), F.lit(chunks)).cast("int"))
-    graph = edges.withColumn("_chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
+def by_graph(edges: DataFrame, asked: DataFrame, keys: list[str], order: list[str], per_task: int, solve: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
+    """``solve(a graph's edges, rows that ask of it)`` for each key: its rows are dealt by a hash of ``order`` to tasks of about ``per_task``, each of which gets the graph once."""
+    graph, rows = (df.select(*[(F.col(c)).alias(f"_{n}") for n, c in enumerate(df.columns)]).toDF(*df.columns) for df in (edges, asked))  # new columns, should one come of the other
+    sizes = rows.groupBy(*keys).agg(F.greatest(F.lit(1), F.ceil(F.count("*") / F.lit(per_task))).cast("int").alias("_chunks"))
+    if keys:
+        rows, graph = rows.join(sizes, keys), graph.join(sizes, keys)
+    else:
+        many = F.lit(sizes.first()[0])
+        rows, graph = rows.withColumn("_chunks", many), graph.withColumn("_chunks", many)
+    rows = rows.withColumn("_chunk", F.pmod(F.xxhash64(*order), F.col("_chunks")).cast("int")).drop("_chunks")
+    graph = graph.withColumn("_chunk", F.explode(F.sequence(F.lit(0), F.col("_chunks") - 1))).drop("_chunks")
 
     def run(g: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
         return solve(g, q.sort_values(order))
 
-    graph, rows = (df.select(*[(F.col(c)).alias(f"_{n}") for n, c in enumerate(df.columns)]).toDF(*df.columns) for df in (graph, rows))  # new columns, should one come of the other
     return graph.groupBy(*keys, "_chunk").cogroup(rows.groupBy(*keys, "_chunk")).applyInPandas(run, schema)
 
 
-def max_flows(edges: DataFrame, pairs: DataFrame, keys: list[str], chunks: int = 16) -> DataFrame:
-    """``(keys, source, target, value, edges)`` with the signed flow of each edge and whether its ends are on the source's side of a cut.
+#: Pairs whose flows one task solves, on average.
+PER_TASK = 64
 
-    Which edges carry the flow isn't unique; the value is, and the cut proves it. A key's pairs are
-    dealt to ``chunks`` tasks, each of which builds the graph once.
-    """
-    out = "value double, edges array<struct<src:int,dst:int,flow:double,src_side:boolean,dst_side:boolean>>"
+
+def _each_flow(edges: DataFrame, pairs: DataFrame, keys: list[str], per_task: int, out: str, give: Callable[[list, Iterator], pd.DataFrame]) -> DataFrame:
+    """``give(edges as (src, dst, weight), the flows of a task's pairs as (source, target, value, flows, side))`` with the keys before it."""
     kinds = dict(edges.dtypes)
 
     def solve(g: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values(["src", "dst", "weight"])
         ends = list(zip(g["src"].tolist(), g["dst"].tolist(), g["weight"].tolist(), strict=True))
-        net, done = FlowNet(ends), []
-        for s, t in zip(q["source"].tolist(), q["target"].tolist(), strict=True):
-            value, flows, side = net.run(s, t)
-            done.append((s, t, value, [{"src": a, "dst": b, "flow": f, "src_side": a in side, "dst_side": b in side} for (a, b, _), f in zip(ends, flows, strict=True)]))
-        frame = pd.DataFrame(done, columns=["source", "target", "value", "edges"])
-        for k in keys:
-            frame.insert(0, k, q[k].iloc[0] if len(q) else None)
-        return frame[[*keys, "source", "target", "value", "edges"]]
+        net = FlowNet(ends)
+        frame = give(ends, ((s, t, *net.run(s, t)) for s, t in zip(q["source"].tolist(), q["target"].tolist(), strict=True)))
+        for n, k in enumerate(keys):
+            frame.insert(n, k, (q if len(q) else g)[k].iloc[0])
+        return frame
+
+    schema = "".join(f"{k} {kinds[k]}, " for k in keys) + out
+    return by_graph(edges.select(*keys, "src", "dst", "weight"), pairs.select(*keys, "source", "target"), keys, ["source", "target"], per_task, solve, schema)
+
+
+def max_flows(edges: DataFrame, pairs: DataFrame, keys: list[str], per_task: int = PER_TASK) -> DataFrame:
+    """``(keys, source, target, value, edges)`` with the signed flow of each edge and whether its ends are on the source's side of a cut.
 
+    For a look at some pairs: rows hold all edges. ``flow_sums`` and ``flow_checks`` take all pairs, and
+    ``flow_tree`` gives the values alone. Which edges carry the flow isn't unique; the value is, and the cut proves it.
+    """
     node = dict(pairs.dtypes)["source"]
-    schema = "".join(f"{k} {kinds[k]}, " for k in keys) + f"source {node}, target {node}, {out}"
-    return by_graph(edges.select(*keys, "src", "dst", "weight"), pairs.select(*keys, "source", "target"), keys, ["source", "target"], chunks, solve, schema)
 
+    def give(ends: list, found: Iterator) -> pd.DataFrame:
+        done = [(s, t, value, [{"src": a, "dst": b, "flow": f, "src_side": a in side, "dst_side": b in side} for (a, b, _), f in zip(ends, flows, strict=True)]) for s, t, value, flows, side in found]
+        return pd.DataFrame(done, columns=["source", "target", "value", "edges"])
+
+    return _each_flow(edges, pairs, keys, per_task, f"source {node}, target {node}, value double, edges array<struct<src:int,dst:int,flow:double,src_side:boolean,dst_side:boolean>>", give)
+
+
+def flow_checks(edges: DataFrame, pairs: DataFrame, keys: list[str], per_task: int = PER_TASK) -> DataFrame:
+    """``(keys, source, target, value, cut, over, loss)``: each pair's flow, the capacity of a cut, the most by which an edge or a node between misses its law."""
+    node = dict(pairs.dtypes)["source"]
+
+    def give(ends: list, found: Iterator) -> pd.DataFrame:
+        capacity = np.array([w for _, _, w in ends])
+        names, place = np.unique([x for a, b, _ in ends for x in (a, b)], return_inverse=True)
+        place = place.reshape(-1, 2)
+        out = []
+        for s, t, value, flows, side in found:
+            f = np.array(flows)
+            inside = np.isin(names, list(side))[place]
+            net = np.bincount(place[:, 0], f, len(names)) - np.bincount(place[:, 1], f, len(names))
+            loss = np.abs(net[(names != s) & (names != t)]).max(initial=0.0)
+            out.append((s, t, value, capacity[inside[:, 0] != inside[:, 1]].sum(), (np.abs(f) - capacity).max(initial=0.0), loss))
+        return pd.DataFrame(out, columns=["source", "target", "value", "cut", "over", "loss"])
+
+    return _each_flow(edges, pairs, keys, per_task, f"source {node}, target {node}, value double, cut double, over double, loss double", give)
 
-def accumulate(flows: DataFrame, keys: list[str]) -> DataFrame:
-    """Forward, reverse and absolute flow of each edge over all pairs."""
-    e = flows.select(*keys, F.explode("edges").alias("e")).select(*keys, "e.src", "e.dst", "e.flow")
-    return e.groupBy(*keys, "src", "dst").agg(F.sum(F.greatest("flow", F.lit(0.0))).alias("fwd"), F.sum(F.greatest(-F.col("flow"), F.lit(0.0))).alias("rev"), F.sum(F.abs("flow")).alias("total"))
+
+def flow_sums(edges: DataFrame, pairs: DataFrame, keys: list[str], per_task: int = PER_TASK) -> DataFrame:
+    """``(keys, src, dst, fwd, rev, total)``: forward, reverse and absolute flow of each edge over all pairs.
+
+    A task adds its pairs' flows itself and gives a row an edge, so rows are edges times tasks and not times pairs.
+    """
+    kinds = dict(edges.dtypes)
+
+    def give(ends: list, found: Iterator) -> pd.DataFrame:
+        fwd, rev = np.zeros(len(ends)), np.zeros(len(ends))
+        for _, _, _, flows, _ in found:
+            f = np.array(flows)
+            fwd += np.maximum(f, 0)
+            rev += np.maximum(-f, 0)
+        return pd.DataFrame({"src": [a for a, _, _ in ends], "dst": [b for _, b, _ in ends], "fwd": fwd, "rev": rev})
+
+    parts = _each_flow(edges, pairs, keys, per_task, f"src {kinds['src']}, dst {kinds['dst']}, fwd double, rev double", give)
+    return parts.groupBy(*keys, "src", "dst").agg(F.sum("fwd").alias("fwd"), F.sum("rev").alias("rev"), (F.sum("fwd") + F.sum("rev")).alias("total"))
+
+
+#: Cuts that are made at once of the nodes that hang on one node of the tree.
+AT_ONCE = 256
+
+
+def flow_tree(edges: DataFrame, keys: list[str], keep: Callable[[DataFrame], DataFrame], at_once: int = AT_ONCE, per_task: int = PER_TASK) -> DataFrame:
+    """``(keys, node, parent, capacity)``: the equivalent-flow tree, in which the least capacity on the way between two nodes is their maximum flow.
+
+    One cut a node but the first, instead of a flow a pair. All nodes hang on that with most weight at first; a node's
+    least cut from what it hangs on takes over those that hang there too and lie on its side. Cuts of a
+    round are made beside each other in tasks and settled in order, and a node that was taken over in the
+    meantime is cut again in the next round; dense graphs, whose least cuts are single nodes, take one or two rounds.
+    Nodes that no flow reaches have capacity 0.
+    """
+    kind = dict(edges.dtypes)["src"]
+    node = keep(incident_sum(edges, keys))
+    first = F.max_by("node", F.struct("flow", -F.col("node"))).cast(kind)
+    if keys:
+        state = node.join(node.groupBy(*keys).agg(first.alias("parent")), keys)
+    else:
+        state = node.withColumn("parent", F.lit(node.agg(first).first()[0]).cast(kind))
+    state = state.where("node <> parent").drop("flow")
+    state = keep(state.withColumn("capacity", F.lit(None).cast("double")))
+    head = "".join(f"{k} {dict(edges.dtypes)[k]}, " for k in keys)
+
+    def give(ends: list, found: Iterator) -> pd.DataFrame:
+        return pd.DataFrame([(s, t, value, sorted(side)) for s, t, value, _, side in found], columns=["source", "target", "value", "side"])
+
+    def settle(rows: pd.DataFrame, cuts: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("node", ignore_index=True)
+        names, parent = rows["node"].to_numpy(), rows["parent"].to_numpy().copy()
+        place = {x: k for k, x in enumerate(names.tolist())}
+        capacity = np.full(len(rows), np.nan)
+        for s, t, value, side in cuts.sort_values("source")[["source", "target", "value", "side"]].itertuples(index=False):
+            at = place[s]
+            if parent[at] != t:
+                continue  # an earlier cut of this round took it over
+            capacity[at] = value
+            parent[np.isin(names, side) & (parent == t) & np.isnan(capacity)] = s
+        return rows.assign(parent=parent, capacity=pd.Series([None if np.isnan(c) else c for c in capacity], dtype=object))
+
+    order = Window.partitionBy(*keys, "parent").orderBy("node")
+    while True:
+        open_ = state.where("capacity is null")
+        if open_.isEmpty():
+            return state
+        picked = open_.withColumn("_turn", F.row_number().over(order)).where(F.col("_turn") <= at_once)
+        cuts = _each_flow(edges, picked.select(*keys, F.col("node").alias("source"), F.col("parent").alias("target")), keys, per_task, f"source {kind}, target {kind}, value double, side array<{kind}>", give)
+        hung = [*keys, "parent"]
+        rows = open_.groupBy(*hung).cogroup(cuts.withColumn("parent", F.col("target")).groupBy(*hung))
+        state = keep(state.where("capacity is not null").unionByName(rows.applyInPandas(settle, f"{head}node {kind}, parent {kind}, capacity double")))
+
+
+def tree_values(tree: DataFrame, keys: list[str], per_task: int = PER_TASK) -> DataFrame:
+    """``(keys, source, target, value)`` of all ordered pairs: the least capacity on the way between them in the tree."""
+    kind = dict(tree.dtypes)["node"]
+    sources = tree.select(*keys, F.explode(F.array("node", "parent")).alias("source")).distinct()
+
+    def solve(g: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
+        beside: dict[int, list[tuple[int, float]]] = {}
+        for a, b, c in zip(g["node"].tolist(), g["parent"].tolist(), g["capacity"].tolist(), strict=True):
+            beside.setdefault(a, []).append((b, c))
+            beside.setdefault(b, []).append((a, c))
+        out = []
+        for s in q["source"].tolist():
+            todo, seen = [(s, float("inf"))], {s}
+            while todo:
+                x, least = todo.pop()
+                for y, c in beside[x]:
+                    if y not in seen:
+                        seen.add(y)
+                        todo.append((y, min(least, c)))
+                        out.append((s, y, min(least, c)))
+        frame = pd.DataFrame(out, columns=["source", "target", "value"])
+        for n, k in enumerate(keys):
+            frame.insert(n, k, (q if len(q) else g)[k].iloc[0])
+        return frame
+
+    schema = "".join(f"{k} {dict(tree.dtypes)[k]}, " for k in keys) + f"source {kind}, target {kind}, value double"
+    return by_graph(tree.select(*keys, "node", "parent", "capacity"), sources, keys, ["source"], per_task, solve, schema)
 
 
 def with_totals(flows: DataFrame, family: str, target: str) -> DataFrame:

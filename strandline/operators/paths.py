@@ -112,10 +112,10 @@ def k_shortest(graph: dict, source: int, target: int, k: int) -> list[tuple[floa
     return done
 
 
-def best_paths(edges: DataFrame, seeds: DataFrame, targets: list[int], k: int = 5, keys: list[str] | None = None, chunks: int = 16) -> DataFrame:
+def best_paths(edges: DataFrame, seeds: DataFrame, targets: list[int], k: int = 5, keys: list[str] | None = None, per_task: int = 8) -> DataFrame:
     """``(keys, seed, rank, target, length, nodes)``: of up to k paths to each target the k shortest of each seed, ties by target and rank.
 
-    ``seeds`` is ``(keys, node)``, or ``(node)`` for all keys. A key's seeds are dealt to ``chunks`` tasks, each of which builds the graph once.
+    ``seeds`` is ``(keys, node)``, or ``(node)`` for all keys. A key's seeds are dealt to tasks of about ``per_task``, each of which builds the graph once.
     """
     keys, kinds = keys or [], dict(edges.dtypes)
     own = [c for c in keys if c not in seeds.columns]
@@ -134,7 +134,7 @@ def best_paths(edges: DataFrame, seeds: DataFrame, targets: list[int], k: int =
 
     node = dict(seeds.dtypes)["node"]
     schema = "".join(f"{c} {kinds[c]}, " for c in keys) + f"seed {node}, target int, at int, length double, nodes array<int>"
-    found = by_graph(edges.select(*keys, "src", "dst", "length"), asked.select(*keys, "seed"), keys, ["seed"], chunks, solve, schema)
+    found = by_graph(edges.select(*keys, "src", "dst", "length"), asked.select(*keys, "seed"), keys, ["seed"], per_task, solve, schema)
     w = Window.partitionBy(*keys, "seed").orderBy("length", "target", "at")
     return found.withColumn("rank", F.row_number().over(w) - 1).where(F.col("rank") < k).drop("at")
 

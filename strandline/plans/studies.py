@@ -38,7 +38,7 @@ def correlation_network(frames: DataFrame, system: str, levels: list[float], con
 
 def flow_field(edges: DataFrame, pairs: DataFrame, absorbing: DataFrame, seeds: DataFrame, key: str, keep: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Visits of a chain that follows the accumulated flow of ``pairs`` into absorbing nodes, from weighted seeds."""
-    flow = keep(network.accumulate(network.max_flows(edges, pairs, [key]), [key]))
+    flow = keep(network.flow_sums(edges, pairs, [key]))
     t = markov.transition(flow.withColumnRenamed("fwd", "weight"), [key])
     n = markov.fundamental_solve(t, key, absorbing)
     return markov.visitation_field(n, seeds, [key])

@@ -162,25 +162,37 @@ def _pairs(nodes: DataFrame) -> DataFrame:
     return nodes.select(F.col("node").alias("source")).crossJoin(nodes.select(F.col("node").alias("target"))).where("source <> target")
 
 
-def _max_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = network_of(spark, sf_dir)
-    return network.max_flows(e, _pairs(_nodes(e)).repartition("source", "target"), [])
+#: The lesser of the two cuts that part one node from all others; in graphs as dense as this one no cut is less.
+_VALUES = f"""{NETWORK_SQL}, s AS (SELECT node, sum(weight) AS strength FROM (SELECT src AS node, weight FROM network UNION ALL SELECT dst, weight FROM network) GROUP BY 1),
+  flow AS (SELECT a.node AS source, b.node AS target, least(a.strength, b.strength) AS value FROM s a, s b WHERE a.node <> b.node)"""
 
 
-@_query()
+@_query(f"WITH {_VALUES} SELECT source, target, round(value, 6) AS value FROM flow")
 def maxflow_value(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(_max_flows(spark, sf_dir).select("source", "target", "value"))
+    """The maximum flow between all pairs by the equivalent-flow tree."""
+    e = keep(network_of(spark, sf_dir))
+    return rounded(network.tree_values(network.flow_tree(e, [], keep), []))
 
 
 @_query(f"WITH {NETWORK_SQL}, n AS (SELECT src AS node FROM network UNION SELECT dst FROM network) SELECT a.node AS source, b.node AS target, TRUE AS is_cut, TRUE AS within, TRUE AS conserved FROM n a, n b WHERE a.node <> b.node")
 def flow_certificate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """That each value is a maximum: it is the capacity of the cut, flow keeps within capacities and is conserved."""
-    f = keep(_max_flows(spark, sf_dir))
-    e = f.select("source", "target", "value", F.explode("edges").alias("e")).select("source", "target", "value", "e.*").join(network_of(spark, sf_dir), ["src", "dst"])
-    cut = e.groupBy("source", "target").agg(F.first("value").alias("value"), F.sum(F.when(F.col("src_side") != F.col("dst_side"), F.col("weight")).otherwise(0.0)).alias("cut"), F.max(F.abs("flow") - F.col("weight")).alias("over"))
-    ends = e.select("source", "target", F.col("src").alias("node"), F.col("flow").alias("f")).unionByName(e.select("source", "target", F.col("dst").alias("node"), (-F.col("flow")).alias("f")))
-    loss = ends.where("node <> source and node <> target").groupBy("source", "target", "node").agg(F.abs(F.sum("f")).alias("loss")).groupBy("source", "target").agg(F.max("loss").alias("loss"))
-    return cut.join(loss, ["source", "target"], "left").select("source", "target", (F.abs(F.col("value") - F.col("cut")) < 1e-6).alias("is_cut"), (F.col("over") < 1e-9).alias("within"), (F.coalesce("loss", F.lit(0.0)) < 1e-6).alias("conserved"))
+    """That each value of the tree is a maximum: a flow has it, it is the capacity of a cut, flow keeps within capacities and is conserved."""
+    e = keep(network_of(spark, sf_dir))
+    tree = network.tree_values(network.flow_tree(e, [], keep), []).withColumnRenamed("value", "by_tree")
+    checks = network.flow_checks(e, _pairs(_nodes(e)), []).join(tree, ["source", "target"])
+    is_cut = (F.abs(F.col("value") - F.col("cut")) < 1e-6) & (F.abs(F.col("value") - F.col("by_tree")) < 1e-6)
+    return checks.select("source", "target", is_cut.alias("is_cut"), (F.col("over") < 1e-9).alias("within"), (F.col("loss") < 1e-6).alias("conserved"))
+
+
+@_query(f"""WITH {_VALUES}, p AS (SELECT * FROM flow WHERE source < 22 AND target >= 22)
+  SELECT node, round(sum(v), 5) AS net FROM (SELECT source AS node, value AS v FROM p UNION ALL SELECT target, -value FROM p) GROUP BY 1""")
+def flow_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the accumulated flow of all sources to all targets takes out of each node, which is the sum of its pairs' values."""
+    e = keep(network_of(spark, sf_dir))
+    pairs = _pairs(_nodes(e)).where("source < 22 and target >= 22")
+    f = network.flow_sums(e, pairs, []).withColumn("net", F.col("fwd") - F.col("rev"))
+    ends = f.select(F.col("src").alias("node"), "net").unionByName(f.select(F.col("dst").alias("node"), (-F.col("net")).alias("net")))
+    return rounded(ends.groupBy("node").agg(F.sum("net").alias("net")), 5)
 
 
 @_query()
