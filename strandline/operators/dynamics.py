@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 import numpy as np
@@ -12,12 +13,59 @@ from pyspark.sql import functions as F
 from ..functions.geometry import distance, full_angle, minus
 
 
-def pair_distances(frames: DataFrame, keys: list[str], atom: str = "atom") -> DataFrame:
-    """Distance of each pair of atoms i < j in each frame: a self-join on the frame, so its rows grow with atoms squared."""
+def pair_distances(frames: DataFrame, keys: list[str], atom: str = "atom", within: float | None = None) -> DataFrame:
+    """Distance of each pair of atoms i < j in each frame, of those up to ``within`` if it is given.
+
+    All pairs are a self-join on the frame, so their rows grow with atoms squared; with a reach atoms meet
+    those of their own cube and its neighbours alone (see ``in_reach``).
+    """
     a = frames.select(*keys, F.col(atom).alias("i"), F.col("x").alias("ax"), F.col("y").alias("ay"), F.col("z").alias("az"))
     b = frames.select(*keys, F.col(atom).alias("j"), F.col("x").alias("bx"), F.col("y").alias("by"), F.col("z").alias("bz"))
     d = distance(["ax", "ay", "az"], ["bx", "by", "bz"])
-    return a.join(b, keys).where("i < j").select(*keys, "i", "j", d.alias("d"))
+    if within is None:
+        return a.join(b, keys).where("i < j").select(*keys, "i", "j", d.alias("d"))
+    # half of the neighbours: each pair of cubes meets once, and a cube's own pairs are told by their order
+    a = cubes(a, ["ax", "ay", "az"], within, FORWARD)
+    b = cubes(b, ["bx", "by", "bz"], within).drop("_own")
+    met = a.join(b, [*keys, "_cx", "_cy", "_cz"]).where(((F.col("i") < F.col("j")) | ~F.col("_own")) & (F.col("i") != F.col("j")))
+    return met.select(*keys, F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"), d.alias("d")).where(F.col("d") <= within)
+
+
+#: A cube, its neighbours, and half of these.
+HERE = [(0, 0, 0)]
+AROUND = [(x, y, z) for x in (-1, 0, 1) for y in (-1, 0, 1) for z in (-1, 0, 1)]
+FORWARD = [c for c in AROUND if c >= (0, 0, 0)]
+
+
+def cubes(points: DataFrame, axes: list[str], width: float, offsets: list[tuple[int, int, int]] = HERE) -> DataFrame:
+    """``points`` with a row for each cube ``_cx, _cy, _cz`` at ``offsets`` from their own, which ``_own`` marks; points without a place are left out.
+
+    Cubes are wider than ``width`` by a billionth, so that rounding takes no point two cubes on.
+    """
+    found = points.where(" and ".join(f"abs({c}) < double('infinity')" for c in axes))
+    near = F.explode(F.array(*[F.struct(*[F.lit(v).alias(n) for v, n in zip(c, "xyz", strict=True)]) for c in offsets]))
+    found = found.withColumn("_o", near)
+    at = [(F.floor(F.col(c) / F.lit(width * (1 + 1e-9))) + F.col(f"_o.{n}")).alias(f"_c{n}") for c, n in zip(axes, "xyz", strict=True)]
+    own = (F.col("_o.x") == 0) & (F.col("_o.y") == 0) & (F.col("_o.z") == 0)
+    return found.select(*points.columns, *at, own.alias("_own"))
+
+
+def in_reach(atoms: DataFrame, targets: DataFrame, keys: list[str], within: float) -> DataFrame:
+    """The rows of ``atoms`` within a distance of any of ``targets`` in the same frame: a semi-join over the targets' cubes and their neighbours."""
+    t = targets.select(*keys, *[F.col(c).alias(f"_t{c}") for c in "xyz"])
+    t = cubes(t, ["_tx", "_ty", "_tz"], within, AROUND).drop("_own")
+    a = cubes(atoms, ["x", "y", "z"], within).drop("_own")
+    hit = distance(["x", "y", "z"], ["_tx", "_ty", "_tz"]) <= within
+    same = [a[c].eqNullSafe(t[c]) if c in keys else a[c] == t[c] for c in [*keys, "_cx", "_cy", "_cz"]]
+    return a.join(t, [*same, hit], "left_semi").select(*atoms.columns)
+
+
+def contact_shares(frames: DataFrame, system: list[str], frame: str, within: float, atom: str = "atom") -> DataFrame:
+    """``(system, i, j, n_frames, share, least)`` of pairs that are in contact in some frame: in how many, of all the system's frames, and the least distance."""
+    met = pair_distances(frames, [*system, frame], atom, within)
+    pairs = met.groupBy(*system, "i", "j").agg(F.count("*").alias("n_frames"), F.min("d").alias("least"))
+    whole = frames.groupBy(*system).agg(F.countDistinct(frame).alias("_all"))
+    return pairs.join(whole, system).select(*system, "i", "j", "n_frames", (F.col("n_frames") / F.col("_all")).alias("share"), "least")
 
 
 def distance_statistics(pairs: DataFrame, keys: list[str], cutoffs: tuple[float, ...] = (4.0, 8.0, 12.0), value: str = "d") -> DataFrame:
@@ -233,7 +281,8 @@ def starts_at_mean(frames: DataFrame, mean: DataFrame, system: list[str], replic
     return each.groupBy(*system).agg(F.min("rmsd").alias("least_rmsd")).withColumn("matches_initial", F.col("least_rmsd") < least)
 
 
-def pair_similarity(points: DataFrame, keys: list[str], atom: str = "atom", sigma: float = 8.0) -> DataFrame:
-    """``(i, j, similarity)`` in both orders without the diagonal: distance decayed by ``sigma``."""
-    d = pair_distances(points, keys, atom).select(*keys, "i", "j", F.exp(-F.col("d") / F.lit(sigma)).alias("similarity"))
+def pair_similarity(points: DataFrame, keys: list[str], atom: str = "atom", sigma: float = 8.0, least: float | None = None) -> DataFrame:
+    """``(i, j, similarity)`` in both orders without the diagonal: distance decayed by ``sigma``; of those from ``least`` on if it is given, without all pairs."""
+    within = None if least is None else -sigma * math.log(least)
+    d = pair_distances(points, keys, atom, within).select(*keys, "i", "j", F.exp(-F.col("d") / F.lit(sigma)).alias("similarity"))
     return d.unionByName(d.select(*keys, F.col("j").alias("i"), F.col("i").alias("j"), "similarity"))

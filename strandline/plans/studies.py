@@ -32,7 +32,7 @@ def correlation_network(frames: DataFrame, system: str, levels: list[float], con
     near = None
     if contact is not None:
         mean = dynamics.mean_structure(frames, [system], [])
-        near = dynamics.pair_distances(mean, [system]).where(F.col("d") <= contact)
+        near = dynamics.pair_distances(mean, [system], within=contact)
     return network.threshold_network(c, near, levels, [system])
 
 

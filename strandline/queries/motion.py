@@ -308,3 +308,25 @@ def superpose_rmsd(spark: SparkSession, sf_dir: str) -> DataFrame:
 def pair_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = dynamics.mean_structure(frames(spark, sf_dir), ["system"], []).select("system", "atom", *[(F.col(c) * 20).alias(c) for c in "xyz"])
     return rounded(dynamics.pair_similarity(m, ["system"]))
+
+
+@_query(f"""WITH {_PAIRS}, n AS (SELECT system, count(DISTINCT frame) AS n FROM frames GROUP BY 1)
+  SELECT system, i, j, count(*) AS n_frames, round(count(*) / any_value(n.n), 6) AS share, round(min(d), 6) AS least FROM pairs JOIN n USING (system) WHERE d <= 0.1 GROUP BY 1, 2, 3""")
+def near_contacts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of atoms in contact by a cutoff, over all frames, by cubes of the cutoff's width."""
+    return rounded(dynamics.contact_shares(frames(spark, sf_dir), ["system"], "frame", 0.1))
+
+
+@_query(f"""WITH {FRAMES_SQL} SELECT a.system, a.frame, a.atom FROM frames a WHERE EXISTS (SELECT 1 FROM frames b WHERE b.system = a.system AND b.frame = a.frame AND b.atom IN (1, 8, 15) AND {_D} <= 0.15)""")
+def reach_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Atoms within reach of any of some atoms of their frame."""
+    f = frames(spark, sf_dir)
+    return dynamics.in_reach(f, f.where(F.col("atom").isin(1, 8, 15)), ["system", "frame"], 0.15).select("system", "frame", "atom")
+
+
+@_query(f"""WITH {FRAMES_SQL}, m AS (SELECT system, atom, avg(x) * 20 AS x, avg(y) * 20 AS y, avg(z) * 20 AS z FROM frames GROUP BY 1, 2)
+  SELECT a.system, a.atom AS i, b.atom AS j, round(exp(-{_D} / 8.0::DOUBLE), 6) AS similarity FROM m a JOIN m b ON a.system = b.system AND a.atom <> b.atom AND {_D} <= -8.0::DOUBLE * ln(0.9::DOUBLE)""")
+def near_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Similarities from 0.9 on, of pairs within the distance that this is."""
+    m = dynamics.mean_structure(frames(spark, sf_dir), ["system"], []).select("system", "atom", *[(F.col(c) * 20).alias(c) for c in "xyz"])
+    return rounded(dynamics.pair_similarity(m, ["system"], least=0.9))
