@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,6 +41,137 @@ def fundamental_series(t: DataFrame, keys: list[str], absorbing: DataFrame, node
     return out.groupBy(*keys, "i", "j").agg(F.sum("n").alias("n"))
 
 
+#: Rows and columns of a block of a chain's matrix.
+BLOCK = 256
+
+
+def to_blocks(entries: DataFrame, keys: list[str], size: int = BLOCK) -> DataFrame:
+    """``(keys, bi, bj, body, mass)`` of rows ``(keys, i, j, v)`` with whole numbers as nodes: dense blocks by rows, only where there is an entry."""
+    kinds = dict(entries.dtypes)
+
+    def fill(pdf: pd.DataFrame) -> pd.DataFrame:
+        body = np.zeros((size, size))
+        np.add.at(body, (pdf["i"].to_numpy() % size, pdf["j"].to_numpy() % size), pdf["v"].to_numpy())
+        return pd.DataFrame({**{k: [pdf[k].iloc[0]] for k in [*keys, "bi", "bj"]}, "body": [body.tobytes()], "mass": body.sum()})
+
+    at = entries.select(*keys, *[F.floor(F.col(c) / size).cast("long").alias(f"b{c}") for c in "ij"], "i", "j", "v")
+    return at.groupBy(*keys, "bi", "bj").applyInPandas(fill, "".join(f"{k} {kinds[k]}, " for k in keys) + "bi long, bj long, body binary, mass double")
+
+
+def from_blocks(blocks: DataFrame, keys: list[str], kind: str, size: int = BLOCK) -> DataFrame:
+    """The entries ``(keys, i, j, v)`` other than 0."""
+    kinds = dict(blocks.dtypes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for r in range(b.num_rows):
+                body = np.frombuffer(b.column("body")[r].as_py()).reshape(size, size)
+                i, j = np.nonzero(body)
+                own = b.slice(r, 1).take(pa.array(np.zeros(len(i), np.int64)))
+                yield pa.RecordBatch.from_arrays([*(own.column(k) for k in keys), *(pa.array(x + b.column(c)[r].as_py() * size) for x, c in ((i, "bi"), (j, "bj"))), pa.array(body[i, j])], names=[*keys, "i", "j", "v"])
+
+    out = blocks.select(*keys, "bi", "bj", "body").mapInArrow(run, "".join(f"{k} {kinds[k]}, " for k in keys) + "i long, j long, v double")
+    return out.select(*keys, F.col("i").cast(kind).alias("i"), F.col("j").cast(kind).alias("j"), "v")
+
+
+#: Blocks of sums that a task holds before it hands them on.
+HELD = 64
+
+
+def multiply(left: DataFrame, right: DataFrame, keys: list[str], size: int = BLOCK, plus: DataFrame | None = None) -> DataFrame:
+    """The product of block matrices, ``(keys, bi, bj, body, mass)``, and ``plus``; ``keys`` may name columns that ``left`` alone has.
+
+    Blocks meet on the inner index, tasks add up the products they make, and the sums of tasks meet by
+    their place, with the blocks of ``plus``. Blocks of zeros are left out; ``mass`` is the sum of a block's entries.
+    """
+    kinds = dict(left.dtypes)
+    both = [k for k in keys if k in right.columns]
+    met = left.select(*keys, "bi", F.col("bj").alias("_m"), F.col("body").alias("_a")).join(right.select(*both, F.col("bi").alias("_m"), "bj", F.col("body").alias("_b")), [*both, "_m"])
+    place = [*keys, "bi", "bj"]
+    schema = "".join(f"{k} {kinds[k]}, " for k in keys) + "bi long, bj long, body binary"
+
+    def products(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[tuple, np.ndarray] = {}
+
+        def flush() -> pd.DataFrame:
+            out = pd.DataFrame([(*k, v.tobytes()) for k, v in held.items()], columns=[*place, "body"])
+            held.clear()
+            return out
+
+        for f in frames:
+            for at, x, y in zip(f[place].itertuples(index=False, name=None), f["_a"], f["_b"], strict=True):
+                one = np.frombuffer(x).reshape(size, size) @ np.frombuffer(y).reshape(size, size)
+                if at in held:
+                    held[at] += one
+                elif one.any():
+                    held[at] = one
+                if len(held) >= HELD:
+                    yield flush()
+        yield flush()
+
+    parts = met.select(*place, "_a", "_b").mapInPandas(products, schema)
+
+    def total(pdf: pd.DataFrame) -> pd.DataFrame:
+        body = np.frombuffer(pdf["body"].iloc[0]).copy()
+        for x in pdf["body"].iloc[1:]:
+            body += np.frombuffer(x)
+        return pdf.iloc[:1].assign(body=[body.tobytes()], mass=body.sum()) if body.any() else pdf.iloc[:0].assign(mass=0.0)
+
+    if plus is not None:
+        parts = parts.unionByName(plus.select(*place, "body"))
+    return parts.groupBy(*place).applyInPandas(total, f"{schema}, mass double")
+
+
+def fundamental_blocks(t: DataFrame, keys: list[str], absorbing: DataFrame, keep: Callable[[DataFrame], DataFrame], nodes: DataFrame | None = None, size: int = BLOCK, eps: float = 1e-6, scale: float = 1.0) -> DataFrame:
+    """Expected visits ``(keys, i, j, n)`` between transient nodes of chains of any size, by repeated squaring of block matrices.
+
+    With Q the transient part, the sum of its powers is (I + Q)(I + Q^2)(I + Q^4)...: a round
+    doubles the powers that are in, so an acyclic chain takes about log2 of its longest path, and one that is absorbed
+    about log2 of the steps until it is. A key whose Q keeps its mass is never absorbed, so its sum has no end; as in
+    ``fundamental_solve`` it is then solved with ``eps`` on the diagonal, which is Q and the sum over 1 + ``eps``. Nodes are
+    whole numbers; ``nodes`` names those that have no edge, too. ``keep`` cuts lineage.
+    """
+    kind = dict(t.dtypes)["i"]
+    gone = absorbing.select("node")
+    inner = t.join(gone.withColumnRenamed("node", "i"), "i", "left_anti")
+    live = inner.join(gone.withColumnRenamed("node", "j"), "j", "left_anti")
+    names = inner.select(*keys, "i").union(live.select(*keys, "j"))
+    if nodes is not None:
+        names = names.union(nodes.join(gone, "node", "left_anti").select(*keys, "node"))
+    power = to_blocks(live.select(*keys, "i", "j", (F.col("t") * F.lit(scale)).alias("v")), keys, size).withColumn("_is", F.lit(1))
+    series = to_blocks(names.distinct().select(*keys, "i", F.col("i").alias("j"), F.lit(1.0).alias("v")), keys, size).withColumn("_is", F.lit(0))
+    both = keep(power.unionByName(series))
+    before: dict[tuple, float] = {}
+    stuck: set[tuple] = set()
+    while True:
+        series, power = both.where("_is = 0"), both.where("_is = 1")
+        mass = {tuple(r)[:-1]: r["mass"] for r in power.groupBy(*keys).agg(F.sum("mass").alias("mass")).collect() if r["mass"] is not None}  # a number a key
+        ended = {k for k, m in mass.items() if m < 1e-16}
+        still = {k for k, m in mass.items() if k not in ended and before.get(k, 0) > 0 and m > before[k] * (1 - 1e-13)}
+        stuck |= still
+        before = {k: m for k, m in mass.items() if k not in ended | still}
+        if not before:
+            break
+        if ended | still and keys:
+            power = power.join(_key_rows(power, keys, ended | still), keys, "left_anti")
+        both = keep(multiply(series.unionByName(power), power.drop("_is"), [*keys, "_is"], size, plus=series))
+    out = from_blocks(series, keys, kind, size).select(*keys, "i", "j", (F.col("v") * F.lit(scale)).alias("n"))
+    if not stuck:
+        return out
+    if scale != 1.0:
+        raise RuntimeError("the chain's rows sum to more than 1")
+    if not keys:
+        return fundamental_blocks(t, keys, absorbing, keep, nodes, size, eps, 1 / (1 + eps))
+    some = _key_rows(power, keys, stuck)
+    again = fundamental_blocks(t.join(some, keys, "left_semi"), keys, absorbing, keep, nodes.join(some, keys, "left_semi") if nodes is not None else None, size, eps, 1 / (1 + eps))
+    return out.join(some, keys, "left_anti").unionByName(again)
+
+
+def _key_rows(like: DataFrame, keys: list[str], rows: set[tuple]) -> DataFrame:
+    kinds = dict(like.dtypes)
+    return F.broadcast(like.sparkSession.createDataFrame(sorted(rows), ", ".join(f"{k} {kinds[k]}" for k in keys)))
+
+
 def fundamental_solve(t: DataFrame, key: str, absorbing: DataFrame, eps: float = 1e-6) -> DataFrame:
     """The same for any chain, one linear system a key; where it is singular, with ``eps`` on the diagonal."""
     inner = t.join(absorbing.select(F.col("node").alias("i")), "i", "left_anti").withColumn("_end", F.lit(False))

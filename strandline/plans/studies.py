@@ -36,12 +36,11 @@ def correlation_network(frames: DataFrame, system: str, levels: list[float], con
     return network.threshold_network(c, near, levels, [system])
 
 
-def flow_field(edges: DataFrame, pairs: DataFrame, absorbing: DataFrame, seeds: DataFrame, key: str, keep: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def flow_field(edges: DataFrame, pairs: DataFrame, absorbing: DataFrame, seeds: DataFrame, keys: list[str], keep: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Visits of a chain that follows the accumulated flow of ``pairs`` into absorbing nodes, from weighted seeds."""
-    flow = keep(network.flow_sums(edges, pairs, [key]))
-    t = markov.transition(flow.withColumnRenamed("fwd", "weight"), [key])
-    n = markov.fundamental_solve(t, key, absorbing)
-    return markov.visitation_field(n, seeds, [key])
+    flow = keep(network.flow_sums(edges, pairs, keys))
+    t = keep(markov.transition(flow.withColumnRenamed("fwd", "weight"), keys))
+    return markov.visitation_field(keep(markov.fundamental_blocks(t, keys, absorbing, keep)), seeds, keys)
 
 
 def consolidated_paths(edges: DataFrame, key: str, sources: list[int] | None, targets: list[int], label: DataFrame, keep: Callable[[DataFrame], DataFrame], least_length: int = 8, rounds: int = 1, target_numbers: list[int] | None = None) -> DataFrame:

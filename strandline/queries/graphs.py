@@ -112,15 +112,10 @@ def _absorbing(spark: SparkSession) -> DataFrame:
 
 
 def _visits(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The chain and its expected visits."""
     t = keep(_transition(spark, sf_dir))
     nodes = t.select(F.col("i").alias("node")).union(t.select("j")).distinct()
-    return t, markov.fundamental_series(t, [], _absorbing(spark), nodes, keep)
-
-
-def _solved(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """The chain and its visits by one linear system, as for graphs that a task can hold."""
-    t = _transition(spark, sf_dir)
-    return t, markov.fundamental_solve(t.withColumn("g", F.lit(1)), "g", _absorbing(spark)).drop("g")
+    return t, keep(markov.fundamental_blocks(t, [], _absorbing(spark), keep, nodes))
 
 
 @_query(f"WITH {_T} SELECT i, j, round(t, 6) AS t FROM t")
@@ -133,16 +128,22 @@ def fundamental(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(_visits(spark, sf_dir)[1])
 
 
-@_query(f"WITH RECURSIVE {_N} SELECT i, j, round(n, 6) AS n FROM n")
+_FLAGS_SQL = f"{TRADES_SQL}, flags AS (SELECT flag AS system, least(src, dst) AS src, greatest(src, dst) AS dst, sum(price)::DOUBLE / 1000003.0::DOUBLE AS weight FROM trades GROUP BY 1, 2, 3)"
+
+
+@_query(f"""WITH RECURSIVE {_FLAGS_SQL}, t AS (SELECT system, src AS i, dst AS j, weight / sum(weight) OVER (PARTITION BY system, src) AS t FROM flags), q AS (SELECT * FROM t WHERE i <> {ABSORBING} AND j <> {ABSORBING}),
+  nodes AS (SELECT system, i AS node FROM t UNION SELECT system, j FROM t),
+  r(k, system, i, j, v) AS (SELECT 0, system, node, node, 1.0::DOUBLE FROM nodes WHERE node <> {ABSORBING} UNION ALL SELECT k + 1, r.system, r.i, q.j, sum(r.v * q.t) FROM r JOIN q ON r.system = q.system AND r.j = q.i WHERE k < 30 GROUP BY k + 1, r.system, r.i, q.j)
+  SELECT system, i, j, round(sum(v), 6) AS n FROM r GROUP BY 1, 2, 3""")
 def fundamental_solve(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = _transition(spark, sf_dir).withColumn("g", F.lit(1))
-    return rounded(markov.fundamental_solve(t, "g", _absorbing(spark)).drop("g"))
+    """The same for the chain of each system by a linear system each, as for graphs that a task can hold."""
+    return rounded(markov.fundamental_solve(markov.transition(_flags(spark, sf_dir), ["system"]), "system", _absorbing(spark)))
 
 
 @_query(f"""WITH RECURSIVE {_N}, m AS (SELECT j AS node, sum(n) AS w FROM n GROUP BY 1), e AS (SELECT i, j, t * w AS e FROM t JOIN m ON node = i), u AS (SELECT i, j, e FROM e UNION ALL SELECT j, i, e FROM e)
   SELECT i, j, round(sum(e) / 2, 6) AS e FROM u GROUP BY 1, 2""")
 def edge_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t, n = _solved(spark, sf_dir)
+    t, n = _visits(spark, sf_dir)
     return rounded(markov.edge_importance(t, markov.node_importance(n, []), []))
 
 
@@ -150,7 +151,7 @@ def edge_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
   SELECT j AS node, round(sum(w * n) / (SELECT sum(w) FROM p), 6) AS field FROM n JOIN p ON n.i = p.node GROUP BY 1""")
 def visitation_field(spark: SparkSession, sf_dir: str) -> DataFrame:
     seeds = spark.createDataFrame([(1, 1.0), (2, 2.0), (3, 1.0), (99, 5.0)], "node int, weight double")
-    return rounded(markov.visitation_field(_solved(spark, sf_dir)[1], seeds, []))
+    return rounded(markov.visitation_field(_visits(spark, sf_dir)[1], seeds, []))
 
 
 def _nodes(e: DataFrame) -> DataFrame:
@@ -197,11 +198,10 @@ def flow_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query()
 def flow_field(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = network_of(spark, sf_dir).withColumn("g", F.lit(1))
+    e = keep(network_of(spark, sf_dir))
     nodes = _nodes(e)
-    pairs = _pairs(nodes).withColumn("g", F.lit(1)).repartition("source", "target")
     seeds = nodes.where("node < 22").withColumn("weight", F.lit(1.0))
-    return rounded(studies.flow_field(e, pairs, nodes.where("node >= 22"), seeds, "g", keep))
+    return rounded(studies.flow_field(e, _pairs(nodes), nodes.where("node >= 22"), seeds, [], keep))
 
 
 def _flags(spark: SparkSession, sf_dir: str) -> DataFrame:
