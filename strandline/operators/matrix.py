@@ -64,11 +64,9 @@ def sentinel_delta(a: DataFrame, b: DataFrame, keys: list[str], share: float = 0
     A value counts as present at ``share`` of the largest of both or more.
     """
     both = a.select(*keys, "i", "j", F.col("value").alias("_a")).join(b.select(*keys, "i", "j", F.col("value").alias("_b")), [*keys, "i", "j"], "full")
-    from pyspark.sql import Window
-
-    w = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(1))
     x, y = F.coalesce("_a", F.lit(0.0)), F.coalesce("_b", F.lit(0.0))
-    both = both.withColumn("_t", F.lit(share) * F.greatest(F.max("_a").over(w), F.max("_b").over(w)))
+    top = both.groupBy(*keys).agg((F.lit(share) * F.greatest(F.max("_a"), F.max("_b"))).alias("_t"))
+    both = both.join(top, keys) if keys else both.crossJoin(F.broadcast(top))  # one row
     in_a, in_b = x >= F.col("_t"), y >= F.col("_t")
     in_a, in_b = in_a & (x > 0), in_b & (y > 0)
     status = F.when(F.col("i") == F.col("j"), None).when(in_a & in_b, "keep").when(in_b, "appear").when(in_a, "vanish")
@@ -102,3 +100,8 @@ def field_delta(a: DataFrame, b: DataFrame, keys: list[str], value: str = "value
     """b less a over the keys of either; what is missing counts as 0."""
     both = a.select(*keys, F.col(value).alias("_a")).join(b.select(*keys, F.col(value).alias("_b")), keys, "full")
     return both.select(*keys, (F.coalesce("_b", F.lit(0.0)) - F.coalesce("_a", F.lit(0.0))).alias("delta"))
+
+
+def over_largest(df: DataFrame, value: Column, name: str) -> DataFrame:
+    """``df`` with ``name``, the largest of ``value`` over all its rows: one row, which is broadcast."""
+    return df.crossJoin(F.broadcast(df.agg(F.max(value).alias(name))))

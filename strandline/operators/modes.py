@@ -72,9 +72,9 @@ def dot_arrays(a: str, b: str) -> F.Column:
 def rmsip(modes: DataFrame, key: str, n: int = 10) -> DataFrame:
     """Root mean square inner product of the first n modes of each two structures of the same size."""
     low = modes.where(F.col("mode").between(TRIVIAL + 1, TRIVIAL + n))
-    a = low.select(F.col(key).alias("first"), "mode", F.col("vec").alias("u"))
-    b = low.select(F.col(key).alias("second"), F.col("mode").alias("other"), F.col("vec").alias("v"))
-    pairs = a.join(b, F.col("first") < F.col("second"))
+    a = low.select(F.col(key).alias("first"), F.size("vec").alias("size"), "mode", F.col("vec").alias("u"))
+    b = low.select(F.col(key).alias("second"), F.size("vec").alias("size"), F.col("mode").alias("other"), F.col("vec").alias("v"))
+    pairs = a.join(b, "size").where("first < second")
     d = dot_arrays("u", "v")
     out = pairs.groupBy("first", "second").agg(F.sqrt(F.sum(d * d) / n).alias("rmsip"))
     return out.withColumn("converged", F.col("rmsip") > 0.7)

@@ -131,13 +131,11 @@ def canvas(spark: SparkSession, sf_dir: str) -> DataFrame:
   x AS (SELECT d.i, d.j, coalesce(f.value, 0.0::DOUBLE) AS value, f.value > 0 AS mark, max(f.value) OVER () AS top FROM d LEFT JOIN f USING (i, j))
   SELECT i, j, round(value, 2) AS value, coalesce(mark, false) AS mark, least(100, greatest(1, floor(value / top * 99 + 0.5) + 1))::INTEGER AS colour FROM x""")
 def overlay(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import Window
-
     m = condition_matrices(spark, sf_dir).where("variant = 'BUILDING'")
     ground = m.where("condition = 'R'").select("i", "j")
     flow = m.where(f"condition = 'A' and value > {CUT}").select("i", "j", "value")
-    x = matrix.align(flow, ground, [], fill=0.0)
-    share = F.col("value") / F.max("value").over(Window.partitionBy(F.lit(1)))
+    x = matrix.over_largest(matrix.align(flow, ground, [], fill=0.0), F.col("value"), "top")
+    share = F.col("value") / F.col("top")
     return x.select("i", "j", F.round("value", 2).alias("value"), (F.col("value") > 0).alias("mark"), F.least(F.lit(100), F.greatest(F.lit(1), F.floor(share * 99 + 0.5) + 1)).cast("int").alias("colour"))
 
 
@@ -158,11 +156,10 @@ def scale_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query(f"""WITH {_FIELD}, d AS (SELECT coalesce(a.resno, b.resno) AS resno, coalesce(b.value, 0) - coalesce(a.value, 0) AS delta FROM (SELECT * FROM fields WHERE system = 'A') a FULL JOIN (SELECT * FROM fields WHERE system = 'N' AND resno > 4) b USING (resno))
   SELECT resno, round(greatest(-99.99::DOUBLE, least(99.99::DOUBLE, delta / max(abs(delta)) OVER () * 99.99::DOUBLE)), 4) + 0.0 AS b FROM d""")
 def delta_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import Window
-
     f = _fields(spark, sf_dir)
     d = matrix.field_delta(f.where("system = 'A'").drop("system"), f.where("system = 'N' and resno > 4").drop("system"), ["resno"])
-    return rounded(d.select("resno", scale_symmetric(F.col("delta"), F.max(F.abs("delta")).over(Window.partitionBy(F.lit(1)))).alias("b")), 4)
+    d = matrix.over_largest(d, F.abs("delta"), "top")
+    return rounded(d.select("resno", scale_symmetric(F.col("delta"), F.col("top")).alias("b")), 4)
 
 
 @_query(f"""WITH {_sparse(CUT)}, d AS ({_delta_sql('A', 'N')}), e AS (SELECT variant, i, j, CASE {_STATUS} WHEN 'keep' THEN vb - va WHEN 'appear' THEN 999.0::DOUBLE WHEN 'vanish' THEN -999.0::DOUBLE END AS v FROM d),
