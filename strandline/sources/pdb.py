@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .lines import numbered_lines
+
 # The columns of an atom line, from 1, both ends included.
 FIELDS = (
     ("record", 1, 6, "string"), ("serial", 7, 11, "int"), ("name", 13, 16, "string"), ("altloc", 17, 17, "string"), ("resname", 18, 20, "string"), ("chain", 22, 22, "string"),
@@ -22,9 +24,20 @@ def atom_fields(line: Column) -> list[Column]:
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """``(file, line_no, line)``: a file is one row of text, exploded, so line numbers are its own."""
-    whole = spark.read.text(path, wholetext=True, recursiveFileLookup=True).select(F.input_file_name().alias("file"), F.posexplode(F.split("value", "\n")).alias("line_no", "line"))
-    return whole.where("line <> ''")
+    """``(file, line_no, line)`` of all lines that aren't empty; files are read by splits."""
+    return numbered_lines(spark, path).where("line <> ''")
+
+
+def read_models(spark: SparkSession, path: str) -> DataFrame:
+    """``(file, model, line_no, line)`` of files of several models: lines from a model's first to its last; a file without models has one, 1."""
+    kind = lambda c: F.trim(F.substring(c, 1, 6))
+    lines = numbered_lines(spark, path, section=kind("line") == "MODEL").where("line <> ''")
+    ends = lines.where(kind("line") == "ENDMDL").groupBy("file", "section").agg(F.min("line_no").alias("_end"))
+    kept = lines.join(ends, ["file", "section"], "left")
+    inside = kept.where((F.col("_end").isNull() | (F.col("line_no") < F.col("_end"))) & ~kind("line").isin("MODEL", "ENDMDL"))
+    several = lines.groupBy("file").agg((F.max("section") > 0).alias("_several"))
+    out = inside.join(several, "file").where("section > 0 or not _several")
+    return out.select("file", F.greatest("section", F.lit(1)).cast("int").alias("model"), "line_no", "line")
 
 
 def atoms(lines: DataFrame, records: tuple[str, ...] = ("ATOM", "HETATM"), line: str = "line") -> DataFrame:
@@ -59,21 +72,48 @@ def atom_line(serial: Column, name: Column, resname: Column, chain: Column, resn
     return F.format_string("ATOM  %5d  %-3s %3s %1s%4d    %8.3f%8.3f%8.3f%6.2f%6.2f", serial, name, resname, chain, resno, x, y, z, occ, b)
 
 
+def strand_bonds(backbone: DataFrame, file: str) -> DataFrame:
+    """``(file, chain, residue, at, serial, other)``: the bonds of a poly-glycine chain, within residues and to the next residue of the chain.
+
+    Serials count from the chain's first atom, four a residue. The next residue is found by a window over the chain's
+    residues; no bond leads over a gap or to an atom that is missing.
+    """
+    rank = F.array_position(F.array(*[F.lit(n) for n in NAMES]), F.col("name"))
+    residue = backbone.groupBy(file, "chain", "residue").agg(*[F.max(F.when(F.col("name") == n, F.col("residue") * 4 + rank - 4)).alias(n) for n in NAMES])
+    w = Window.partitionBy(file, "chain").orderBy("residue")
+    after = F.when(F.lead("residue").over(w) == F.col("residue") + 1, F.lead("N").over(w))
+    ends = (("N", "CA"), ("CA", "C"), ("C", "O"), ("C", "_after"))
+    bonds = residue.withColumn("_after", after).select(file, "chain", "residue", F.posexplode(F.array(*[F.struct(F.col(x).alias("serial"), F.col(y).alias("other")) for x, y in ends])).alias("at", "b"))
+    return bonds.select(file, "chain", "residue", "at", "b.*").where("serial is not null and other is not null")
+
+
+#: The atoms of a residue's backbone in their order.
+NAMES = ("N", "CA", "C", "O")
+
+
 def strand_lines(backbone: DataFrame, file: str) -> DataFrame:
-    """``(file, section, seq, line)`` of poly-glycine chains: remark, sheets, atoms and ends of chains, end; ordered by section and seq.
+    """``(file, section, seq, line)`` of poly-glycine chains: remark, sheets, atoms and ends of chains, bonds, end; ordered by section and seq.
 
-    ``backbone`` has ``chain, residue, name, x, y, z``.
+    ``backbone`` has ``chain, residue, name, x, y, z``. Serials count on from chain to chain, as bonds name atoms of
+    the whole file by them: a chain begins after the end of the one before.
     """
-    rank = F.array_position(F.array(*[F.lit(n) for n in ("N", "CA", "C", "O")]), F.col("name"))
-    serial = F.col("residue") * 4 + rank - 4
-    atom = backbone.select(F.col(file).alias("file"), F.lit(3).alias("section"), F.concat_ws(":", "chain", F.lpad(serial.cast("string"), 9, "0")).alias("seq"), atom_line(serial.cast("int"), F.col("name"), F.lit("GLY"), F.col("chain"), F.col("residue"), F.col("x"), F.col("y"), F.col("z"), F.lit(1.0), F.lit(0.0)).alias("line"))
+    rank = F.array_position(F.array(*[F.lit(n) for n in NAMES]), F.col("name"))
     ends = backbone.groupBy(file, "chain").agg(F.max("residue").alias("n"))
-    ter = ends.select(F.col(file).alias("file"), F.lit(3).alias("section"), F.concat("chain", F.lit(":999999999")).alias("seq"), F.format_string("TER   %5d      GLY %1s%4d", (F.col("n") * 4 + 1).cast("int"), F.col("chain"), F.col("n")).alias("line"))
+    # a row a chain
+    before = Window.partitionBy(file).orderBy("chain").rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.withColumn("base", F.coalesce(F.sum(F.col("n") * 4 + 1).over(before), F.lit(0)))
+    placed = backbone.join(ends.select(file, "chain", "base"), [file, "chain"])
+    serial = F.col("base") + F.col("residue") * 4 + rank - 4
+    atom = placed.select(F.col(file).alias("file"), F.lit(3).alias("section"), F.concat_ws(":", "chain", F.lpad(serial.cast("string"), 9, "0")).alias("seq"), atom_line(serial.cast("int"), F.col("name"), F.lit("GLY"), F.col("chain"), F.col("residue"), F.col("x"), F.col("y"), F.col("z"), F.lit(1.0), F.lit(0.0)).alias("line"))
+    ter = ends.select(F.col(file).alias("file"), F.lit(3).alias("section"), F.concat("chain", F.lit(":999999999")).alias("seq"), F.format_string("TER   %5d      GLY %1s%4d", (F.col("base") + F.col("n") * 4 + 1).cast("int"), F.col("chain"), F.col("n")).alias("line"))
     sheet = ends.select(F.col(file).alias("file"), F.lit(2).alias("section"), F.col("chain").alias("seq"), F.format_string("SHEET    1   %1s 1 GLY %1s%4d  GLY %1s%4d  0", F.col("chain"), F.col("chain"), F.lit(1), F.col("chain"), F.col("n")).alias("line"))
+    tied = strand_bonds(backbone, file).join(ends.select(file, "chain", "base"), [file, "chain"])
+    ties = F.format_string("CONECT%5d%5d", *[(F.col("base") + F.col(c)).cast("int") for c in ("serial", "other")])
+    bonds = tied.select(F.col(file).alias("file"), F.lit(4).alias("section"), F.concat_ws(":", "chain", F.lpad(F.col("residue").cast("string"), 9, "0"), F.col("at").cast("string")).alias("seq"), ties.alias("line"))
     files = backbone.select(F.col(file).alias("file")).distinct()
     head = files.select("file", F.lit(1).alias("section"), F.lit("").alias("seq"), F.lit("REMARK   1 PATHS AS STRANDS").alias("line"))
-    tail = files.select("file", F.lit(4).alias("section"), F.lit("").alias("seq"), F.lit("END").alias("line"))
-    return head.unionByName(sheet).unionByName(atom).unionByName(ter).unionByName(tail)
+    tail = files.select("file", F.lit(5).alias("section"), F.lit("").alias("seq"), F.lit("END").alias("line"))
+    return head.unionByName(sheet).unionByName(atom).unionByName(ter).unionByName(bonds).unionByName(tail)
 
 
 def write_lines(lines: DataFrame, path: str, order: list[str], by: str = "file", line: str = "line") -> None:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .lines import numbered_lines
+
 
 def parse_config(lines: DataFrame, value: str = "value") -> DataFrame:
     """``(key, value)`` of ``key = value`` lines; comments, indented or not, and blank lines are left out; more ``=`` belong to the value."""
@@ -27,15 +29,14 @@ def range_of(value: F.Column) -> F.Column:
 def read_matrix(spark: SparkSession, path: str) -> DataFrame:
     """``(file, i, j, value)`` of square matrices in CSV; rows are named by an unnamed first column, else in the header's order.
 
-    A file is one row of text, so row numbers are its own and files of different labels can be read at once.
+    Files are read by splits; a row's number is its own file's, and files of different labels can be read at once.
     """
-    whole = spark.read.text(path, wholetext=True, recursiveFileLookup=True).select(F.input_file_name().alias("file"), F.filter(F.split(F.regexp_replace("value", '["\r]', ""), "\n"), lambda s: s != "").alias("lines"))
-    header = F.split(F.col("lines")[0], ",")
-    named = F.col("header")[0] == ""
-    rows = whole.withColumn("header", header).withColumn("names", F.when(named, F.slice("header", F.lit(2), F.size("header"))).otherwise(F.col("header")))
-    rows = rows.select("file", "header", "names", F.posexplode(F.slice("lines", F.lit(2), F.size("lines"))).alias("at", "line"))
-    cells = F.split("line", ",")
-    rows = rows.select("file", "names", F.when(named, cells[0]).otherwise(F.get("names", F.col("at"))).alias("i"), F.when(named, F.slice(cells, F.lit(2), F.size(cells))).otherwise(cells).alias("cells"))
+    lines = numbered_lines(spark, path, blank=False).withColumn("cells", F.split(F.regexp_replace("line", '["\r]', ""), ","))
+    head = lines.where("line_no = 0").withColumn("named", F.col("cells")[0] == "")
+    head = head.select("file", "named", F.when(F.col("named"), F.slice("cells", F.lit(2), F.size("cells"))).otherwise(F.col("cells")).alias("names"))
+    rows = lines.where("line_no > 0").join(head, "file")
+    name = F.when(F.col("named"), F.col("cells")[0]).otherwise(F.get("names", (F.col("line_no") - 1).cast("int")))
+    rows = rows.select("file", "names", name.alias("i"), F.when(F.col("named"), F.slice("cells", F.lit(2), F.size("cells"))).otherwise(F.col("cells")).alias("cells"))
     flat = rows.select("file", "i", F.explode(F.arrays_zip(F.col("names").alias("j"), F.col("cells").alias("v"))).alias("c"))
     return flat.select("file", "i", "c.j", F.col("c.v").try_cast("double").alias("value")).where("value is not null and not isnan(value)")
 
