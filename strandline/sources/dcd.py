@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import json
 import struct
+import uuid
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
+from pyarrow.fs import FileSystem, FileType, LocalFileSystem
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
 
 class Layout:
@@ -31,46 +36,123 @@ class Layout:
         return np.stack(axes, axis=1).astype("f4").ravel()
 
 
-def encode(frames: np.ndarray) -> bytes:
-    """A file of ``frames x atoms x 3`` coordinates, for tests and exports."""
-    n, atoms, _ = frames.shape
+def header(n: int, atoms: int) -> bytes:
+    """The headers of a file of so many frames and atoms."""
     control = [0] * 20
     control[0], control[1], control[2], control[19] = n, 1, 1, 24
-    out = [struct.pack("<i4s20ii", 84, b"CORD", *control, 84), struct.pack("<ii80si", 84, 1, b"frames".ljust(80), 84), struct.pack("<iii", 4, atoms, 4)]
-    for f in frames.astype("<f4"):
-        for k in range(3):
-            out.append(struct.pack("<i", 4 * atoms) + f[:, k].tobytes() + struct.pack("<i", 4 * atoms))
-    return b"".join(out)
+    return struct.pack("<i4s20ii", 84, b"CORD", *control, 84) + struct.pack("<ii80si", 84, 1, b"frames".ljust(80), 84) + struct.pack("<iii", 4, atoms, 4)
+
+
+def body(frame: np.ndarray) -> bytes:
+    """The records of a frame ``atoms x 3``."""
+    size = struct.pack("<i", 4 * len(frame))
+    return b"".join(size + frame[:, k].astype("<f4").tobytes() + size for k in range(3))
+
+
+def encode(frames: np.ndarray) -> bytes:
+    """A file of ``frames x atoms x 3`` coordinates, for tests and exports."""
+    return header(len(frames), frames.shape[1]) + b"".join(map(body, frames))
+
+
+def store(path: str) -> tuple[FileSystem, str]:
+    """The file system of a path and the path in it: a local one, or any scheme that the Arrow library reads."""
+    return FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (LocalFileSystem(), path)
+
+
+def ranged(path: str, start: int, size: int) -> bytes:
+    """So many bytes of a file from a place on."""
+    files, name = store(path)
+    with files.open_input_file(name) as f:
+        return f.read_at(size, start)
 
 
 class Block(InputPartition):
-    def __init__(self, path: str, first: int, count: int):
-        self.path, self.first, self.count = path, first, count
+    def __init__(self, path: str, layout: Layout, first: int, count: int):
+        self.path, self.layout, self.first, self.count = path, layout, first, count
 
 
 class TrajectoryReader(DataSourceReader):
+    """Blocks of frames as partitions; each reads its own bytes. Frames that aren't asked for are in no block."""
+
     def __init__(self, options: dict):
-        self.paths = [p for p in options.get("paths", options.get("path", "")).split(",") if p]
-        self.block = int(options.get("framesperpartition", "64"))
+        self.paths = json.loads(options["paths"])
+        self.block = int(options["framesperpartition"])
+        self.first, self.last = int(options["first"]), int(options["last"])
 
     def partitions(self) -> list[Block]:
         out = []
         for p in self.paths:
-            with open(p, "rb") as f:
-                layout = Layout(f.read(4096))
-            out += [Block(p, a, min(self.block, layout.frames - a)) for a in range(0, layout.frames, self.block)]
-        return out
+            layout = Layout(ranged(p, 0, 4096))
+            last = min(layout.frames, self.last)
+            out += [Block(p, layout, a, min(self.block, last - a)) for a in range(self.first - 1, last, self.block)]
+        return out or [Block("", None, 0, 0)]
 
     def read(self, part: Block) -> Iterator[tuple]:
-        with open(part.path, "rb") as f:
-            layout = Layout(f.read(4096))
-            f.seek(layout.start + part.first * layout.frame_bytes)
+        if part.count:
+            layout, size = part.layout, part.layout.frame_bytes
+            raw = memoryview(ranged(part.path, layout.start + part.first * size, part.count * size))
             for k in range(part.count):
-                yield part.path, part.first + k + 1, layout.frame(f.read(layout.frame_bytes)).tolist()
+                yield part.path, part.first + k + 1, layout.frame(raw[k * size : (k + 1) * size]).tolist()
+
+
+@dataclass
+class Written(WriterCommitMessage):
+    """Files of a task: where they are and what they are to be called."""
+
+    files: list[tuple[str, str]]
+
+
+class TrajectoryWriter(DataSourceWriter):
+    """Files under names of their own until the job commits, when they get theirs; a job that fails leaves none."""
+
+    def __init__(self, options: dict):
+        self.folder = options["path"].rstrip("/")
+        self.waiting = f"{self.folder}/_waiting-{options['job']}"
+
+    def write(self, rows: Iterator) -> Written:
+        """Rows ``(file, n_frames, frame, xyz)`` by file and frame; a frame at a time is in memory."""
+        files, folder = store(self.waiting)
+        files.create_dir(folder, recursive=True)
+        done: list[tuple[str, str]] = []
+        out, seen, expected = None, 0, 0
+
+        def close() -> None:
+            if out is not None:
+                out.close()
+                if seen != expected:
+                    raise ValueError(f"{done[-1][1]} has {seen} frames of {expected}")
+
+        for row in rows:
+            if not done or done[-1][1] != row["file"]:
+                close()
+                name = f"{uuid.uuid4().hex}.part"
+                out, seen, expected = files.open_output_stream(f"{folder}/{name}"), 0, row["n_frames"]
+                done.append((name, row["file"]))
+                out.write(header(expected, len(row["xyz"]) // 3))
+            out.write(body(np.asarray(row["xyz"], "<f4").reshape(-1, 3)))
+            seen += 1
+        close()
+        return Written(done)
+
+    def commit(self, messages: list) -> None:
+        files, folder = store(self.folder)
+        waiting = store(self.waiting)[1]
+        for m in messages:
+            for name, final in m.files if m else []:
+                files.move(f"{waiting}/{name}", f"{folder}/{final}")
+        self._clear()
+
+    def abort(self, messages: list) -> None:
+        self._clear()
+
+    def _clear(self) -> None:
+        files, folder = store(self.waiting)
+        if files.get_file_info(folder).type == FileType.Directory:
+            files.delete_dir(folder)
 
 
 class TrajectorySource(DataSource):
-    """``spark.read.format("trajectory").option("paths", "a.dcd,b.dcd")`` of a mounted folder: ``(file, frame, xyz)``."""
+    """``(file, frame, xyz)`` of files in any store that the Arrow library reads, and files written from such rows."""
 
     @classmethod
     def name(cls) -> str:
@@ -82,10 +164,31 @@ class TrajectorySource(DataSource):
     def reader(self, schema) -> TrajectoryReader:
         return TrajectoryReader(self.options)
 
+    def writer(self, schema, overwrite: bool) -> TrajectoryWriter:
+        return TrajectoryWriter(self.options)
+
+
+def read(spark: SparkSession, paths: list[str], frames_per_partition: int = 64, first: int = 1, last: int | None = None) -> DataFrame:
+    """Frames ``first`` to ``last`` of files, by ranges: other blocks are never read.
 
-def read(spark: SparkSession, paths: list[str], frames_per_partition: int = 64) -> DataFrame:
+    The range is an argument and no filter taken over from the query: Spark keeps a Python source's filters with its
+    table, so of two queries on one frame with different filters the second would have those of the first.
+    """
     spark.dataSource.register(TrajectorySource)
-    return spark.read.format("trajectory").option("paths", ",".join(paths)).option("framesPerPartition", str(frames_per_partition)).load()
+    options = {"paths": json.dumps(paths), "framesPerPartition": frames_per_partition, "first": max(first, 1), "last": last if last is not None else 1 << 62}
+    return spark.read.format("trajectory").options(**options).load()
+
+
+def write(frames: DataFrame, folder: str) -> None:
+    """A file ``folder/<file>`` for each file of rows ``(file, frame, xyz)``, its frames in order; files of the same name are replaced.
+
+    A file is streamed by one task, a frame at a time. Files appear when all are whole: tasks write beside
+    them, and a job that fails leaves what was there.
+    """
+    frames.sparkSession.dataSource.register(TrajectorySource)
+    sizes = frames.groupBy("file").agg(F.count("*").alias("n_frames"))
+    rows = frames.select("file", "frame", F.col("xyz").cast("array<float>").alias("xyz")).join(sizes, "file").select("file", "n_frames", "frame", "xyz")
+    rows.repartition("file").sortWithinPartitions("file", "frame").write.format("trajectory").option("path", folder).option("job", uuid.uuid4().hex).mode("append").save()
 
 
 def read_anywhere(spark: SparkSession, path: str, pattern: str = "*.dcd") -> DataFrame:
