@@ -32,11 +32,11 @@ def catalog_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.select("id", *[c.alias(k) for k, c in n.items()], catalog.condition_of(F.col("file")).alias("condition"), labels.condition_label(n["structure"], {"7LP9": "Apo", "7LPB": "Cap"}, "Heat").alias("state"))
 
 
-@_query(f"""WITH {_RUNS}, r AS (SELECT DISTINCT split_part(file, '_', 1) AS structure, split_part(file, '_', 2) AS variant, regexp_extract(split_part(file, '_', 3), '[0-9]+')::INTEGER AS replica FROM runs WHERE id % 5 <> 0),
+@_query(f"""WITH {_RUNS}, r AS (SELECT DISTINCT split_part(file, '_', 1) AS structure, split_part(file, '_', 2) AS variant, regexp_extract(split_part(file, '_', 3), '[0-9]+')::INTEGER AS replica FROM runs),
   w AS (SELECT structure, variant, min(replica) AS a, max(replica) AS b FROM r GROUP BY 1, 2),
   e AS (SELECT structure, variant, unnest(range(a, b + 1))::INTEGER AS replica FROM w) SELECT * FROM e EXCEPT SELECT * FROM r""")
 def missing_replica(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = _runs(spark, sf_dir).where("id % 5 <> 0")
+    r = _runs(spark, sf_dir)
     n = catalog.run_name(F.col("file"))
     return catalog.missing_replicas(r.select(*[c.alias(k) for k, c in n.items()]).distinct(), ["structure", "variant"])
 

@@ -44,12 +44,12 @@ def gephi_directed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(network.export_directed(t, ["goal"]))
 
 
-_SEEDS = f"""{_FLOWS}, e AS (SELECT system, target, src, dst, sum(fwd) AS fwd FROM flows WHERE target IN ('A', 'N') GROUP BY 1, 2, 3, 4),
+_SEEDS = f"""{_FLOWS}, e AS (SELECT system, target, src, dst, sum(fwd) AS fwd FROM flows GROUP BY 1, 2, 3, 4),
   seeds AS (SELECT system, target, src AS node, sum(fwd) AS seed_score, CASE WHEN sum(fwd) > 0 THEN max(fwd) / sum(fwd) ELSE 0.0::DOUBLE END AS max_t FROM e GROUP BY 1, 2, 3)"""
 
 
 def _seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = _flows(spark, sf_dir).where(F.col("target").isin("A", "N")).groupBy("system", "target", "src", "dst").agg(F.sum("fwd").alias("fwd"))
+    e = _flows(spark, sf_dir).groupBy("system", "target", "src", "dst").agg(F.sum("fwd").alias("fwd"))
     return network.seed_scores(e, ["system"], "target")
 
 

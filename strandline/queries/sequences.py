@@ -113,9 +113,12 @@ def river_best(spark: SparkSession, sf_dir: str) -> DataFrame:
     return paths.best_of(p, ["river"], "score", "path_id").drop("rank")
 
 
-@_query("SELECT list_sort(list_distinct(list_concat(range(5, 9), range(7, 12), [20, 3])))[i]::INTEGER AS number FROM range(1, 10) r(i)")
+@_query("SELECT n_nationkey AS node, (n_nationkey // 2)::INTEGER AS number FROM nation WHERE n_nationkey // 2 IN (SELECT unnest(list_concat(range(5, 9), range(7, 12), [20, 3])))")
 def seed_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.range(1).select(F.explode(labels.expand_ranges([(5, 8), (7, 11)], [20, 3])).alias("number"))
+    """The nodes of all chains whose number is in the seeds' ranges or list; a nation stands for one of two chains and a number."""
+    seeds = spark.range(1).select(F.explode(labels.expand_ranges([(5, 8), (7, 11)], [20, 3])).alias("number"))
+    nodes = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("node"), F.floor(F.col("n_nationkey") / 2).cast("int").alias("number"))
+    return nodes.join(seeds, "number", "left_semi").select("node", "number")
 
 
 TOP = 150
@@ -138,12 +141,31 @@ def _distances(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
     return seqalign.distances(pairs, kind, _known(spark, sf_dir)).select("g", "i", "j", "distance")
 
 
-@_query()
+#: Pairs of the top paths with the distance of two labels as a macro of the text; a table is filled a row a step.
+_PAIRS_SQL = f"""{PATHS_SQL}, ranked AS (SELECT (path_id % 3)::INTEGER AS g, row_number() OVER (PARTITION BY path_id % 3 ORDER BY flow * len(nodes) * len(nodes) DESC, path_id)::INTEGER AS item, nodes FROM paths),
+  pairs AS (SELECT x.g, x.item AS i, y.item AS j, x.nodes AS a, y.nodes AS b FROM ranked x JOIN ranked y ON x.g = y.g AND x.item < y.item WHERE y.item <= {TOP})"""
+_APART = "(abs(instr('ABCD', a[r + 1][1]) - instr('ABCD', b[k][1])) * 4.0::DOUBLE + abs(a[r + 1][2:]::INTEGER - b[k][2:]::INTEGER) * 1.5::DOUBLE)"
+_STEP = f"CASE WHEN {_APART} < 5 THEN 2.0::DOUBLE WHEN {_APART} < 10 THEN 1.0::DOUBLE WHEN {_APART} < 15 THEN -1.0::DOUBLE ELSE -2.0::DOUBLE END"
+
+
+@_query(f"""WITH RECURSIVE {_PAIRS_SQL},
+  t(g, i, j, a, b, r, h, up, best) AS (
+    SELECT g, i, j, a, b, 0, list_transform(range(len(b) + 1), lambda k: 0.0::DOUBLE), list_transform(range(len(b) + 1), lambda k: -1e9::DOUBLE), 0.0::DOUBLE FROM pairs
+    UNION ALL SELECT g, i, j, a, b, r, line.h, up, greatest(best, list_max(line.h)) FROM (
+      SELECT g, i, j, a, b, r + 1 AS r, up2 AS up, best, list_reduce(list_prepend({{'h': [0.0::DOUBLE], 'l': -1e9::DOUBLE}}, list_transform(range(1, len(b) + 1), lambda k: {{'h': [greatest(h[k] + {_STEP}, up2[k + 1], 0.0::DOUBLE)], 'l': 0.0::DOUBLE}})),
+        lambda done, x: {{'h': list_append(done.h, greatest(x.h[1], done.h[len(done.h)] - 4, done.l - 1)), 'l': greatest(done.h[len(done.h)] - 4, done.l - 1)}}) AS line
+      FROM (SELECT *, list_transform(range(1, len(b) + 2), lambda k: CASE WHEN k = 1 THEN -1e9::DOUBLE ELSE greatest(h[k] - 4, up[k] - 1) END) AS up2 FROM t WHERE r < len(a))))
+  SELECT g, i, j, round(1 - least(1.0::DOUBLE, best / sqrt(4.0::DOUBLE * len(a) * len(b))), 6) AS distance FROM t WHERE r = len(a)""")
 def sw_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(_distances(spark, sf_dir, "local"))
 
 
-@_query()
+@_query(f"""WITH RECURSIVE {_PAIRS_SQL},
+  t(g, i, j, a, b, r, h) AS (
+    SELECT g, i, j, a, b, 0, list_transform(range(len(b) + 1), lambda k: -0.5::DOUBLE * k) FROM pairs
+    UNION ALL SELECT g, i, j, a, b, r + 1, list_reduce(list_prepend([-0.5::DOUBLE * (r + 1)], list_transform(range(1, len(b) + 1), lambda k: [greatest(h[k] + exp(-{_APART} / 8.0::DOUBLE), h[k + 1] - 0.5::DOUBLE)])),
+      lambda done, x: list_append(done, greatest(x[1], done[len(done)] - 0.5::DOUBLE))) FROM t WHERE r < len(a))
+  SELECT g, i, j, round(least(1.0::DOUBLE, greatest(0.0::DOUBLE, 1 - greatest(0.0::DOUBLE, h[len(b) + 1]) / greatest(len(a), len(b)))), 6) AS distance FROM t WHERE r = len(a)""")
 def nw_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(_distances(spark, sf_dir, "global"))
 
