@@ -172,7 +172,7 @@ COLUMNS = {
 }
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES))
+@pytest.mark.parametrize("name", sorted(COLUMNS))
 def test_query(spark, folder, name):
     path, docs, labels, vectors = folder
     df = QUERIES[name](spark, path)
