@@ -225,17 +225,20 @@ def consolidate(spark: SparkSession, sf_dir: str) -> DataFrame:
 _LENGTHS = f"""{NETWORK_SQL}, t AS (SELECT src, dst, weight / sum(weight) OVER (PARTITION BY src) AS t FROM network), g AS (SELECT src, dst, greatest(0.0::DOUBLE, -ln(t + 1e-10::DOUBLE)) AS length FROM t)"""
 
 
-@_query(f"""WITH RECURSIVE {_LENGTHS}, p(seed, node, nodes, length) AS (SELECT node, node, [node], 0.0::DOUBLE FROM (SELECT src AS node FROM g UNION SELECT dst FROM g) UNION ALL
+_KSHORT = f"""WITH RECURSIVE {_LENGTHS}, p(seed, node, nodes, length) AS (SELECT node, node, [node], 0.0::DOUBLE FROM (SELECT src AS node FROM g UNION SELECT dst FROM g) UNION ALL
   SELECT seed, dst, list_append(nodes, dst), total FROM (SELECT seed, dst, nodes, p.length + g.length AS total, row_number() OVER (PARTITION BY seed, dst ORDER BY p.length + g.length, nodes) AS turn FROM p JOIN g ON p.node = g.src) WHERE turn <= 5),
   f AS (SELECT seed, node AS target, nodes, length, row_number() OVER (PARTITION BY seed, node ORDER BY length, nodes) AS turn FROM p WHERE seed <> node),
   r AS (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY length, target, turn) - 1 AS place FROM f WHERE turn <= 5)
-  SELECT seed, target, round(length, 5) AS length, place::INTEGER AS rank FROM r WHERE place < 5""")
+  SELECT seed, target, round(length, 5) AS length, place::INTEGER AS rank FROM r WHERE place < 5"""
+
+
+@_query(_KSHORT)
 def kshort_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The k shortest paths of all seeds to all targets; the SQL goes by steps, as edges lead from smaller to larger nodes."""
     return kshort_network(spark, sf_dir)
 
 
-@_query()
+@_query(_KSHORT)
 def kshort_network(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same, held against all simple paths of a small graph in the tests."""
     e = network_of(spark, sf_dir)

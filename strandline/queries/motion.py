@@ -278,21 +278,46 @@ def violin_density(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(stats.kernel_density(series_of(spark, sf_dir), "condition", "value"), 6)
 
 
-@_query()
+def _axes_sql(source: str, keys: str) -> str:
+    """The first axis of the points of each key: the largest root of the covariance's polynomial, refined by Newton's steps, and the longest product of two rows less it."""
+    less = "(a - t)*((d - t)*(f - t) - e*e) - b*(b*(f - t) - c*e) + c*(b*e - c*(d - t))"
+    slope = "-((d - t)*(f - t) - e*e) - ((a - t)*(f - t) - c*c) - ((a - t)*(d - t) - b*b)"
+    cross = lambda u, v: f"[{u}[2]*{v}[3] - {u}[3]*{v}[2], {u}[3]*{v}[1] - {u}[1]*{v}[3], {u}[1]*{v}[2] - {u}[2]*{v}[1]]"
+    return f"""cov AS (SELECT {keys}, covar_pop(x, x) AS a, covar_pop(x, y) AS b, covar_pop(x, z) AS c, covar_pop(y, y) AS d, covar_pop(y, z) AS e, covar_pop(z, z) AS f FROM {source} GROUP BY ALL),
+  shifted AS (SELECT *, (a + d + f) / 3 AS q, sqrt(((a - (a + d + f) / 3)**2 + (d - (a + d + f) / 3)**2 + (f - (a + d + f) / 3)**2 + 2 * (b*b + c*c + e*e)) / 6) AS p FROM cov),
+  turned AS (SELECT *, least(1.0::DOUBLE, greatest(-1.0::DOUBLE, ((a - q)*((d - q)*(f - q) - e*e) - b*(b*(f - q) - c*e) + c*(b*e - c*(d - q))) / (2 * p*p*p))) AS r FROM shifted),
+  roots AS (SELECT *, list_reduce(list_prepend(q + 2 * p * cos(acos(r) / 3), [0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE]), lambda t, k: t - ({less}) / ({slope})) AS l FROM turned),
+  rows3 AS (SELECT *, [a - l, b, c] AS r1, [b, d - l, e] AS r2, [c, e, f - l] AS r3 FROM roots),
+  products AS (SELECT *, list_reverse_sort(list_transform([{cross('r1', 'r2')}, {cross('r1', 'r3')}, {cross('r2', 'r3')}], lambda v: {{'n': sqrt(v[1]*v[1] + v[2]*v[2] + v[3]*v[3]), 'v': v}}))[1] AS best FROM rows3),
+  axes AS (SELECT {keys}, best.v[1] / best.n AS ax, best.v[2] / best.n AS ay, best.v[3] / best.n AS az, l AS spread FROM products)"""
+
+
+@_query(f"WITH {FRAMES_SQL}, {_axes_sql('frames', 'system, frame')} SELECT system, frame, round(abs(ax), 5) AS ax, round(abs(ay), 5) AS ay, round(abs(az), 5) AS az, round(spread, 5) AS spread, round(ax*ax + ay*ay + az*az, 5) AS length FROM axes")
 def helix_axes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The size of each axis' components, as its sign is arbitrary, and that it is a unit vector."""
     a = dynamics.principal_axis(frames(spark, sf_dir), ["system", "frame"])
     return rounded(a.select("system", "frame", *[F.abs(c).alias(c) for c in ("ax", "ay", "az")], "spread", (F.col("ax") ** 2 + F.col("ay") ** 2 + F.col("az") ** 2).alias("length")), 5)
 
 
-@_query()
+@_query(f"""WITH {FRAMES_SQL}, named AS (SELECT *, CASE WHEN atom <= 10 THEN 'first' ELSE 'second' END AS axis FROM frames), {_axes_sql('named', 'system, frame, axis')},
+  t AS (SELECT u.system, u.frame, degrees(acos(least(1.0::DOUBLE, abs(u.ax*v.ax + u.ay*v.ay + u.az*v.az)))) AS angle FROM axes u JOIN axes v ON u.system = v.system AND u.frame = v.frame AND u.axis = 'first' AND v.axis = 'second')
+  SELECT system, frame, round(angle, 4) AS angle, round(CASE WHEN count(*) OVER w = 5 THEN avg(angle) OVER w END, 4) AS smooth FROM t WINDOW w AS (PARTITION BY system ORDER BY frame ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING)""")
 def interhelix_angle(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = frames(spark, sf_dir).withColumn("axis", F.when(F.col("atom") <= 10, "first").otherwise("second"))
     axes = dynamics.principal_axis(f, ["system", "frame", "axis"])
     return rounded(studies.angle_series(axes, ["system"], "first", "second", "frame"), 4)
 
 
-@_query()
+#: The least distance over all turns by the largest root of a quartic in the products' invariants, which needs no turn.
+_FIT = """m AS (SELECT atom, avg(x) AS x, avg(y) AS y, avg(z) AS z FROM frames WHERE system = 0 GROUP BY 1),
+  s AS (SELECT a.system, a.frame, avg((a.x - m.x)**2 + (a.y - m.y)**2 + (a.z - m.z)**2) AS before, var_pop(a.x) + var_pop(a.y) + var_pop(a.z) + var_pop(m.x) + var_pop(m.y) + var_pop(m.z) AS g,
+    [covar_pop(a.x, m.x), covar_pop(a.x, m.y), covar_pop(a.x, m.z), covar_pop(a.y, m.x), covar_pop(a.y, m.y), covar_pop(a.y, m.z), covar_pop(a.z, m.x), covar_pop(a.z, m.y), covar_pop(a.z, m.z)] AS h FROM frames a JOIN m USING (atom) GROUP BY 1, 2),
+  i AS (SELECT *, list_sum(list_transform(h, lambda v: v*v)) AS two, h[1]*(h[5]*h[9] - h[6]*h[8]) - h[2]*(h[4]*h[9] - h[6]*h[7]) + h[3]*(h[4]*h[8] - h[5]*h[7]) AS det,
+    list_sum(list_transform([h[1]*h[1] + h[4]*h[4] + h[7]*h[7], h[2]*h[2] + h[5]*h[5] + h[8]*h[8], h[3]*h[3] + h[6]*h[6] + h[9]*h[9]], lambda v: v*v)) + 2 * ((h[1]*h[2] + h[4]*h[5] + h[7]*h[8])**2 + (h[1]*h[3] + h[4]*h[6] + h[7]*h[9])**2 + (h[2]*h[3] + h[5]*h[6] + h[8]*h[9])**2) AS four FROM s),
+  l AS (SELECT *, list_reduce(list_prepend(g / 2, list_transform(range(60), lambda k: 0.0::DOUBLE)), lambda t, k: t - (t**4 - 2*two*t*t - 8*det*t + 2*four - two*two) / (4*t**3 - 4*two*t - 8*det)) AS top FROM i)"""
+
+
+@_query(f"WITH {FRAMES_SQL}, {_FIT} SELECT system, frame, round(sqrt(before), 5) AS before, round(sqrt(greatest(0.0::DOUBLE, g - 2*top)), 5) AS after FROM l")
 def superpose_rmsd(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Root mean square distance to the mean of system 0 before and after superposition; after is never more."""
     f = frames(spark, sf_dir)

@@ -224,6 +224,7 @@ def cluster_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(p.withColumn("seeds", F.concat_ws(",", "seeds")), 5)
 
 
-@_query()
+@_query(f"""WITH {PATHS_SQL}, ranked AS (SELECT (path_id % 3)::INTEGER AS g, row_number() OVER (PARTITION BY path_id % 3 ORDER BY flow * len(nodes) * len(nodes) DESC, path_id)::INTEGER AS item, nodes FROM paths)
+  SELECT g, item, 0 AS part, '>' || g || '|' || item AS line FROM ranked WHERE item <= {TOP} UNION ALL SELECT g, item, 1, array_to_string(nodes, '-') FROM ranked WHERE item <= {TOP}""")
 def cluster_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.cluster_listing(_top(spark, sf_dir), "g", "item", "nodes")
