@@ -170,7 +170,24 @@ def nw_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(_distances(spark, sf_dir, "global"))
 
 
-@_query()
+_AT = {m: f"{m}[x + 1][y + 1]" for m in ("h", "u", "l")}
+
+
+@_query(f"""WITH RECURSIVE {_PAIRS_SQL},
+  t(g, i, j, a, b, r, h, u, l) AS (
+    SELECT g, i, j, a, b, 0, [list_transform(range(len(b) + 1), lambda k: 0.0::DOUBLE)], [list_transform(range(len(b) + 1), lambda k: -1e9::DOUBLE)], [list_transform(range(len(b) + 1), lambda k: -1e9::DOUBLE)] FROM pairs
+    UNION ALL SELECT g, i, j, a, b, r, list_append(h, line.h), list_append(u, up), list_append(l, line.l) FROM (
+      SELECT g, i, j, a, b, r + 1 AS r, h, u, l, up, list_reduce(list_prepend({{'h': [0.0::DOUBLE], 'l': [-1e9::DOUBLE]}}, list_transform(range(1, len(b) + 1), lambda k: {{'h': [greatest(h[r + 1][k] + {_STEP}, up[k + 1], 0.0::DOUBLE)], 'l': [0.0::DOUBLE]}})),
+        lambda done, x: {{'h': list_append(done.h, greatest(x.h[1], done.h[len(done.h)] - 4, done.l[len(done.l)] - 1)), 'l': list_append(done.l, greatest(done.h[len(done.h)] - 4, done.l[len(done.l)] - 1))}}) AS line
+      FROM (SELECT *, list_transform(range(1, len(b) + 2), lambda k: CASE WHEN k = 1 THEN -1e9::DOUBLE ELSE greatest(h[r + 1][k] - 4, u[r + 1][k] - 1) END) AS up FROM t WHERE r < len(a)))),
+  tops AS (SELECT *, list_transform(h, lambda v: list_max(v)) AS tops FROM t WHERE r = len(a)),
+  w(g, i, j, a, b, h, u, l, x, y, state, n, "left", "right") AS (
+    SELECT g, i, j, a, b, h, u, l, list_position(tops, list_max(tops)) - 1, list_position(h[list_position(tops, list_max(tops))], list_max(tops)) - 1, 'h', 0, ''::VARCHAR, ''::VARCHAR FROM tops WHERE list_max(tops) > 0
+    UNION ALL SELECT g, i, j, a, b, h, u, l, CASE WHEN move = 'l' THEN x ELSE x - 1 END, CASE WHEN move = 'u' THEN y ELSE y - 1 END,
+      CASE WHEN move = 'u' AND {_AT['u']} <> h[x][y + 1] - 4 THEN 'u' WHEN move = 'l' AND {_AT['l']} <> h[x + 1][y] - 4 THEN 'l' ELSE 'h' END, n + 1, CASE WHEN move = 'l' THEN '-' ELSE a[x] END, CASE WHEN move = 'u' THEN '-' ELSE b[y] END
+    FROM (SELECT *, CASE WHEN state <> 'h' THEN state WHEN {_AT['h']} <= 0 THEN 'stop' WHEN {_AT['h']} = h[x][y] + {_STEP.replace("a[r + 1]", "a[x]").replace("b[k]", "b[y]")} THEN 'm' WHEN {_AT['h']} = {_AT['u']} THEN 'u' ELSE 'l' END AS move FROM w WHERE x > 0 AND y > 0)
+    WHERE move <> 'stop')
+  SELECT g, i, j, (row_number() OVER (PARTITION BY g, i, j ORDER BY n DESC) - 1)::INTEGER AS pos, "left", "right" FROM w WHERE n > 0""")
 def sw_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = seqalign.all_pairs(_top(spark, sf_dir), ["g"], "item").repartition("g", "i", "j")
     return seqalign.aligned_columns(pairs, "local", _known(spark, sf_dir))
