@@ -137,16 +137,12 @@ class FlowNet:
 
 
 def by_graph(edges: DataFrame, asked: DataFrame, keys: list[str], order: list[str], per_task: int, solve: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
-    """``solve(a graph's edges, rows that ask of it)`` for each key: its rows are dealt by a hash of ``order`` to tasks of about ``per_task``, each of which gets the graph once."""
+    """``solve(a graph's edges, rows that ask of it)`` for each key: its rows are dealt by a hash of ``order`` to tasks, of about ``per_task`` rows of the largest key, each of which gets the graph once."""
     graph, rows = (df.select(*[(F.col(c)).alias(f"_{n}") for n, c in enumerate(df.columns)]).toDF(*df.columns) for df in (edges, asked))  # new columns, should one come of the other
-    sizes = rows.groupBy(*keys).agg(F.greatest(F.lit(1), F.ceil(F.count("*") / F.lit(per_task))).cast("int").alias("_chunks"))
-    if keys:
-        rows, graph = rows.join(sizes, keys), graph.join(sizes, keys)
-    else:
-        many = F.lit(sizes.first()[0])
-        rows, graph = rows.withColumn("_chunks", many), graph.withColumn("_chunks", many)
-    rows = rows.withColumn("_chunk", F.pmod(F.xxhash64(*order), F.col("_chunks")).cast("int")).drop("_chunks")
-    graph = graph.withColumn("_chunk", F.explode(F.sequence(F.lit(0), F.col("_chunks") - 1))).drop("_chunks")
+    most = rows.groupBy(*keys).count().agg(F.max("count")).first()[0] if keys else rows.count()
+    chunks = max(1, -(-(most or 0) // per_task))
+    rows = rows.withColumn("_chunk", F.pmod(F.xxhash64(*order), F.lit(chunks)).cast("int"))
+    graph = graph.withColumn("_chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
 
     def run(g: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
         return solve(g, q.sort_values(order))
