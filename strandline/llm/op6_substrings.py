@@ -21,7 +21,9 @@ TRIGGER = 256
 #: Bytes of text that a dictionary is made of.
 CHUNK = 32 << 20
 #: Bytes of the seed that says where a window is compared.
-SEED = 8
+SEED = 12
+#: Windows of a bucket that are compared at a time; a bucket with more goes in rounds by their hashes.
+ROUND = 4 << 20
 #: Bytes of text in one bucket, on average; there are 16 buckets a partition at least.
 BUCKET_BYTES = 4 << 20
 
@@ -51,7 +53,9 @@ def seed_places(sums: np.ndarray, length: int = LENGTH, seed: int = SEED) -> np.
 
 def runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of the runs of true values."""
-    edge = np.diff(np.concatenate([[0], flags.view(np.int8), [0]]))
+    edge = np.zeros(len(flags) + 2, np.int8)  # a byte a flag: a list beside them would make it eight
+    edge[1:-1] = flags
+    edge = np.diff(edge)
     return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
 
 
@@ -163,12 +167,11 @@ def suffix_classes(body: np.ndarray, at: np.ndarray, length: int = LENGTH) -> tu
 
     The order is lexicographic, by big-endian words of eight bytes.
     """
-    padded = np.concatenate([body, np.zeros(8, np.uint8)])
     keys = []
     for k in range(0, length, 8):
         word = np.zeros(len(at), np.uint64)
         for c in range(8):
-            byte = padded[at + k + c] if k + c < length else np.uint8(0)
+            byte = body[at + k + c] if k + c < length else np.uint8(0)
             word = (word << np.uint64(8)) | byte
         keys.append(word)
     order = np.lexsort(keys[::-1])
@@ -178,9 +181,22 @@ def suffix_classes(body: np.ndarray, at: np.ndarray, length: int = LENGTH) -> tu
     return at[order], np.cumsum(new)
 
 
+def piece_blocks(size: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Ranges of pieces of about a megabyte, so that what is made of their bytes is never as large as a bucket."""
+    return blocks(np.concatenate([[0], np.cumsum(size)]))
+
+
+def within(begin: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """``begin[k], begin[k] + 1, ...``, ``n[k]`` of them, one range after the other."""
+    return np.repeat(begin - np.cumsum(n) + n, n) + np.arange(n.sum())
+
+
 def dictionary(body: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
     """For each piece of ``body`` the first piece that has the same bytes: the dictionary, and the parse as numbers into it."""
-    content = span_hashes(prefix_sums(body), first, first + size)
+    content = np.empty(len(first), np.uint64)
+    for i, j in piece_blocks(size):
+        at = first[i:j] - first[i]
+        content[i:j] = span_hashes(prefix_sums(body[first[i] : first[j - 1] + size[j - 1]]), at, at + size[i:j])
     order = np.lexsort((size, content))
     new = np.ones(len(order), bool)
     new[1:] = (content[order][1:] != content[order][:-1]) | (size[order][1:] != size[order][:-1])
@@ -188,17 +204,48 @@ def dictionary(body: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndar
     # lexsort is stable, so the head of a run is its first piece
     entry[order] = order[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]
     again = np.flatnonzero(entry != np.arange(len(entry)))
-    if len(again):
-        n = size[again]
-        begin = np.cumsum(n) - n
-        step = np.arange(n.sum()) - np.repeat(begin, n)
-        same = body[np.repeat(first[again], n) + step] == body[np.repeat(first[entry[again]], n) + step]
-        other = again[~np.logical_and.reduceat(same, begin)]
+    for i, j in piece_blocks(size[again]):
+        own = again[i:j]
+        n = size[own]
+        same = body[within(first[own], n)] == body[within(first[entry[own]], n)]
+        other = own[~np.logical_and.reduceat(same, np.cumsum(n) - n)]
         entry[other] = other  # of equal hash only; entries of its own
     return entry
 
 
-def repeated_windows(doc: np.ndarray, tag: np.ndarray, start: np.ndarray, size: np.ndarray, body: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def recurring_windows(body: np.ndarray, first: np.ndarray, size: np.ndarray, length: int, most: int) -> Iterator[np.ndarray]:
+    """Where the windows of the given pieces stand whose 64-bit hash isn't alone, those of equal hash in one array.
+
+    More than ``most`` windows go in rounds by the low bits of their hashes, and a round's result in
+    parts of about as many rows, so memory besides the pieces is bounded.
+    """
+    many = size - length + 1
+    before = np.cumsum(many) - many
+    hashes = np.empty(int(many.sum()), np.uint64)
+    for i, j in piece_blocks(size):
+        text = body[within(first[i:j], size[i:j])]
+        hashes[before[i] : before[j - 1] + many[j - 1]] = window_hashes(prefix_sums(text), length)[within(np.cumsum(size[i:j]) - size[i:j], many[i:j])]
+    rounds = -(-len(hashes) // most)
+    for turn in range(rounds):
+        at = np.flatnonzero(hashes % np.uint64(rounds) == turn) if rounds > 1 else np.arange(len(hashes))
+        h = hashes[at]
+        order = np.argsort(h)
+        at, h = at[order], h[order]
+        del order
+        same = np.zeros(len(h) + 1, bool)
+        same[1:-1] = h[1:] == h[:-1]
+        chosen = same[:-1] | same[1:]
+        at, new = at[chosen], ~same[:-1][chosen]
+        piece = np.searchsorted(before, at, side="right") - 1
+        at = first[piece] + at - before[piece]
+        heads = np.flatnonzero(new)
+        ends = np.append(heads[1:], len(at))
+        # classes of equal hash are never cut
+        for i, j in blocks(np.concatenate([[0], ends]), max(1, most // 8)) if len(heads) else ():
+            yield at[heads[i] : ends[j - 1]]
+
+
+def repeated_windows(doc: np.ndarray, tag: np.ndarray, start: np.ndarray, size: np.ndarray, body: np.ndarray, length: int = LENGTH, most: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """``(id, tag, start, end)`` of runs of windows that also stand in a document with a smaller id.
 
     ``body`` has the pieces one after the other. Equal pieces are one entry of the dictionary, with the
@@ -206,24 +253,19 @@ def repeated_windows(doc: np.ndarray, tag: np.ndarray, start: np.ndarray, size:
     alone can't be repeated; the dictionary's suffix order is made of the others, equal neighbours in it
     are a class, and a class has the least id of its entries. The parse takes that back to the
     documents: all of an entry is repeated where it stands in a later document than its first, and
-    there a window is repeated if the least id of its class is smaller.
+    there a window is repeated if the least id of its class is smaller. Windows are taken in rounds of
+    about ``most`` (see ``recurring_windows``).
     """
+    most = most or ROUND
     first = np.cumsum(size) - size
     entry = dictionary(body, first, size)
     low = np.full(len(doc), np.iinfo(np.int64).max)
     np.minimum.at(low, entry, doc)
     whole = doc > low[entry]
     owner = np.flatnonzero(entry == np.arange(len(entry)))
-    each = size[owner] - length + 1
-    at = np.repeat(first[owner] - np.cumsum(each) + each, each) + np.arange(each.sum())
-    h = window_hashes(prefix_sums(body), length)[at]
-    order = np.argsort(h)
-    same = np.zeros(len(h) + 1, bool)
-    same[1:-1] = h[order][1:] == h[order][:-1]
-    chosen = order[same[:-1] | same[1:]]
     flags = np.zeros(len(body), bool)
-    if len(chosen):
-        sorted_at, group = suffix_classes(body, at[chosen], length)
+    for at in recurring_windows(body, first[owner], size[owner], length, most):
+        sorted_at, group = suffix_classes(body, at, length)
         ids = low[np.searchsorted(first, sorted_at, side="right") - 1]
         heads = np.concatenate([[0], np.flatnonzero(np.diff(group)) + 1])
         least = np.minimum.reduceat(ids, heads)[group]
@@ -238,7 +280,7 @@ def repeated_windows(doc: np.ndarray, tag: np.ndarray, start: np.ndarray, size:
     begin, end = np.searchsorted(entry[places], of, "left"), np.searchsorted(entry[places], of, "right")
     n = end - begin
     k = np.repeat(np.arange(len(of)), n)
-    there = places[np.repeat(begin - np.cumsum(n) + n, n) + np.arange(n.sum())]
+    there = places[within(begin, n)]
     found.append((doc[there], tag[there], start[there] + (a - first[of])[k], start[there] + (b - first[of])[k]))
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 

@@ -251,6 +251,32 @@ def test_repeated_windows_by_dictionary_and_parse():
         assert Counter((int(i), k) for _, i, a, b in zip(*got, strict=True) for k in range(int(a), int(b))) == want
 
 
+def test_windows_of_a_large_bucket_in_rounds():
+    """Memory beside a bucket of 16 MB stays a small multiple of it, and rounds don't change the result."""
+    import tracemalloc
+
+    from strandline.llm import op6_substrings
+
+    rng = np.random.default_rng(1)
+    n = (16 << 20) // 71
+    body = rng.integers(97, 123, (n, 71), dtype=np.uint8)
+    body[n // 2 : n // 2 + n // 4, 10:] = body[: n // 4, 10:]
+    doc, zero, size, body = np.arange(n), np.zeros(n, np.int64), np.full(n, 71), body.reshape(-1)
+    tracemalloc.start()
+    whole = op6_substrings.repeated_windows(doc, zero, zero, size, body)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 20 * len(body)
+    assert len(whole[0]) == n // 4 and set(whole[3].tolist()) == {22} and whole[2].max() == 10  # a letter before it agrees by chance
+    small = 71 * 2000
+    pick = np.concatenate([np.arange(1000), np.arange(n // 2, n // 2 + 1000)])
+    part = body.reshape(n, 71)[pick].reshape(-1)
+    args = (doc[pick], zero[:2000], zero[:2000], size[:2000], part)
+    assert len(part) == small
+    for a, b in zip(op6_substrings.repeated_windows(*args), op6_substrings.repeated_windows(*args, most=700), strict=True):
+        assert a.tolist() == b.tolist()
+
+
 def test_empty_tables_and_repeated_rows(spark):
     from strandline.llm import op6_substrings, op8_packing, op9_mixing
 
