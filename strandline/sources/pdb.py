@@ -7,6 +7,30 @@ from pyspark.sql import functions as F
 
 from .lines import numbered_lines
 
+
+def wide_number(number: Column, width: int) -> Column:
+    """A number in ``width`` columns: decimal as long as it fits, then hybrid-36 as other programs write it.
+
+    Numbers from ``10 ** width`` count on in base 36 from ``A000...``, then from ``a000...``; five columns hold 87,440,031 and four
+    2,436,111. Null is blank. An error names a number that no form holds, as a longer field would shift all columns after it.
+    """
+    n = number.cast("long")
+    block = 26 * 36 ** (width - 1)
+    over = n - F.lit(10**width)
+    coded = F.conv((F.pmod(over, F.lit(block)) + F.lit(10 * 36 ** (width - 1))).cast("string"), 10, 36)
+    text = F.when((n < 10**width) & (n > -(10 ** (width - 1))), F.lpad(n.cast("string"), width, " ")).when((over >= 0) & (over < block), coded).when((over >= 0) & (over < 2 * block), F.lower(coded))
+    wrong = F.raise_error(F.concat(F.lit(f"a field of {width} columns doesn't hold "), n.cast("string"))).cast("string")
+    return F.when(n.isNull(), F.lit(" " * width)).otherwise(F.coalesce(text, wrong))
+
+
+def read_number(text: Column, width: int) -> Column:
+    """The number that ``wide_number`` or a plain writer wrote in ``width`` columns; null where it is none."""
+    t = F.trim(text)
+    coded = t.rlike(f"^([A-Z][0-9A-Z]{{{width - 1}}}|[a-z][0-9a-z]{{{width - 1}}})$")
+    place = F.conv(F.upper(t), 36, 10).cast("long") + F.when(t >= "a", F.lit(26 * 36 ** (width - 1))).otherwise(F.lit(0))
+    return F.when(coded, (place + F.lit(10**width - 10 * 36 ** (width - 1))).cast("int")).otherwise(t.try_cast("int"))
+
+
 # The columns of an atom line, from 1, both ends included.
 FIELDS = (
     ("record", 1, 6, "string"), ("serial", 7, 11, "int"), ("name", 13, 16, "string"), ("altloc", 17, 17, "string"), ("resname", 18, 20, "string"), ("chain", 22, 22, "string"),
@@ -19,7 +43,8 @@ def atom_fields(line: Column) -> list[Column]:
     for name, a, b, kind in FIELDS:
         text = F.substring(line, a, b - a + 1)
         text = text if name == "altloc" else F.trim(text)
-        out.append((text if kind == "string" else text.try_cast(kind)).alias(name))
+        value = text if kind == "string" else read_number(text, b - a + 1) if kind == "int" else text.try_cast(kind)
+        out.append(value.alias(name))
     return out
 
 
@@ -58,7 +83,7 @@ def representative(atom_rows: DataFrame, keys: list[str], chains: str | None = "
 def with_values(lines: DataFrame, field: DataFrame, chains: str = "ABCD", default: float = 0.0, line: str = "line", on: list[str] | None = None) -> DataFrame:
     """Lines whose columns 61-66 hold the residue's value, by the keys ``on`` besides if given: atoms of ``chains`` without one have ``default``, hetero atoms 0; other lines stay."""
     kind = F.trim(F.substring(line, 1, 6))
-    chain, resno = F.substring(line, 22, 1), F.trim(F.substring(line, 23, 4)).try_cast("int")
+    chain, resno = F.substring(line, 22, 1), read_number(F.substring(line, 23, 4), 4)
     keyed = lines.withColumn("_chain", F.when(kind == "ATOM", chain)).withColumn("_resno", resno)
     on = on or []
     joined = keyed.join(field.select(*on, F.col("chain").alias("_chain"), F.col("resno").alias("_resno"), F.col("value").alias("_value")), [*on, "_chain", "_resno"], "left")
@@ -69,7 +94,7 @@ def with_values(lines: DataFrame, field: DataFrame, chains: str = "ABCD", defaul
 
 
 def atom_line(serial: Column, name: Column, resname: Column, chain: Column, resno: Column, x: Column, y: Column, z: Column, occ: Column, b: Column) -> Column:
-    return F.format_string("ATOM  %5d  %-3s %3s %1s%4d    %8.3f%8.3f%8.3f%6.2f%6.2f", serial, name, resname, chain, resno, x, y, z, occ, b)
+    return F.format_string("ATOM  %s  %-3s %3s %1s%s    %8.3f%8.3f%8.3f%6.2f%6.2f", wide_number(serial, 5), name, resname, chain, wide_number(resno, 4), x, y, z, occ, b)
 
 
 def strand_bonds(backbone: DataFrame, file: str) -> DataFrame:
@@ -105,10 +130,10 @@ def strand_lines(backbone: DataFrame, file: str) -> DataFrame:
     placed = backbone.join(ends.select(file, "chain", "base"), [file, "chain"])
     serial = F.col("base") + F.col("residue") * 4 + rank - 4
     atom = placed.select(F.col(file).alias("file"), F.lit(3).alias("section"), F.concat_ws(":", "chain", F.lpad(serial.cast("string"), 9, "0")).alias("seq"), atom_line(serial.cast("int"), F.col("name"), F.lit("GLY"), F.col("chain"), F.col("residue"), F.col("x"), F.col("y"), F.col("z"), F.lit(1.0), F.lit(0.0)).alias("line"))
-    ter = ends.select(F.col(file).alias("file"), F.lit(3).alias("section"), F.concat("chain", F.lit(":999999999")).alias("seq"), F.format_string("TER   %5d      GLY %1s%4d", (F.col("base") + F.col("n") * 4 + 1).cast("int"), F.col("chain"), F.col("n")).alias("line"))
-    sheet = ends.select(F.col(file).alias("file"), F.lit(2).alias("section"), F.col("chain").alias("seq"), F.format_string("SHEET    1   %1s 1 GLY %1s%4d  GLY %1s%4d  0", F.col("chain"), F.col("chain"), F.lit(1), F.col("chain"), F.col("n")).alias("line"))
+    ter = ends.select(F.col(file).alias("file"), F.lit(3).alias("section"), F.concat("chain", F.lit(":999999999")).alias("seq"), F.format_string("TER   %s      GLY %1s%s", wide_number(F.col("base") + F.col("n") * 4 + 1, 5), F.col("chain"), wide_number(F.col("n"), 4)).alias("line"))
+    sheet = ends.select(F.col(file).alias("file"), F.lit(2).alias("section"), F.col("chain").alias("seq"), F.format_string("SHEET    1   %1s 1 GLY %1s%4d  GLY %1s%s  0", F.col("chain"), F.col("chain"), F.lit(1), F.col("chain"), wide_number(F.col("n"), 4)).alias("line"))
     tied = strand_bonds(backbone, file).join(ends.select(file, "chain", "base"), [file, "chain"])
-    ties = F.format_string("CONECT%5d%5d", *[(F.col("base") + F.col(c)).cast("int") for c in ("serial", "other")])
+    ties = F.concat(F.lit("CONECT"), *[wide_number(F.col("base") + F.col(c), 5) for c in ("serial", "other")])
     bonds = tied.select(F.col(file).alias("file"), F.lit(4).alias("section"), F.concat_ws(":", "chain", F.lpad(F.col("residue").cast("string"), 9, "0"), F.col("at").cast("string")).alias("seq"), ties.alias("line"))
     files = backbone.select(F.col(file).alias("file")).distinct()
     head = files.select("file", F.lit(1).alias("section"), F.lit("").alias("seq"), F.lit("REMARK   1 PATHS AS STRANDS").alias("line"))

@@ -2,6 +2,8 @@
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from strandline.sources import lines, pdb, tables
 
 
@@ -71,3 +73,21 @@ def test_no_bond_over_a_gap(spark):
     rows = [("f", "A", r, n) for r in (1, 2, 4) for n in ("N", "CA", "C", "O") if (r, n) != (2, "O")]
     got = sorted((x.serial, x.other) for x in pdb.strand_bonds(spark.createDataFrame(rows, "file string, chain string, residue int, name string"), "file").collect())
     assert got == [(1, 2), (2, 3), (3, 4), (3, 5), (5, 6), (6, 7), (13, 14), (14, 15), (15, 16)]
+
+
+def test_numbers_wider_than_their_columns(spark):
+    """Serials from 100,000 and residues from 10,000 are hybrid-36, so no column shifts, and are read as they were."""
+    serials = [None, 1, 99_999, 100_000, 1_199_999, 100_000 + 26 * 36**4 - 1, 100_000 + 26 * 36**4, 87_440_031]
+    residues = [-999, 0, 9_999, 10_000, 10_000 + 26 * 36**3 - 1, 10_000 + 26 * 36**3, 2_436_111, 7]
+    rows = spark.createDataFrame(list(zip(range(8), serials, residues, strict=True)), "line_no long, s int, r int")
+    line = pdb.atom_line(F.col("s"), F.lit("CA"), F.lit("ALA"), F.lit("B"), F.col("r"), F.lit(1.5), F.lit(-2.0), F.lit(3.25), F.lit(1.0), F.lit(0.0))
+    lines = rows.select("line_no", line.alias("line"))
+    got = pdb.atoms(lines).orderBy("line_no").collect()
+    assert {len(x.line) for x in got} == {66}
+    assert [(x.serial, x.resno, x.chain, x.x, x.z) for x in got] == [(s, r, "B", 1.5, 3.25) for s, r in zip(serials, residues, strict=True)]
+    assert [x.line[6:11] for x in got] == ["     ", "    1", "99999", "A0000", got[4].line[6:11], "ZZZZZ", "a0000", "zzzzz"]
+    values = pdb.with_values(lines, rows.select(F.lit("B").alias("chain"), F.col("r").alias("resno"), F.col("line_no").cast("double").alias("value")))
+    assert [x.line[60:66] for x in values.orderBy("line_no").collect()] == [f"{k:6.2f}" for k in range(8)]
+    for wrong in (87_440_032, -10_000):
+        with pytest.raises(Exception, match="5 columns"):
+            spark.range(1).select(pdb.wide_number(F.lit(wrong), 5)).collect()
