@@ -49,6 +49,11 @@ def xyz(row: Column) -> list[Column]:
     return [row["x"], row["y"], row["z"]]
 
 
+def once(value: Column, use) -> Column:
+    """``use(value)``, where the value is made once a row however often it is used."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def mid_vector_angle(points: Column | str) -> Column:
     """180 degrees less the angle between the first and the second half of an ordered array of ``x, y, z``; null under 4 points.
 
@@ -69,13 +74,13 @@ def triangle_angle(points: Column | str, least: float = 1e-8) -> Column:
     p = _col(points)
     first, last = xyz(F.element_at(p, 1)), xyz(F.element_at(p, -1))
     axis = minus(last, first)
-    size = norm(axis)
 
-    def away(q: Column) -> Column:
+    def away(q: Column, size: Column) -> Column:
         d = minus(xyz(q), first)
         along = dot(d, axis) / size
         return F.sqrt(F.greatest(F.lit(0.0), dot(d, d) - along * along))
 
-    far = F.transform(p, away)
-    corner = xyz(F.element_at(p, F.array_position(far, F.array_max(far)).cast("int")))
-    return F.when((F.size(p) >= 3) & (size > least), F.lit(180.0) - full_angle(minus(first, corner), minus(last, corner)))
+    far = once(norm(axis), lambda size: F.transform(p, lambda q: away(q, size)))
+    corner = once(far, lambda f: F.element_at(p, F.array_position(f, F.array_max(f)).cast("int")))
+    angle = once(corner, lambda c: full_angle(minus(first, xyz(c)), minus(last, xyz(c))))
+    return F.when((F.size(p) >= 3) & (norm(axis) > least), F.lit(180.0) - angle)

@@ -22,6 +22,15 @@ def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select(F.col("label").alias("system"), F.col("vec_id").alias("frame"), "embedding", F.explode(F.sequence(F.lit(1), F.lit(21))).alias("atom")).select("system", "frame", "atom", at(2).alias("x"), at(1).alias("y"), at(0).alias("z"))
 
 
+def frame_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(system, frame, points)``: the points of ``frames`` in the order of atoms; a frame's are shuffled as one row."""
+    e = table(spark, sf_dir, "embeddings")
+    at = lambda k, j: F.element_at("embedding", (F.lit(3) * k - j).cast("int")).cast("double")
+    point = lambda k: F.struct(k.alias("atom"), at(k, 2).alias("x"), at(k, 1).alias("y"), at(k, 0).alias("z"))
+    own = e.select(F.col("label").alias("system"), F.col("vec_id").alias("frame"), F.transform(F.sequence(F.lit(1), F.lit(21)), point).alias("own"))
+    return own.groupBy("system", "frame").agg(F.array_sort(F.flatten(F.collect_list("own"))).alias("points"))
+
+
 FRAMES_SQL = """frames AS (
   SELECT label AS system, vec_id AS frame, a.atom::INTEGER AS atom,
     embedding[3 * a.atom - 2]::DOUBLE AS x, embedding[3 * a.atom - 1]::DOUBLE AS y, embedding[3 * a.atom]::DOUBLE AS z

@@ -9,7 +9,7 @@ from ..functions.geometry import acute_angle, full_angle, mid_vector_angle, tria
 from ..functions.labels import shift_chain
 from ..operators import build3d, dynamics, matrix, series, stats
 from ..plans import studies
-from ..proxies import FRAMES_SQL, SERIES_SQL, frames, table
+from ..proxies import FRAMES_SQL, SERIES_SQL, frame_points, frames, table
 from ..proxies import series as series_of
 from .common import registry, rounded
 from .graphs import keep
@@ -170,7 +170,7 @@ def local_bend(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _ordered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return frames(spark, sf_dir).groupBy("system", "frame").agg(F.array_sort(F.collect_list(F.struct("atom", "x", "y", "z"))).alias("points"))
+    return frame_points(spark, sf_dir)
 
 
 _ENDS = """p AS (SELECT system, frame, {cols} FROM frames GROUP BY 1, 2)"""
