@@ -314,6 +314,36 @@ def medoids(distance_rows: DataFrame, labels: DataFrame, keys: list[str]) -> Dat
     b = labels.select(*keys, F.col("item").alias("j"), F.col("cluster").alias("_c"))
     inside = both.join(a, [*keys, "i"]).join(b, [*keys, "j"]).where("cluster = _c").groupBy(*keys, "cluster", "i").agg(F.avg("distance").alias("mean_distance"))
     every = a.join(inside, [*keys, "cluster", "i"], "left").withColumn("mean_distance", F.coalesce("mean_distance", F.lit(0.0)))
-    w = Window.partitionBy(*keys, "cluster").orderBy("mean_distance", "i")
-    return every.withColumn("_turn", F.row_number().over(w)).where("_turn = 1").select(*keys, "cluster", F.col("i").alias("item"), "mean_distance")
+    best = every.groupBy(*keys, "cluster").agg(F.min(F.struct("mean_distance", "i")).alias("_b"))
+    return best.select(*keys, "cluster", F.col("_b.i").alias("item"), F.col("_b.mean_distance").alias("mean_distance"))
+
+
+#: Ranges of values that a cluster is dealt into where its medoid is found by prefix sums.
+RANGES = 1024
+
+
+def line_medoids(values: DataFrame, digits: int = 6) -> DataFrame:
+    """``(cluster, item, mean_distance)`` as of ``medoids`` for items on a line, by prefix sums instead of pairs.
+
+    ``values`` is ``(cluster, item, value)`` with whole numbers and items that are all different; an item's distance to another is
+    the difference of their values. Means are rounded to ``digits`` before they are compared, ties go to the smaller item. An item
+    without a value, or without others that have one, has the mean 0. Equal values are one row; a cluster's rows are dealt
+    into at most ``RANGES + 1`` ranges by quantiles, so only a row a range meets in one task.
+    """
+    same = values.groupBy("cluster", "value").agg(F.count("*").alias("n"), F.min("item").alias("item"))
+    lone = same.where("value is null").select("cluster", "item", F.lit(0.0).alias("mean_distance"))
+    rows = same.where("value is not null")
+    cuts = rows.groupBy(F.col("cluster").alias("_c")).agg(F.percentile_approx("value", [k / RANGES for k in range(1, RANGES)], 100 * RANGES).alias("cuts"))
+    dealt = rows.join(F.broadcast(cuts), F.col("cluster").eqNullSafe(F.col("_c"))).withColumn("range", F.size(F.filter("cuts", lambda c: c < F.col("value")))).drop("cuts", "_c")
+    sums = dealt.groupBy(F.col("cluster").alias("_c"), F.col("range").alias("_r")).agg(F.sum("n").alias("rn"), F.sum(F.col("n") * F.col("value")).alias("rs"))
+    over = Window.partitionBy("_c")
+    before = over.orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select("_c", "_r", *[F.coalesce(F.sum(a).over(before), F.lit(0)).alias(b) for a, b in (("rn", "n0"), ("rs", "s0"))], F.sum("rn").over(over).alias("many"), F.sum("rs").over(over).alias("total"))
+    joined = dealt.join(F.broadcast(sums), F.col("cluster").eqNullSafe(F.col("_c")) & (F.col("range") == F.col("_r")))
+    inside = Window.partitionBy("cluster", "range").orderBy("value")  # up to the value itself, which adds nothing to its own distance
+    joined = joined.withColumn("n1", F.col("n0") + F.sum("n").over(inside)).withColumn("s1", F.col("s0") + F.sum(F.col("n") * F.col("value")).over(inside))
+    distance = F.col("value") * (2 * F.col("n1") - F.col("many")) + F.col("total") - 2 * F.col("s1")
+    mean = F.when(F.col("many") > 1, F.round(distance / (F.col("many") - 1), digits)).otherwise(F.lit(0.0))
+    every = joined.select("cluster", "item", mean.alias("mean_distance")).unionByName(lone)
+    return every.groupBy("cluster").agg(F.min(F.struct("mean_distance", "item")).alias("_b")).select("cluster", "_b.item", "_b.mean_distance")
 
